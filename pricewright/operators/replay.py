@@ -1,0 +1,336 @@
+"""What-if replay of pricing policies and the stock ledger.
+
+An episode is a short, independent fold over its calendar days: the price depends
+on the trend, which depends on earlier sales, so windows cannot express it.  All
+products, policies and episodes run in one plan.  After the product's calendar is
+gathered there is a single hash exchange on (product, episode), whose only job is
+to give the folds enough tasks; policies, steps and totals follow without one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import pricing as P
+from ..functions.numbers import half_up, let
+from ..params import EpisodeParams
+from ..session import parallelism
+from .calendar import episode_slices, product_calendars
+from .policies import ClosedLoop, OpenLoop
+
+PRODUCT_FIELDS = ("base_price", "price_min", "price_max", "elasticity", "base_demand")
+
+STEP_TYPE = (
+    "struct<step:int,action:int,price:double,demand:double,units_sold:int,lost_units:int,revenue:double,"
+    "raw_reward:double,reward:double,inventory_before:int,inventory:int,trend_before:double,trend:double>"
+)
+# What the fold has to remember of a step; the rest of a step row follows from it.
+MARK_TYPE = "struct<level:int,demand:double,inventory:int,trend:double>"
+CHOICE_TYPE = "struct<level:int,demand:double>"
+
+
+def episode_inputs(
+    catalogue: DataFrame, series: DataFrame, episodes: int, params: EpisodeParams = EpisodeParams()
+) -> DataFrame:
+    """One row per product and episode with the product's figures and its calendar slice."""
+    columns = ["product_id", *PRODUCT_FIELDS]
+    extra = [c for c in ("noise_std", "category") if c in catalogue.columns]
+    products = catalogue.select(*columns, *extra)
+    slices = episode_slices(product_calendars(series).join(products, "product_id"), episodes, params)
+    # Few bytes but much arithmetic: an explicit count keeps AQE from merging the tasks.
+    return slices.repartition(parallelism(series.sparkSession), "product_id", "episode")
+
+
+def _planned(policy: OpenLoop, params: EpisodeParams) -> Column:
+    if policy.constant:
+        level = policy.level(F.col, F.col("episode"), F.lit(0)).cast("int")
+        return F.array_repeat(level, params.episode_len)
+    steps = F.sequence(F.lit(0), F.lit(params.episode_len - 1))
+    return F.transform(steps, lambda i: policy.level(F.col, F.col("episode"), i).cast("int"))
+
+
+def _fold(closed: list[ClosedLoop], params: EpisodeParams, noise=None, greedy_bucket=None) -> Column:
+    """Run an episode over ``days``; ``planned`` or ``greedy`` give the level where they are set.
+
+    Order within a step: choose a level, price it, draw demand, sell from stock,
+    restock, push the sale into the history.  A fold copies its state at every step,
+    so the state keeps four numbers per past step and ``_step_rows`` derives the rest.
+    """
+    p = params
+    slots = [f"d{i}" for i in range(p.demand_history)]
+    start_level = F.lit(p.price_levels // 2)
+    for policy in closed:
+        start_level = F.when(F.col("policy") == policy.name, F.lit(policy.start_level)).otherwise(start_level)
+
+    def trend_of(values: list[Column]) -> Column:
+        total = values[0]
+        for v in values[1:]:
+            total = total + v
+        return P.demand_trend(total / F.lit(float(p.demand_history)), F.col("base_demand"))
+
+    start = F.struct(
+        F.lit(0).alias("step"),
+        F.lit(p.max_inventory).alias("inventory"),
+        start_level.cast("int").alias("level"),
+        trend_of([F.col("base_demand")] * p.demand_history).alias("trend"),
+        *[F.col("base_demand").cast("double").alias(s) for s in slots],
+        F.array().cast(f"array<{MARK_TYPE}>").alias("marks"),
+    )
+
+    def choose(state: Column) -> Column:
+        level = state["level"]
+        for policy in closed:
+            chosen = policy.next_level(lambda name: state[name], F.col)
+            level = F.when(F.col("policy") == policy.name, chosen).otherwise(level)
+        if greedy_bucket is not None:
+            learned = F.col("greedy")[greedy_bucket(state["trend"], state["inventory"])]
+            level = F.when(F.col("greedy").isNotNull(), learned).otherwise(level)
+        return F.coalesce(F.col("planned")[state["step"]], level).cast("int")
+
+    def demand_at(level: Column, state: Column, day: Column) -> Column:
+        price = P.level_price(level, F.col("price_min"), F.col("price_max"), p.price_levels)
+        raw = P.demand_curve(F.col("base_demand"), day["seasonal"], price, F.col("base_price"), F.col("elasticity"))
+        if noise is None:
+            return raw
+        z = noise(F.col, F.col("episode"), state["step"])
+        return let(raw, raw, lambda r: P.noisy_demand(r, z, F.col("noise_std")))
+
+    def advance(state: Column, choice: Column) -> Column:
+        before, sold = state["inventory"], P.units_sold(choice["demand"], state["inventory"])
+        history = [state[s] for s in slots[1:]] + [sold.cast("double")]
+        mark = F.struct(
+            choice["level"].alias("level"),
+            choice["demand"].alias("demand"),
+            before.alias("inventory"),
+            state["trend"].alias("trend"),
+        )
+        return F.struct(
+            (state["step"] + 1).alias("step"),
+            P.next_inventory(before, sold, p.restock, p.max_inventory).alias("inventory"),
+            choice["level"].alias("level"),
+            trend_of(history).alias("trend"),
+            *[value.alias(name) for name, value in zip(slots, history)],
+            F.array_append(state["marks"], mark).alias("marks"),
+        )
+
+    def one_step(state: Column, day: Column) -> Column:
+        choice = let(
+            choose(state),
+            F.lit(None).cast(CHOICE_TYPE),
+            lambda level: F.struct(level.alias("level"), demand_at(level, state, day).alias("demand")),
+        )
+        return let(choice, state, lambda c: advance(state, c))
+
+    def finish(state: Column) -> Column:
+        return F.struct(state["marks"].alias("marks"), state["trend"].alias("last_trend"))
+
+    return F.aggregate(F.slice("days", 1, p.episode_len), start, one_step, finish)
+
+
+def _step_rows(params: EpisodeParams) -> Column:
+    """Full step rows from the marks a fold left in ``_run``."""
+    p = params
+    marks = F.col("_run")["marks"]
+    scale = P.reward_scale(F.col("base_demand"), F.col("base_price")) if p.normalize_reward else F.lit(1.0)
+
+    def row(mark: Column, i: Column) -> Column:
+        price = P.level_price(mark["level"], F.col("price_min"), F.col("price_max"), p.price_levels)
+        figures = F.struct(
+            price.alias("price"),
+            P.units_sold(mark["demand"], mark["inventory"]).alias("sold"),
+            P.lost_units(mark["demand"], mark["inventory"]).alias("lost"),
+        )
+        return let(figures, F.lit(None).cast(STEP_TYPE), lambda f: full_row(mark, i, f))
+
+    def full_row(mark: Column, i: Column, f: Column) -> Column:
+        raw_reward = P.step_reward(
+            f["sold"], f["price"], f["lost"], mark["inventory"], p.stockout_penalty, p.overstock_penalty
+        )
+        return F.struct(
+            i.alias("step"),
+            mark["level"].alias("action"),
+            f["price"].alias("price"),
+            mark["demand"].alias("demand"),
+            f["sold"].alias("units_sold"),
+            f["lost"].alias("lost_units"),
+            (f["sold"] * f["price"]).alias("revenue"),
+            raw_reward.alias("raw_reward"),
+            (raw_reward / scale).alias("reward"),
+            mark["inventory"].alias("inventory_before"),
+            P.next_inventory(mark["inventory"], f["sold"], p.restock, p.max_inventory).alias("inventory"),
+            mark["trend"].alias("trend_before"),
+            F.coalesce(F.get(marks, i + 1)["trend"], F.col("_run")["last_trend"]).alias("trend"),
+        )
+
+    return F.transform(marks, row)
+
+
+def _with_steps(rows: DataFrame, run: Column, params: EpisodeParams) -> DataFrame:
+    return rows.withColumn("_run", run).withColumn("steps", _step_rows(params)).drop("_run", "planned")
+
+
+def replay_episodes(
+    inputs: DataFrame,
+    policies: list,
+    params: EpisodeParams = EpisodeParams(),
+    noise=None,
+) -> DataFrame:
+    """Run every policy on every episode of ``inputs``; one row per episode with its ``steps``.
+
+    ``noise(product, episode, step)`` gives the standard draw of a step as a Column;
+    without it demand follows the curve.
+    """
+    open_loop = [p for p in policies if isinstance(p, OpenLoop)]
+    closed = [p for p in policies if isinstance(p, ClosedLoop)]
+    nothing = F.lit(None).cast("array<int>")
+    runs = [F.struct(F.lit(p.name).alias("policy"), _planned(p, params).alias("planned")) for p in open_loop]
+    runs += [F.struct(F.lit(p.name).alias("policy"), nothing.alias("planned")) for p in closed]
+    rows = inputs.select("*", F.inline(F.array(*runs)))
+    return _with_steps(rows, _fold(closed, params, noise), params)
+
+
+def replay_greedy(
+    inputs: DataFrame, tables: DataFrame, greedy_bucket, params: EpisodeParams = EpisodeParams(), noise=None
+) -> DataFrame:
+    """Run learned level tables (``product_id, policy, greedy array<int>``) on the episodes of their product."""
+    rows = inputs.join(tables, "product_id").withColumn("planned", F.lit(None).cast("array<int>"))
+    return _with_steps(rows, _fold([], params, noise, greedy_bucket), params).drop("greedy")
+
+
+def replay_steps(episodes: DataFrame, *extra: str) -> DataFrame:
+    """Step log: one row per product, policy, episode and step.
+
+    ``next_day_of_week`` and ``next_day_of_year`` are the calendar the observation
+    after the step looks at.
+    """
+    rows = episodes.select(
+        "product_id", "policy", "episode", "start", *extra, "days", F.inline("steps")
+    )
+    following = F.col("days")[F.col("step") + 1]
+    return rows.withColumn("next_day_of_week", following["day_of_week"]).withColumn(
+        "next_day_of_year", following["day_of_year"]
+    ).drop("days")
+
+
+def episode_totals_of(episodes: DataFrame) -> DataFrame:
+    """Totals per episode straight from the step arrays: no explode, no shuffle."""
+
+    def total(field: str) -> Column:
+        return F.aggregate(F.col("steps")[field], F.lit(0.0), lambda acc, x: acc + x)
+
+    return episodes.select(
+        "product_id",
+        "policy",
+        "episode",
+        total("reward").alias("total_reward"),
+        total("revenue").alias("total_revenue"),
+        total("price").alias("price_sum"),
+        F.size("steps").cast("bigint").alias("n_steps"),
+    )
+
+
+def rounded_step_log(steps: DataFrame) -> DataFrame:
+    """Step log as it is shown to users: days from 1, rounded figures."""
+    return steps.select(
+        "product_id",
+        "policy",
+        "episode",
+        (F.col("step") + 1).alias("day"),
+        half_up(F.col("price"), 4).alias("price"),
+        half_up(F.col("demand"), 2).alias("demand"),
+        "units_sold",
+        half_up(F.col("revenue"), 2).alias("revenue"),
+        "inventory",
+        half_up(F.col("reward"), 4).alias("reward"),
+    )
+
+
+def price_traces(steps: DataFrame) -> DataFrame:
+    return steps.select("product_id", "policy", "episode", (F.col("step") + 1).alias("day"), "price", "revenue")
+
+
+# --- stock ledger over logged demand ------------------------------------------
+
+LEDGER_TYPE = (
+    "struct<step:int,demand:double,price:double,units_sold:int,lost_units:int,revenue:double,"
+    "raw_reward:double,inventory_before:int,inventory:int>"
+)
+
+
+def stock_ledger(
+    demand: DataFrame,
+    keys: list[str],
+    order: str,
+    params: EpisodeParams = EpisodeParams(),
+    start_inventory: int | None = None,
+    segment: int = 30,
+) -> DataFrame:
+    """Replay logged ``demand`` at logged ``price`` against stock, in ``order`` within ``keys``.
+
+    A key is one episode or one product's days, so the gathered array is bounded by
+    the episode length or the calendar.  A fold copies its state at every step, which
+    would make a ledger of n days cost n squared; so a first fold carries the stock
+    alone and notes it every ``segment`` days, and the segments are then booked as
+    independent rows.
+    """
+    p = params
+    opening = p.max_inventory if start_inventory is None else start_inventory
+    at = F.struct(F.col(order).alias("at"), F.col("demand").cast("double").alias("demand"), "price")
+
+    def stock_after(stock: Column, day: Column) -> Column:
+        return P.next_inventory(stock, P.units_sold(day["demand"], stock), p.restock, p.max_inventory)
+
+    def pass_segment(state: Column, days: Column) -> Column:
+        return F.struct(
+            F.aggregate(days, state["stock"], stock_after).alias("stock"),
+            F.array_append(state["openings"], state["stock"]).alias("openings"),
+        )
+
+    gathered = demand.groupBy(*keys).agg(F.array_sort(F.collect_list(at)).alias("_days"))
+    firsts = F.sequence(F.lit(0), F.floor((F.size("_days") - 1) / F.lit(segment)).cast("int"))
+    segments = gathered.withColumn(
+        "_segments", F.transform(firsts, lambda i: F.slice("_days", i * segment + 1, F.lit(segment)))
+    ).drop("_days")
+    start = F.struct(F.lit(opening).alias("stock"), F.array().cast("array<int>").alias("openings"))
+    opened = segments.withColumn(
+        "_openings", F.aggregate("_segments", start, pass_segment, lambda state: state["openings"])
+    )
+    rows = opened.select(
+        *keys,
+        F.posexplode(F.arrays_zip(F.col("_openings").alias("opening"), F.col("_segments").alias("days"))).alias(
+            "_number", "_segment"
+        ),
+    ).select(*keys, "_number", "_segment.*")
+
+    first = F.struct(
+        (F.col("_number") * F.lit(segment)).alias("step"),
+        F.col("opening").alias("stock"),
+        F.array().cast(f"array<{LEDGER_TYPE}>").alias("ledger"),
+    )
+
+    def book(state: Column, day: Column) -> Column:
+        before = state["stock"]
+        sold, lost = P.units_sold(day["demand"], before), P.lost_units(day["demand"], before)
+        after = P.next_inventory(before, sold, p.restock, p.max_inventory)
+        entry = F.struct(
+            state["step"].alias("step"),
+            day["demand"].alias("demand"),
+            day["price"].alias("price"),
+            sold.alias("units_sold"),
+            lost.alias("lost_units"),
+            (sold * day["price"]).alias("revenue"),
+            P.step_reward(sold, day["price"], lost, before, p.stockout_penalty, p.overstock_penalty).alias("raw_reward"),
+            before.alias("inventory_before"),
+            after.alias("inventory"),
+        )
+        return F.struct(
+            (state["step"] + 1).alias("step"),
+            after.alias("stock"),
+            F.array_append(state["ledger"], entry).alias("ledger"),
+        )
+
+    booked = rows.withColumn("_ledger", F.aggregate("days", first, book, lambda state: state["ledger"]))
+    return booked.select(
+        *keys, F.inline(F.arrays_zip(F.col("days.at").alias(order), F.col("_ledger").alias("_entry")))
+    ).select(*keys, order, "_entry.*")
