@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -106,14 +106,20 @@ def episode_start(n_rows, product_no, episode, params: EpisodeParams = EpisodePa
     return F.pmod(mixed_hash(product_no, episode, F.lit(0), params.seed), span).cast("int")
 
 
-def product_calendars(series: DataFrame) -> DataFrame:
-    """One row per product with its calendar as a date-ordered array.
+def calendar_array(date: Column, seasonal: Column, dow: Column, doy: Column) -> Column:
+    """Aggregate: the days of a product as a date-ordered array.
 
-    A series has one row per calendar day, so an array is as long as the span of
-    dates (a few thousand entries), whatever the number of transactions behind it.
+    There is one row per product and calendar day, so an array is as long as the span
+    of dates (a few thousand entries), whatever the number of transactions behind it.
     """
-    day = F.struct("date", "seasonal", "day_of_week", "day_of_year")
-    return series.groupBy("product_id").agg(F.array_sort(F.collect_list(day)).alias("calendar"))
+    day = F.struct(date.alias("date"), seasonal.alias("seasonal"), dow.alias("day_of_week"), doy.alias("day_of_year"))
+    return F.array_sort(F.collect_list(day)).alias("calendar")
+
+
+def product_calendars(series: DataFrame) -> DataFrame:
+    """One row per product with its calendar as a date-ordered array."""
+    columns = [F.col(c) for c in ("date", "seasonal", "day_of_week", "day_of_year")]
+    return series.groupBy("product_id").agg(calendar_array(*columns))
 
 
 def episode_slices(calendars: DataFrame, episodes: int, params: EpisodeParams = EpisodeParams()) -> DataFrame:
@@ -137,5 +143,5 @@ def episode_days(series: DataFrame, episodes: int, params: EpisodeParams = Episo
     """The calendar rows of the episodes, one row per product, episode and step."""
     slices = episode_slices(product_calendars(series), episodes, params)
     return slices.select(
-        "product_id", "episode", "start", F.posexplode(F.slice("days", 1, params.episode_len)).alias("step", "day")
+        "product_id", "episode", "start", F.posexplode_outer(F.slice("days", 1, params.episode_len)).alias("step", "day")
     ).select("product_id", "episode", "start", "step", "day.*")

@@ -52,8 +52,12 @@ def parse_invoice_time(df: DataFrame, params: CleanParams = CleanParams()) -> Da
     """Invoice time as a timestamp; rows whose time cannot be read are dropped."""
     require_columns(df, ["InvoiceDate"])
     if not isinstance(df.schema["InvoiceDate"].dataType, (T.TimestampType, T.TimestampNTZType)):
-        tries = [F.try_to_timestamp("InvoiceDate", F.lit(fmt)) for fmt in params.time_formats]
-        df = df.withColumn("InvoiceDate", F.coalesce(*tries))
+        text = F.col("InvoiceDate")
+        # A failed format costs an exception per row, so only texts with a slash try them.
+        slashed = F.coalesce(*[F.try_to_timestamp(text, F.lit(fmt)) for fmt in params.slash_formats])
+        df = df.withColumn(
+            "InvoiceDate", F.when(text.contains("/"), slashed).otherwise(text.try_cast("timestamp"))
+        )
     return df.filter(F.col("InvoiceDate").isNotNull())
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -47,7 +47,7 @@ def log_points(daily: DataFrame, params: FitParams = FitParams()) -> DataFrame:
     """Log price and log quantity with a flag for points inside ``sigma`` on both."""
     group = Window.partitionBy("StockCode")
     points = daily.filter((F.col("avg_price") > 0) & (F.col("total_qty") > 0)).select(
-        "StockCode", "Date", "avg_price", "total_qty", F.ln("avg_price").alias("lp"), F.ln("total_qty").alias("lq")
+        *["StockCode", "Date", "avg_price", "total_qty"], F.ln("avg_price").alias("lp"), F.ln("total_qty").alias("lq")
     )
     inside, varied = F.lit(True), F.lit(True)
     for name in ("lp", "lq"):
@@ -63,11 +63,12 @@ def without_outliers(daily: DataFrame, params: FitParams = FitParams()) -> DataF
     return log_points(daily, params).filter("inside").select("StockCode", "Date", "avg_price", "total_qty")
 
 
-def fit_elasticity(daily: DataFrame, params: FitParams = FitParams()) -> DataFrame:
+def fit_elasticity(daily: DataFrame, params: FitParams = FitParams(), *extra: Column) -> DataFrame:
     """Log-log slope per product, clipped, with the product's mean price and demand.
 
     Masked points become nulls inside the aggregate, so a product whose points are
     all masked keeps its row.  The windows and the aggregate share one shuffle.
+    ``extra`` aggregates over the usable days ride along in the same pass.
     """
     x, y = F.when(F.col("inside"), F.col("lp")), F.when(F.col("inside"), F.col("lq"))
     fitted = (
@@ -78,8 +79,10 @@ def fit_elasticity(daily: DataFrame, params: FitParams = FitParams()) -> DataFra
             F.count("*").alias("n_points"),
             F.avg("avg_price").alias("base_price"),
             F.avg("total_qty").alias("base_demand"),
+            *extra,
         )
     )
+    carried = [c for c in fitted.columns if c not in ("StockCode", "slope", "n_points", "base_price", "base_demand")]
     # No variation left means a flat fit, which the upper bound turns into ``high``.
     flat = F.coalesce(F.col("slope"), F.lit(0.0))
     few = F.col("n_points") < params.min_points
@@ -90,11 +93,12 @@ def fit_elasticity(daily: DataFrame, params: FitParams = FitParams()) -> DataFra
         "base_price",
         "n_points",
         (~few & ((flat < params.low) | (flat > params.high))).alias("clipped"),
+        *carried,
     )
 
 
-def fitted_catalogue(fits: DataFrame) -> DataFrame:
-    """Rounded catalogue row per fitted product."""
+def fitted_catalogue(fits: DataFrame, *keep: str) -> DataFrame:
+    """Rounded catalogue row per fitted product, and the columns of ``fits`` to keep beside it."""
     low, high = price_bounds(F.col("base_price"))
     return fits.select(
         F.col("StockCode").alias("product_id"),
@@ -103,6 +107,7 @@ def fitted_catalogue(fits: DataFrame) -> DataFrame:
         half_up(F.col("base_demand"), 1).alias("base_demand"),
         low.alias("price_min"),
         high.alias("price_max"),
+        *keep,
     )
 
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numbers import half_up
-from ..params import EpisodeParams
+from ..params import EpisodeParams, FitParams
 from .policies import baseline_policies
-from .replay import episode_inputs, episode_totals_of, replay_episodes
+from .replay import episode_inputs_from_daily, episode_totals_of, replay_episodes
 
 EPISODE_KEYS = ["product_id", "policy", "episode"]
 
@@ -86,27 +86,20 @@ def simulation_report(steps: DataFrame) -> DataFrame:
 
 
 def benchmark_totals(
-    catalogue: DataFrame,
-    series: DataFrame,
-    episodes: int = 50,
-    params: EpisodeParams = EpisodeParams(),
-    policies: list | None = None,
-    noise=None,
+    inputs: DataFrame, params: EpisodeParams = EpisodeParams(), policies: list | None = None, noise=None
 ) -> DataFrame:
-    """Replay all products under all policies and return the episode totals."""
-    runs = replay_episodes(
-        episode_inputs(catalogue, series, episodes, params), policies or baseline_policies(params), params, noise
-    )
-    return episode_totals_of(runs)
+    """Episode totals of all policies on the episodes of ``inputs``."""
+    return episode_totals_of(replay_episodes(inputs, policies or baseline_policies(params), params, noise))
 
 
 def full_benchmark(
-    catalogue: DataFrame,
-    series: DataFrame,
+    daily: DataFrame,
     episodes: int = 50,
     params: EpisodeParams = EpisodeParams(),
     policies: list | None = None,
+    fit: FitParams = FitParams(),
 ) -> DataFrame:
-    """Leaderboard of all policies over all products."""
-    totals = benchmark_totals(catalogue, series, episodes, params, policies)
+    """From daily demand to the leaderboard of all policies over all products."""
+    inputs = episode_inputs_from_daily(daily, episodes, params, fit)
+    totals = benchmark_totals(inputs, params, policies)
     return leaderboard(summarise_policies(evaluate_policies(totals)))

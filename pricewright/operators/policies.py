@@ -146,7 +146,7 @@ def rule_levels(trends: DataFrame, keys: list[str], order: str, trend: str = "tr
         trends.groupBy(*keys)
         .agg(rows.alias("_rows"))
         .withColumn("_levels", F.aggregate("_rows", start, step, lambda acc: acc["levels"]))
-        .select(*keys, F.inline(F.arrays_zip(F.col("_rows.at").alias(order), F.col("_levels").alias("action"))))
+        .select(*keys, F.inline_outer(F.arrays_zip(F.col("_rows.at").alias(order), F.col("_levels").alias("action"))))
     )
 
 

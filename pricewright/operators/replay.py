@@ -2,9 +2,8 @@
 
 An episode is a short, independent fold over its calendar days: the price depends
 on the trend, which depends on earlier sales, so windows cannot express it.  All
-products, policies and episodes run in one plan.  After the product's calendar is
-gathered there is a single hash exchange on (product, episode), whose only job is
-to give the folds enough tasks; policies, steps and totals follow without one.
+products, policies and episodes run in one plan.  Once the product's calendar is
+gathered, episodes, policies, steps and totals follow without another exchange.
 """
 
 from __future__ import annotations
@@ -14,32 +13,69 @@ from pyspark.sql import functions as F
 
 from ..functions import pricing as P
 from ..functions.numbers import half_up, let
-from ..params import EpisodeParams
+from ..params import EpisodeParams, FitParams
 from ..session import parallelism
-from .calendar import episode_slices, product_calendars
+from .calendar import calendar_array, episode_slices, product_calendars
+from .demand import fit_elasticity, fitted_catalogue, keep_dense_products
 from .policies import ClosedLoop, OpenLoop
 
 PRODUCT_FIELDS = ("base_price", "price_min", "price_max", "elasticity", "base_demand")
 
 STEP_TYPE = (
     "struct<step:int,action:int,price:double,demand:double,units_sold:int,lost_units:int,revenue:double,"
-    "raw_reward:double,reward:double,inventory_before:int,inventory:int,trend_before:double,trend:double>"
+    "raw_reward:double,reward:double,inventory_before:int,inventory:int,trend_before:double,trend:double,oldest_price:double>"
 )
 # What the fold has to remember of a step; the rest of a step row follows from it.
 MARK_TYPE = "struct<level:int,demand:double,inventory:int,trend:double>"
 CHOICE_TYPE = "struct<level:int,demand:double>"
 
 
+def _episodes(products: DataFrame, episodes: int, params: EpisodeParams, spread: bool) -> DataFrame:
+    slices = episode_slices(products, episodes, params)
+    if spread:
+        slices = slices.repartition(parallelism(products.sparkSession), "product_id", "episode")
+    return slices
+
+
 def episode_inputs(
-    catalogue: DataFrame, series: DataFrame, episodes: int, params: EpisodeParams = EpisodeParams()
+    catalogue: DataFrame,
+    series: DataFrame,
+    episodes: int,
+    params: EpisodeParams = EpisodeParams(),
+    spread: bool = False,
 ) -> DataFrame:
-    """One row per product and episode with the product's figures and its calendar slice."""
+    """One row per product and episode with the product's figures and its calendar slice.
+
+    Every product costs the same, so tasks are balanced by product.  With fewer
+    products than cores, ``spread`` adds an exchange on (product, episode).
+    """
     columns = ["product_id", *PRODUCT_FIELDS]
     extra = [c for c in ("noise_std", "category") if c in catalogue.columns]
     products = catalogue.select(*columns, *extra)
-    slices = episode_slices(product_calendars(series).join(products, "product_id"), episodes, params)
     # Few bytes but much arithmetic: an explicit count keeps AQE from merging the tasks.
-    return slices.repartition(parallelism(series.sparkSession), "product_id", "episode")
+    # The grouping by product takes over this partitioning.
+    laid_out = series.repartition(parallelism(series.sparkSession), "product_id")
+    return _episodes(product_calendars(laid_out).join(products, "product_id"), episodes, params, spread)
+
+
+def episode_inputs_from_daily(
+    daily: DataFrame,
+    episodes: int,
+    params: EpisodeParams = EpisodeParams(),
+    fit: FitParams = FitParams(),
+    spread: bool = False,
+) -> DataFrame:
+    """The same from daily demand alone: fit and calendar come out of one pass.
+
+    ``episode_inputs`` on a catalogue and a series made from the same transactions
+    reads those twice and joins; here one exchange on the product serves the density
+    test, the outlier mask, the fit and the calendar.
+    """
+    dow, doy = P.day_of_week(F.col("Date")), P.day_of_year(F.col("Date"))
+    calendar = calendar_array(F.col("Date"), P.simple_seasonal(doy), dow, doy)
+    laid_out = daily.repartition(parallelism(daily.sparkSession), "StockCode")
+    fits = fit_elasticity(keep_dense_products(laid_out, fit.min_days), fit, calendar)
+    return _episodes(fitted_catalogue(fits, "calendar"), episodes, params, spread)
 
 
 def _planned(policy: OpenLoop, params: EpisodeParams) -> Column:
@@ -161,8 +197,14 @@ def _step_rows(params: EpisodeParams) -> Column:
             P.next_inventory(mark["inventory"], f["sold"], p.restock, p.max_inventory).alias("inventory"),
             mark["trend"].alias("trend_before"),
             F.coalesce(F.get(marks, i + 1)["trend"], F.col("_run")["last_trend"]).alias("trend"),
+            oldest_price(i).alias("oldest_price"),
         )
 
+    def oldest_price(i: Column) -> Column:
+        level = F.get(marks, i - (p.price_history - 1))["level"]
+        price = P.level_price(level, F.col("price_min"), F.col("price_max"), p.price_levels)
+        return F.coalesce(price, F.col("base_price"))
+
     return F.transform(marks, row)
 
 
@@ -201,11 +243,14 @@ def replay_greedy(
 def replay_steps(episodes: DataFrame, *extra: str) -> DataFrame:
     """Step log: one row per product, policy, episode and step.
 
+    ``inline_outer``, although no episode is empty: for ``inline`` the optimizer would
+    add a filter on the array, and so run every fold again to evaluate it.
+
     ``next_day_of_week`` and ``next_day_of_year`` are the calendar the observation
-    after the step looks at.
+    after the step looks at; ``oldest_price`` is the start of the price history then.
     """
     rows = episodes.select(
-        "product_id", "policy", "episode", "start", *extra, "days", F.inline("steps")
+        "product_id", "policy", "episode", "start", *extra, "days", F.inline_outer("steps")
     )
     following = F.col("days")[F.col("step") + 1]
     return rows.withColumn("next_day_of_week", following["day_of_week"]).withColumn(
@@ -298,7 +343,7 @@ def stock_ledger(
     )
     rows = opened.select(
         *keys,
-        F.posexplode(F.arrays_zip(F.col("_openings").alias("opening"), F.col("_segments").alias("days"))).alias(
+        F.posexplode_outer(F.arrays_zip(F.col("_openings").alias("opening"), F.col("_segments").alias("days"))).alias(
             "_number", "_segment"
         ),
     ).select(*keys, "_number", "_segment.*")
@@ -332,5 +377,5 @@ def stock_ledger(
 
     booked = rows.withColumn("_ledger", F.aggregate("days", first, book, lambda state: state["ledger"]))
     return booked.select(
-        *keys, F.inline(F.arrays_zip(F.col("days.at").alias(order), F.col("_ledger").alias("_entry")))
+        *keys, F.inline_outer(F.arrays_zip(F.col("days.at").alias(order), F.col("_ledger").alias("_entry")))
     ).select(*keys, order, "_entry.*")

@@ -8,15 +8,8 @@ from dataclasses import dataclass
 @dataclass(frozen=True)
 class CleanParams:
     top_k: int = 20
-    # Accepted spellings of an invoice time, tried in this order.
-    time_formats: tuple[str, ...] = (
-        "yyyy-MM-dd HH:mm:ss",
-        "yyyy-MM-dd'T'HH:mm:ss",
-        "yyyy-MM-dd HH:mm",
-        "yyyy-MM-dd",
-        "M/d/yyyy H:mm",
-        "M/d/yyyy",
-    )
+    # Spellings of an invoice time besides the ISO ones, tried in this order.
+    slash_formats: tuple[str, ...] = ("M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "M/d/yyyy")
 
 
 @dataclass(frozen=True)

@@ -9,7 +9,7 @@ from ..operators.calendar import with_row_index
 from ..operators.demand import product_series
 from . import base as B
 from .registry import cte, query
-from .sql import clip, rnd, whole
+from .sql import clip, rnd
 
 # Daily series beside the fitted figures of the product.
 cte(
@@ -133,22 +133,3 @@ WALK = clip(
 def clipped_price_walk(spark, sf_dir):
     rows = _priced_days(spark, sf_dir).withColumn("noise", (F.col("price") - F.col("base_price")) * F.lit(0.02))
     return B.rounded(W.price_walk(rows, KEYS, "date").select("product_id", "date", "price"), 4)
-
-
-@query(
-    "W9",
-    """SELECT l_suppkey, l_orderkey, l_linenumber, seq FROM (
-           SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY seq DESC) AS place
-           FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber,
-                                              l_partkey, l_extendedprice) AS seq FROM lineitem))
-       WHERE place <= 200""",
-)
-def newest_replay_rows(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    arrival = Window.partitionBy("l_suppkey").orderBy(
-        "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"
-    )
-    rows = B.lines(spark, sf_dir).withColumn("seq", F.row_number().over(arrival).cast("bigint"))
-    newest = W.newest_rows(rows, ["l_suppkey"], "seq", capacity=200)
-    return newest.select("l_suppkey", "l_orderkey", "l_linenumber", "seq")

@@ -9,8 +9,9 @@ from ..functions.pricing import geometric_epsilon
 from ..operators import evaluate as E
 from ..operators import learning as L
 from ..operators import policies, replay
+from ..operators.windows import newest_rows
 from . import base as B
-from .policies import steps_of
+from .policies import EVALUATION, replay_sql, steps_of
 from .registry import cte, query
 from .sql import clip, code_order, mixed_hash, rnd, unit
 
@@ -47,15 +48,20 @@ cte(
         FROM moves m LEFT JOIN v1 ON v1.product_id = m.product_id AND v1.next_state = m.next_state
         GROUP BY m.product_id, m.state, m.action) n USING (product_id, state, action)""",
 )
-cte(
-    "prior",
-    """
-    SELECT g.product_id, g.state, g.action, (total - coalesce(q1.q, 0e0)) / (n - CASE WHEN q1.q IS NULL THEN 0 ELSE 1 END) AS q
-    FROM (SELECT * FROM (SELECT DISTINCT product_id FROM q1),
-          (SELECT state, action, sum(q) AS total, count(*) AS n FROM q1 GROUP BY state, action)) g
-    LEFT JOIN q1 USING (product_id, state, action)
-    WHERE n - CASE WHEN q1.q IS NULL THEN 0 ELSE 1 END > 0""",
-)
+
+
+def pooled_sql(q: str) -> str:
+    """Mean of all other products, cell by cell."""
+    return f"""
+    SELECT g.product_id, g.state, g.action,
+           (total - coalesce(own.q, 0e0)) / (n - CASE WHEN own.q IS NULL THEN 0 ELSE 1 END) AS q
+    FROM (SELECT * FROM (SELECT DISTINCT product_id FROM {q}),
+          (SELECT state, action, sum(q) AS total, count(*) AS n FROM {q} GROUP BY state, action)) g
+    LEFT JOIN {q} own USING (product_id, state, action)
+    WHERE n - CASE WHEN own.q IS NULL THEN 0 ELSE 1 END > 0"""
+
+
+cte("prior", pooled_sql("q1"))
 
 
 def _adapt(number: int, before: str) -> None:
@@ -100,6 +106,17 @@ def transition_table_from_log(spark, sf_dir):
     return B.rounded(L.transitions_from_log(log, L.EPISODE_KEYS, "step"))
 
 
+@query(
+    "W9",
+    f"""SELECT product_id, episode, step, state, action, {rnd('reward')} AS reward, episode * 30 + step AS seq FROM moves
+        QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY episode * 30 + step DESC) <= 100""",
+)
+def newest_transitions(spark, sf_dir):
+    seq = F.col("episode") * P.episode_len + F.col("step")
+    rows = _moves(spark, sf_dir).select("product_id", "episode", "step", "state", "action", "reward", seq.alias("seq"))
+    return B.rounded(newest_rows(rows, ["product_id"], "seq", capacity=100))
+
+
 @query(
     "L2",
     f"""SELECT product_id, episode, step, state, action, {rnd('reward')} AS reward, next_state, done
@@ -188,16 +205,100 @@ def adapted_q_per_product(spark, sf_dir):
     return B.rounded(L.adapted_q(moves, prior, n_episodes=3, sweeps=2))
 
 
-@query("L8, A9")
+cte(
+    "best",
+    """SELECT product_id, state, action FROM q2
+       QUALIFY row_number() OVER (PARTITION BY product_id, state ORDER BY q DESC, action) = 1""",
+)
+cte(
+    "learned_run",
+    replay_sql(
+        ["learned"],
+        "coalesce(b.action, 5)",
+        f"LEFT JOIN best b ON b.product_id = r.product_id AND b.state = {_bucket('r.trend', 'r.inventory')}",
+    ),
+)
+
+
+def _stock_state(trend, stock):
+    return L.state_bucket(trend, stock, P.max_inventory)
+
+
+@query(
+    "A9",
+    f"""SELECT {EVALUATION} FROM (
+          SELECT policy, product_id, avg(total_reward) AS mean_reward, stddev_pop(total_reward) AS std_reward,
+                 avg(total_revenue) AS mean_revenue, sum(price_sum) / sum(n_steps) AS avg_price, count(*) AS n_episodes
+          FROM (SELECT policy, product_id, episode, sum(reward) AS total_reward, sum(revenue) AS total_revenue,
+                       sum(price) AS price_sum, count(*) AS n_steps FROM learned_run GROUP BY policy, product_id, episode)
+          GROUP BY policy, product_id)""",
+)
+def learned_policy_evaluation(spark, sf_dir):
+    q = L.fitted_q(_moves(spark, sf_dir), ["product_id"], sweeps=2)
+    tables = L.greedy_tables(q, ["product_id"], F.lit("learned"))
+    inputs = replay.episode_inputs_from_daily(B.daily(spark, sf_dir), B.EPISODES, P)
+    runs = replay.replay_greedy(inputs, tables, _stock_state, P)
+    return B.rounded(E.evaluate_policies(replay.episode_totals_of(runs)), mean_revenue=3, avg_price=4)
+
+
+# Adaptation curve: every number of episodes is one more key of the same sweeps.
+TRIALS = [1, 3, 5]
+_LABELS = [f"{kind}_{n:02d}" for kind in ("adapted", "scratch") for n in TRIALS]
+cte(
+    "trial_moves",
+    f"""SELECT m.*, n AS n_episodes FROM moves m, (VALUES {', '.join(f'({n})' for n in TRIALS)}) t(n)
+        WHERE m.episode < n""",
+)
+cte("prior_q2", pooled_sql("q2"))
+cte("adapted_t0", f"SELECT p.*, n AS n_episodes FROM prior_q2 p, (VALUES {', '.join(f'({n})' for n in TRIALS)}) t(n)")
+cte(
+    "scratch_t1",
+    f"""SELECT product_id, n_episodes, state, action, avg({_target('0e0')}) AS q FROM trial_moves
+        GROUP BY product_id, n_episodes, state, action""",
+)
+for _before, _after in (("adapted_t0", "adapted_t1"), ("adapted_t1", "adapted_t2"), ("scratch_t1", "scratch_t2")):
+    cte(
+        _after,
+        f"""
+        SELECT product_id, n_episodes, state, action, coalesce(n.q, b.q) AS q FROM {_before} b FULL JOIN (
+            SELECT m.product_id, m.n_episodes, m.state, m.action, avg({_target('coalesce(next_value, 0e0)')}) AS q
+            FROM trial_moves m LEFT JOIN (SELECT product_id, n_episodes, state AS next_state, max(q) AS next_value
+                                          FROM {_before} GROUP BY product_id, n_episodes, state) w
+                 ON w.product_id = m.product_id AND w.n_episodes = m.n_episodes AND w.next_state = m.next_state
+            GROUP BY m.product_id, m.n_episodes, m.state, m.action) n
+        USING (product_id, n_episodes, state, action)""",
+    )
+cte(
+    "trial_best",
+    """
+    SELECT product_id, policy, state, action FROM (
+        SELECT *, printf('adapted_%02d', n_episodes) AS policy FROM adapted_t2
+        UNION ALL SELECT *, printf('scratch_%02d', n_episodes) FROM scratch_t2)
+    QUALIFY row_number() OVER (PARTITION BY product_id, policy, state ORDER BY q DESC, action) = 1""",
+)
+cte(
+    "trial_run",
+    replay_sql(
+        _LABELS,
+        "coalesce(b.action, 5)",
+        "LEFT JOIN trial_best b ON b.product_id = r.product_id AND b.policy = r.policy "
+        f"AND b.state = {_bucket('r.trend', 'r.inventory')}",
+    ),
+)
+
+
+@query(
+    "L8, A9",
+    f"""SELECT product_id, split_part(policy, '_', 1) AS learner, CAST(split_part(policy, '_', 2) AS INTEGER) AS n_episodes,
+        {rnd('avg(total_reward)', 3)} AS mean_reward
+        FROM (SELECT product_id, policy, episode, sum(reward) AS total_reward FROM trial_run
+              GROUP BY product_id, policy, episode) GROUP BY product_id, policy""",
+)
 def adaptation_curve(spark, sf_dir):
     """Mean greedy reward after 1, 3 and 5 episodes, from the prior and from scratch."""
     moves = _moves(spark, sf_dir)
     prior = L.pooled_prior(L.fitted_q(moves, ["product_id"], sweeps=2))
-    tables = L.adaptation_tables(moves, prior, [1, 3, 5])
-    inputs = replay.episode_inputs(B.catalogue(spark, sf_dir), B.series(spark, sf_dir), B.EPISODES, P)
-
-    def bucket(trend, stock):
-        return L.state_bucket(trend, stock, P.max_inventory)
-
-    runs = replay.replay_greedy(inputs, tables, bucket, P)
+    tables = L.adaptation_tables(moves, prior, TRIALS)
+    inputs = replay.episode_inputs_from_daily(B.daily(spark, sf_dir), B.EPISODES, P)
+    runs = replay.replay_greedy(inputs, tables, _stock_state, P)
     return L.adaptation_curve(replay.episode_totals_of(runs))

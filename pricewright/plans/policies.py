@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+from ..operators import catalogue as C
 from ..operators import evaluate as E
 from ..operators import features, policies, replay
 from ..operators.windows import running_revenue
+from ..sources import driver_tables as D
 from . import base as B
 from .registry import cte, query
 from .sql import TWO_PI, clip, level_price, mixed_hash, nearest, optimal_price, rnd, whole
@@ -30,9 +34,11 @@ cte(
     SELECT product_id, {nearest('base_price')} AS fixed_level,
            {nearest(clip(optimal_price(), 'price_min', 'price_max'))} AS optimal_level FROM described""",
 )
-cte(
-    "run",
-    f"""
+
+
+def replay_sql(names: list[str], level: str, joined: str = "") -> str:
+    """Replay as a recursive query; ``level`` gives the price level of a step of row ``r``."""
+    return f"""
     WITH RECURSIVE r AS (
       SELECT d.product_id, q.policy, e.episode, e.start, -1 AS step, CAST(5 AS INTEGER) AS action, 0e0 AS price,
              0e0 AS demand, 0 AS units_sold, 0 AS lost_units, 0e0 AS revenue, 0e0 AS raw_reward,
@@ -41,7 +47,7 @@ cte(
              {', '.join(f'base_demand AS {s}' for s in _D)},
              base_price, price_min, price_max, elasticity, base_demand, fixed_level, optimal_level
       FROM described d JOIN planned p ON p.product_id = d.product_id JOIN episodes e ON e.product_id = d.product_id,
-           (VALUES ('fixed'), ('optimal'), ('random'), ('rule_based')) q(policy)
+           (VALUES {', '.join(f"('{n}')" for n in names)}) q(policy)
       UNION ALL
       SELECT product_id, policy, episode, start, step, action, price, demand, units_sold, lost_units,
              units_sold * price AS revenue,
@@ -57,18 +63,19 @@ cte(
                         FROM (SELECT r.* EXCLUDE (step, action, price, demand, units_sold, lost_units, revenue,
                                                   raw_reward, inventory_before, inventory, trend_before, trend),
                                      r.step + 1 AS step, c.seasonal, r.inventory AS inventory_before,
-                                     r.trend AS trend_before,
-                                     CAST(CASE policy WHEN 'fixed' THEN fixed_level WHEN 'optimal' THEN optimal_level
-                                          WHEN 'random' THEN {mixed_hash('r.product_id', 'r.episode', '(r.step + 2)', 42)} % 11
-                                          ELSE CASE WHEN r.trend > 0.1e0 THEN least(r.action + 1, 10)
-                                                    WHEN r.trend < -0.1e0 THEN greatest(r.action - 1, 0)
-                                                    ELSE r.action END END AS INTEGER) AS action
+                                     r.trend AS trend_before, CAST({level} AS INTEGER) AS action
                               FROM r JOIN episode_days c ON c.product_id = r.product_id
-                                   AND c.episode = r.episode AND c.step = r.step + 1
+                                   AND c.episode = r.episode AND c.step = r.step + 1 {joined}
                               WHERE r.step < 29))))
     )
-    SELECT *, raw_reward / greatest(1e0, base_demand * base_price) AS reward FROM r WHERE step >= 0""",
-)
+    SELECT *, raw_reward / greatest(1e0, base_demand * base_price) AS reward FROM r WHERE step >= 0"""
+
+
+_BASELINE_LEVEL = f"""CASE policy WHEN 'fixed' THEN fixed_level WHEN 'optimal' THEN optimal_level
+    WHEN 'random' THEN {mixed_hash('r.product_id', 'r.episode', '(r.step + 2)', 42)} % 11
+    ELSE CASE WHEN r.trend > 0.1e0 THEN least(r.action + 1, 10) WHEN r.trend < -0.1e0 THEN greatest(r.action - 1, 0)
+         ELSE r.action END END"""
+cte("run", replay_sql(["fixed", "optimal", "random", "rule_based"], _BASELINE_LEVEL))
 cte(
     "totals",
     """
@@ -86,7 +93,7 @@ cte(
 
 
 def episodes_of(spark, sf_dir, chosen=None, episodes: int = B.EPISODES):
-    inputs = replay.episode_inputs(B.catalogue(spark, sf_dir), B.series(spark, sf_dir), episodes, P)
+    inputs = replay.episode_inputs_from_daily(B.daily(spark, sf_dir), episodes, P)
     return replay.replay_episodes(inputs, chosen or policies.baseline_policies(P), P)
 
 
@@ -167,7 +174,7 @@ STEP = f"""product_id, policy, episode, start, step, action, {rnd('price')} AS p
 
 @query("R9", f"SELECT {STEP} FROM run")
 def policy_replay(spark, sf_dir):
-    return B.rounded(steps_of(spark, sf_dir).drop("next_day_of_week", "next_day_of_year"))
+    return B.rounded(steps_of(spark, sf_dir).drop("next_day_of_week", "next_day_of_year", "oldest_price"))
 
 
 @query(
@@ -222,6 +229,36 @@ def ten_feature_table(spark, sf_dir):
     return B.rounded(features.observations(steps_of(spark, sf_dir), B.catalogue(spark, sf_dir), P))
 
 
+@query("R5", FEATURE_SQL)
+def ten_feature_table_of_replay(spark, sf_dir):
+    """The same features without a window: the replay leaves both histories in its rows."""
+    kinds = D.supplier_labels(spark, sf_dir).select("product_id", "category")
+    inputs = replay.episode_inputs_from_daily(B.daily(spark, sf_dir), B.EPISODES, P).join(kinds, "product_id")
+    episodes = replay.replay_episodes(inputs, policies.baseline_policies(P), P)
+    return B.rounded(features.observations_of_replay(episodes, P))
+
+
+def _cautious_levels(vectors: pd.Series) -> pd.Series:
+    """A stand-in for a trained model: up with the trend, down with the stock-out risk."""
+    x = np.stack(vectors.to_numpy())
+    trend, risk = x[:, features.FEATURES.index("demand_trend")], x[:, features.FEATURES.index("stockout_risk")]
+    return pd.Series(np.floor(np.clip(5.0 + 4.0 * trend - 3.0 * risk, 0.0, 10.0)).astype("int32"))
+
+
+@query(
+    "P1",
+    f"""SELECT product_id, policy, episode, step, CAST(floor(greatest(0e0, least(10e0,
+        5e0 + 4e0 * trend - 3e0 * (1e0 - inventory / {P.max_inventory}e0)))) AS INTEGER) AS action FROM run""",
+)
+def external_model_levels(spark, sf_dir):
+    kinds = D.supplier_labels(spark, sf_dir).select("product_id", "category")
+    inputs = replay.episode_inputs_from_daily(B.daily(spark, sf_dir), B.EPISODES, P).join(kinds, "product_id")
+    rows = features.observations_of_replay(replay.replay_episodes(inputs, policies.baseline_policies(P), P), P)
+    choose = policies.model_policy(_cautious_levels)
+    vectors = features.feature_vector(rows)
+    return vectors.select(*E.EPISODE_KEYS, "step", choose("features").alias("action"))
+
+
 @query(
     "W7",
     f"""SELECT product_id, policy, episode, step, {rnd('''sum(revenue) OVER (PARTITION BY product_id, policy, episode
@@ -290,9 +327,10 @@ def learning_log(spark, sf_dir):
         FROM evaluation WHERE product_id = '7'""",
 )
 def benchmark_of_one_product(spark, sf_dir):
-    inputs = B.catalogue(spark, sf_dir).filter(F.col("product_id") == "7")
-    days = B.series(spark, sf_dir).filter(F.col("product_id") == "7")
-    totals = E.benchmark_totals(inputs, days, B.EPISODES, P)
+    products = C.find_product(B.catalogue(spark, sf_dir), 7)
+    days = C.find_product(B.series(spark, sf_dir), 7)
+    # one product only, so its episodes are spread over the tasks
+    totals = E.benchmark_totals(replay.episode_inputs(products, days, B.EPISODES, P, spread=True), P)
     return E.benchmark_report(E.evaluate_policies(totals))
 
 
@@ -304,7 +342,7 @@ def benchmark_of_one_product(spark, sf_dir):
               FROM evaluation GROUP BY policy)""",
 )
 def policy_leaderboard(spark, sf_dir):
-    return B.rounded(E.full_benchmark(B.catalogue(spark, sf_dir), B.series(spark, sf_dir), B.EPISODES, P))
+    return B.rounded(E.full_benchmark(B.daily(spark, sf_dir), B.EPISODES, P))
 
 
 @query("U2", f"SELECT {EVALUATION} FROM evaluation WHERE policy IN ('fixed', 'optimal')")

@@ -59,10 +59,6 @@ def raw_transactions(spark: SparkSession, sf_dir: str, grain: str = "supplier")
     )
 
 
-def product_number(code: str) -> Column:
-    return F.col(code).cast("bigint")
-
-
 def category_of(part_type: Column) -> Column:
     found = F.lit("Other")
     for kind, category in PART_CATEGORIES.items():
@@ -99,13 +95,17 @@ def season_parameters(products: DataFrame) -> DataFrame:
     )
 
 
-def described_catalogue(fitted: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fitted supplier-grain products with a name, a category and a noise level."""
+def supplier_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name, a category and a noise level for each supplier-grain product."""
     k = F.col("s_suppkey")
-    described = table(spark, sf_dir, "supplier").select(
+    kinds = F.array(*[F.lit(c) for c in PART_CATEGORIES.values()])
+    return table(spark, sf_dir, "supplier").select(
         k.cast("string").alias("product_id"),
         F.col("s_name").alias("name"),
-        F.element_at(F.array(*[F.lit(c) for c in PART_CATEGORIES.values()]), (k % 6 + 1).cast("int")).alias("category"),
+        F.element_at(kinds, (k % len(PART_CATEGORIES) + 1).cast("int")).alias("category"),
         (F.lit(0.05) + (k % 16) / F.lit(100.0)).alias("noise_std"),
     )
-    return fitted.join(described, "product_id")
+
+
+def described_catalogue(fitted: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fitted.join(supplier_labels(spark, sf_dir), "product_id")
