@@ -67,11 +67,8 @@ def minibatch(rows: DataFrame, key_no: Column, first: Column, second: Column, si
     The draw orders rows by a repeatable hash; a distributed top-n keeps ``size`` of
     them.  ``key_no, first, second`` identify a row and break ties.
     """
-    drawn = (
-        rows.withColumn("_drawn", mixed_hash(key_no, first, second, seed))
-        .orderBy("_drawn", key_no, first, second)
-        .limit(size)
-    )
+    order = F.struct(mixed_hash(key_no, first, second, seed), key_no, first, second)
+    drawn = rows.withColumn("_drawn", order).orderBy("_drawn").limit(size)
     enough = F.count("*").over(Window.partitionBy(F.lit(1)))  # over at most ``size`` rows
     return drawn.withColumn("_n", enough).filter(F.col("_n") >= size).drop("_drawn", "_n")
 
