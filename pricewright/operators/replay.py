@@ -332,7 +332,8 @@ def stock_ledger(
             F.array_append(state["openings"], state["stock"]).alias("openings"),
         )
 
-    gathered = demand.groupBy(*keys).agg(F.array_sort(F.collect_list(at)).alias("_days"))
+    laid_out = demand.repartition(parallelism(demand.sparkSession), *keys)
+    gathered = laid_out.groupBy(*keys).agg(F.array_sort(F.collect_list(at)).alias("_days"))
     firsts = F.sequence(F.lit(0), F.floor((F.size("_days") - 1) / F.lit(segment)).cast("int"))
     segments = gathered.withColumn(
         "_segments", F.transform(firsts, lambda i: F.slice("_days", i * segment + 1, F.lit(segment)))

@@ -73,21 +73,21 @@ def moving_average(
     """
     block = max(block or 50 * window, window)
     rows, order = _in_blocks(curve, keys, position, window, block)
-    lengths = curve.groupBy(*keys).agg(F.count("*").alias("_n")) if keys else curve.agg(F.count("*").alias("_n"))
-    averaged = rows.withColumn("_mean", F.avg(value).over(order.rowsBetween(-(window - 1), 0))).filter(
-        F.col("_block") == F.col("_own")
+    # A curve is shorter than the window exactly if its first block is.
+    first_size = F.count("*").over(Window.partitionBy(*keys, "_block"))
+    short = (F.col("_block") == 0) & (F.col("_size") < window)
+    averaged = (
+        rows.withColumn("_mean", F.avg(value).over(order.rowsBetween(-(window - 1), 0)))
+        .withColumn("_size", first_size)
+        .filter(F.col("_block") == F.col("_own"))
+        .withColumn("_short", short)
+        .filter(F.col("_short") | (F.col(position) >= window - 1))
     )
-    if keys:
-        averaged = averaged.join(lengths, keys)
-    else:
-        averaged = averaged.withColumn("_n", lengths.scalar())
-    short = F.col("_n") < window
-    x = F.when(short, F.col(position)).otherwise(F.col(position) - F.lit(window - 1)) + F.lit(window // 2)
+    x = F.when(F.col("_short"), F.col(position)).otherwise(F.col(position) - F.lit(window - 1)) + F.lit(window // 2)
     return (
-        averaged.filter(short | (F.col(position) >= window - 1))
-        .withColumn("smoothed", F.when(short, F.col(value)).otherwise(F.col("_mean")))
+        averaged.withColumn("smoothed", F.when(F.col("_short"), F.col(value)).otherwise(F.col("_mean")))
         .withColumn("x", x.cast("bigint"))
-        .drop("_own", "_block", "_mean", "_n")
+        .drop("_own", "_block", "_mean", "_size", "_short")
     )
 
 

@@ -10,6 +10,7 @@ from ..operators import evaluate as E
 from ..operators import learning as L
 from ..operators import policies, replay
 from ..operators.windows import newest_rows
+from ..session import cut_lineage
 from . import base as B
 from .policies import EVALUATION, replay_sql, steps_of
 from .registry import cte, query
@@ -88,6 +89,11 @@ def _moves(spark, sf_dir):
     return L.transitions(steps_of(spark, sf_dir, [policies.random_policy(P)]), P)
 
 
+def _stored_moves(spark, sf_dir):
+    """Written once, for queries that read the transitions more than once."""
+    return cut_lineage(_moves(spark, sf_dir))
+
+
 @query(
     "L1",
     f"SELECT product_id, policy, episode, step, state, action, {rnd('reward')} AS reward, next_state, done FROM moves",
@@ -113,7 +119,9 @@ def transition_table_from_log(spark, sf_dir):
 )
 def newest_transitions(spark, sf_dir):
     seq = F.col("episode") * P.episode_len + F.col("step")
-    rows = _moves(spark, sf_dir).select("product_id", "episode", "step", "state", "action", "reward", seq.alias("seq"))
+    rows = _stored_moves(spark, sf_dir).select(
+        "product_id", "episode", "step", "state", "action", "reward", seq.alias("seq")
+    )
     return B.rounded(newest_rows(rows, ["product_id"], "seq", capacity=100))
 
 
@@ -150,7 +158,7 @@ def task_batches(spark, sf_dir):
               LEFT JOIN q1 USING (product_id, state, action)) GROUP BY product_id""",
 )
 def td_targets_and_loss(spark, sf_dir):
-    moves = _moves(spark, sf_dir)
+    moves = _stored_moves(spark, sf_dir)
     targets = L.td_targets(moves, L.sweep(moves, None, ["product_id"]), ["product_id"])
     out = targets.groupBy("product_id").agg(
         F.avg("loss").alias("mean_loss"), F.avg("target").alias("mean_target"), F.count("*").alias("n_transitions")
@@ -178,7 +186,7 @@ def greedy_actions(spark, sf_dir):
         ON g.product_id = m.product_id AND g.state = m.state""",
 )
 def epsilon_greedy_actions(spark, sf_dir):
-    moves = _moves(spark, sf_dir)
+    moves = _stored_moves(spark, sf_dir)
     best = L.greedy_actions(L.sweep(moves, None, ["product_id"]), ["product_id"])
     rows = moves.drop("action").join(best.select("product_id", "state", "action"), ["product_id", "state"])
     epsilon = geometric_epsilon(F.col("episode"), decay=0.5)
@@ -200,7 +208,7 @@ def prior_of_other_products(spark, sf_dir):
 
 @query("L7", f"SELECT product_id, state, action, {rnd('q')} AS q FROM adapted2")
 def adapted_q_per_product(spark, sf_dir):
-    moves = _moves(spark, sf_dir)
+    moves = _stored_moves(spark, sf_dir)
     prior = L.pooled_prior(L.fitted_q(moves, ["product_id"], sweeps=1))
     return B.rounded(L.adapted_q(moves, prior, n_episodes=3, sweeps=2))
 
@@ -296,7 +304,7 @@ cte(
 )
 def adaptation_curve(spark, sf_dir):
     """Mean greedy reward after 1, 3 and 5 episodes, from the prior and from scratch."""
-    moves = _moves(spark, sf_dir)
+    moves = _stored_moves(spark, sf_dir)
     prior = L.pooled_prior(L.fitted_q(moves, ["product_id"], sweeps=2))
     tables = L.adaptation_tables(moves, prior, TRIALS)
     inputs = replay.episode_inputs_from_daily(B.daily(spark, sf_dir), B.EPISODES, P)
