@@ -122,21 +122,35 @@ def product_calendars(series: DataFrame) -> DataFrame:
     return series.groupBy("product_id").agg(calendar_array(*columns))
 
 
-def episode_slices(calendars: DataFrame, episodes: int, params: EpisodeParams = EpisodeParams()) -> DataFrame:
+def episode_slices(calendars: DataFrame, episodes: int, params: EpisodeParams = EpisodeParams(), block: int = 100) -> DataFrame:
     """Cut ``episodes`` slices per product out of its calendar.
 
     A slice has one day more than the episode: the observation after the last step
     looks at the next day.  Beyond the end of the calendar the last day repeats.
+    Slices are cut ``block`` episodes at a time before they become rows, so the whole
+    calendar is copied once per block and not once per episode.
     """
-    n_rows = F.size("calendar")
-    rows = calendars.withColumn("episode", F.explode(F.sequence(F.lit(0), F.lit(episodes - 1)))).withColumn(
-        "start", episode_start(n_rows, product_number(F.col("product_id")), F.col("episode"), params)
+    calendar, last = F.col("calendar"), F.size("calendar") - F.lit(1)
+    number = product_number(F.col("product_id"))
+
+    def begun(episode: Column) -> Column:
+        start = episode_start(F.size("calendar"), number, episode, params)
+        return F.struct(episode.alias("episode"), start.alias("start"))
+
+    def cut(e: Column) -> Column:
+        at = F.sequence(F.lit(0), F.lit(params.episode_len))
+        days = F.transform(at, lambda i: calendar[F.least(e["start"] + i, last)])
+        return F.struct(e["episode"].alias("episode"), e["start"].alias("start"), days.alias("days"))
+
+    firsts = F.sequence(F.lit(0), F.lit(episodes - 1), F.lit(block))
+    numbers = F.sequence(F.col("_first"), F.least(F.col("_first") + (block - 1), F.lit(episodes - 1)))
+    rows = calendars.withColumn("_first", F.explode(firsts)).withColumn(
+        "_slices", F.transform(F.transform(numbers, begun), cut)
     )
-    at = F.sequence(F.lit(0), F.lit(params.episode_len))
-    days = F.transform(
-        at, lambda i: F.col("calendar")[F.least(F.col("start") + i, F.size("calendar") - F.lit(1))]
+    kept = [c for c in calendars.columns if c != "calendar"]
+    return rows.select(*kept, F.size("calendar").alias("n_rows"), "_slices").select(
+        *kept, "n_rows", F.inline_outer("_slices")
     )
-    return rows.withColumn("days", days).withColumn("n_rows", n_rows).drop("calendar")
 
 
 def episode_days(series: DataFrame, episodes: int, params: EpisodeParams = EpisodeParams()) -> DataFrame:

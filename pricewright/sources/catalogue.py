@@ -70,8 +70,9 @@ def read_series_csv(spark: SparkSession, directory: str) -> DataFrame:
         .option("pathGlobFilter", f"*{SERIES_SUFFIX}")
         .csv(directory)
     )
-    name = F.col("_metadata.file_name")
-    return raw.select(F.url_decode(F.replace(name, F.lit(SERIES_SUFFIX), F.lit(""))).alias("product_id"), "*")
+    # The name comes percent-encoded; a plus in it is a plus, not a blank.
+    name = F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))
+    return raw.select(F.replace(F.url_decode(name), F.lit(SERIES_SUFFIX), F.lit("")).alias("product_id"), "*")
 
 
 def attach_series(catalogue: DataFrame, series: DataFrame, strict: bool = True) -> DataFrame:
@@ -112,9 +113,17 @@ def save_products(catalogue: DataFrame, series: DataFrame, directory: str, bucke
 
 
 def load_products(spark: SparkSession, directory: str, strict: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Catalogue and series as ``save_products`` wrote them; the series only of listed products."""
-    catalogue = read_catalogue(spark, f"{directory}/{CATALOGUE_DIR}", multi_line=False)
-    series = spark.read.parquet(f"{directory}/{SERIES_DIR}").drop("bucket")
+    """Catalogue and series of a folder; the series only of listed products.
+
+    Reads what ``save_products`` writes, and also a folder with one JSON array and one
+    CSV series per product.
+    """
+    if path_exists(spark, f"{directory}/{SERIES_DIR}"):
+        catalogue = read_catalogue(spark, f"{directory}/{CATALOGUE_DIR}", multi_line=False)
+        series = spark.read.parquet(f"{directory}/{SERIES_DIR}").drop("bucket")
+    else:
+        catalogue = read_catalogue(spark, f"{directory}/{CATALOGUE_DIR}")
+        series = read_series_csv(spark, directory)
     attach_series(catalogue, series, strict)  # raises or warns about missing series
     if not strict:
         catalogue = catalogue.join(series.select("product_id").distinct(), "product_id", "left_semi")
@@ -129,11 +138,23 @@ def find_series(spark: SparkSession, directory: str, product_id, buckets: int =
     return series.filter((F.col("bucket") == bucket) & (F.col("product_id") == wanted)).drop("bucket")
 
 
+def is_complete(spark: SparkSession, directory: str) -> bool:
+    """Whether ``directory`` holds a whole dataset: a catalogue file, or a catalogue written to its end.
+
+    The catalogue is written after the series, and its folder gets the success marker
+    last, so a build that died half-way does not count.
+    """
+    catalogue = f"{directory}/{CATALOGUE_DIR}"
+    if path_exists(spark, f"{directory}/{SERIES_DIR}"):
+        return path_exists(spark, f"{catalogue}/_SUCCESS")
+    return path_exists(spark, catalogue)
+
+
 def get_products(
     spark: SparkSession, directory: str, build: Callable[[], tuple[DataFrame, DataFrame]]
 ) -> tuple[DataFrame, DataFrame]:
     """Reuse the dataset in ``directory`` if it is there, else build and save it."""
-    if not path_exists(spark, f"{directory}/{CATALOGUE_DIR}"):
+    if not is_complete(spark, directory):
         catalogue, series = build()
         save_products(catalogue, series, directory)
     return load_products(spark, directory)

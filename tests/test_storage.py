@@ -62,6 +62,34 @@ def test_catalogue_array_and_series_by_file_name(spark, tmp_path):
     assert joined.count() == 4 and joined.filter("product_id = '20725'").agg({"demand": "sum"}).first()[0] == 11.0
 
 
+def test_odd_ids_survive_in_file_names(spark, tmp_path):
+    for product in ("a b", "50%", "x+y", "caf\u00e9"):
+        write_series(tmp_path, product)
+    ids = {r["product_id"] for r in S.read_series_csv(spark, str(tmp_path)).select("product_id").collect()}
+    assert ids == {"a b", "50%", "x+y", "caf\u00e9"}
+
+
+def test_file_per_product_dataset_is_reused(spark, tmp_path):
+    write_files(tmp_path, [1, 2])
+    for product in (1, 2):
+        write_series(tmp_path, product)
+    products, series = S.get_products(spark, str(tmp_path), lambda: pytest.fail("built although present"))
+    assert products.count() == 2 and series.count() == 4
+
+
+def test_half_written_dataset_is_built_again(spark, tmp_path):
+    path = tmp_path / "ds"
+    S.save_products(*small_dataset(spark), str(path))
+    (path / "products_metadata.json" / "_SUCCESS").unlink()
+    calls = []
+
+    def build():
+        calls.append(1)
+        return small_dataset(spark)
+
+    assert S.get_products(spark, str(path), build)[0].count() == 50 and calls == [1]
+
+
 def test_strict_and_lenient_loading(spark, tmp_path):
     write_files(tmp_path, [1, 2])
     write_series(tmp_path, 1)
