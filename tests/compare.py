@@ -14,12 +14,12 @@ TABLES = (
 ).split()
 
 DUCK_TYPES = {
-    "string": {"VARCHAR"},
-    "double": {"DOUBLE"},
-    "int": {"INTEGER", "BIGINT"},
-    "bigint": {"INTEGER", "BIGINT"},
-    "date": {"DATE"},
-    "boolean": {"BOOLEAN"},
+    "string": "VARCHAR",
+    "double": "DOUBLE",
+    "int": "INTEGER",
+    "bigint": "BIGINT",
+    "date": "DATE",
+    "boolean": "BOOLEAN",
 }
 
 
@@ -57,7 +57,7 @@ def differences(spark_df, con, sql: str) -> list[str]:
     if set(duck_types) != set(spark_types):
         return [f"columns: spark {sorted(spark_types)}, sql {sorted(duck_types)}"]
     for name, kind in spark_types.items():
-        if duck_types[name] not in DUCK_TYPES.get(kind, {kind.upper()}):
+        if duck_types[name] != DUCK_TYPES.get(kind):
             found.append(f"type of {name}: spark {kind}, sql {duck_types[name]}")
     ours, theirs = _rows(spark_df.toPandas()), _rows(con.execute(sql).df())
     if sum(ours.values()) != sum(theirs.values()):

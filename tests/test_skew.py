@@ -6,7 +6,6 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from pricewright import plans
 from pricewright.operators import clean, demand
