@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing, urls
+from ..session import fresh_path
+from . import elias_fano, exact, mixing, packing, urls
 from .common import table
+from .tokens import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -109,3 +111,17 @@ FROM rated
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.taken_words(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the ids of all texts as shards and read every document's span back from them."""
+    folder = fresh_path(spark, "token-shards")
+    elias_fano.write(table(spark, sf_dir, "documents"), folder, tokenizer_path("byte_bpe_50k.json"))
+    return elias_fano.read(spark, folder)
+
+
+@query()
+def op9_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in its sequence."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
