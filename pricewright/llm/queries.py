@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import fresh_path
-from . import elias_fano, exact, mixing, packing, urls
+from . import elias_fano, exact, language, mixing, packing, urls
 from .common import table
 from .tokens import tokenizer_path
 
@@ -125,3 +125,9 @@ def op8_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every piece of every document in its sequence."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query()
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from the rows that are not held out."""
+    return language.identify(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
