@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import fresh_path
-from . import elias_fano, exact, language, mixing, packing, urls
+from . import elias_fano, exact, language, mixing, packing, quality, urls
 from .common import table
 from .tokens import tokenizer_path
 
@@ -131,3 +131,9 @@ def op9_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text, learned from the rows that are not held out."""
     return language.identify(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query()
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole text, learned from labelled rows that are not held out."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
