@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import held_out
 from .tokens import slices
@@ -41,7 +42,7 @@ SAME, OTHER = BUCKETS, BUCKETS + 1  # buckets of word pairs
 PRIOR = 30
 EPOCHS = 8
 BATCH = 32
-RATE = 0.5
+RATE = 4.0
 STEEPEST = 1.0  # longer gradients are shortened to this
 KNOWN_WORDS = 500_000
 LONG = 100  # longer words are not remembered
@@ -212,8 +213,7 @@ def scored(rows: DataFrame, model: Model) -> DataFrame:
             flat = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flat, pa.float64())], [*names, "quality_score"])
 
-    ddl = rows.schema.add("quality_score", "double")
-    return rows.mapInArrow(score, ddl)
+    return rows.mapInArrow(score, T.StructType([*rows.schema, T.StructField("quality_score", T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, threshold: float = THRESHOLD) -> DataFrame:
