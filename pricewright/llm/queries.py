@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import fresh_path
-from . import elias_fano, exact, language, mixing, packing, quality, urls
+from . import elias_fano, embeddings, exact, language, mixing, packing, quality, urls
 from .common import table
 from .tokens import tokenizer_path
 
@@ -137,3 +137,9 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every whole text, learned from labelled rows that are not held out."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op3_hamming_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return embeddings.duplicates(table(spark, sf_dir, "embeddings"))
