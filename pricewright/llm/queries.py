@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import fresh_path
-from . import elias_fano, embeddings, exact, language, mixing, packing, quality, urls
+from . import chosen_path, elias_fano, embeddings, exact, language, mixing, packing, quality, urls
 from .common import table
 from .tokens import tokenizer_path
 
@@ -143,3 +143,9 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_hamming_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector."""
     return embeddings.duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near copies of every whole text, by pairs of words."""
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
