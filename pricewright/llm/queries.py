@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import fresh_path
-from . import chosen_path, elias_fano, embeddings, exact, language, mixing, packing, quality, urls
+from . import chosen_path, elias_fano, embeddings, exact, language, mixing, packing, ppm, quality, urls
 from .common import table
 from .tokens import tokenizer_path
 
@@ -149,3 +149,9 @@ def op3_hamming_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of near copies of every whole text, by pairs of words."""
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op1_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every whole text, learned from the rows that are not held out."""
+    return ppm.score(table(spark, sf_dir, "documents"))
