@@ -24,6 +24,7 @@ counts are zero; an empty table gives no rows.  Zero bytes inside a text are tak
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +82,17 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts[:0]
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Rising keys as their differences, byte place by byte place, deflated."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    return zlib.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpack_keys(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def _tables(keys: np.ndarray, counts: np.ndarray, lowest: int) -> list:
     """(symbol in context, count) tables of the orders from ``lowest`` up, shorter ones as None."""
     out: list = [None] * (ORDER + 1)
@@ -150,7 +162,7 @@ def _packed(chunk: int, found: dict, n_buckets: int) -> pa.Table:
         for b in range(n_buckets):
             own = np.sort(order[borders[b] : borders[b + 1]])
             if len(own):
-                rows.append((chunk, kind, b, keys[own].astype("<u8").tobytes(), counts[own].astype("<i8").tobytes()))
+                rows.append((chunk, kind, b, pack_keys(keys[own]), counts[own].astype("<i8").tobytes()))
     types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
     columns = list(zip(*rows)) or [()] * 5
     return pa.Table.from_arrays(
@@ -164,7 +176,7 @@ def _features(chunked: DataFrame, n_buckets: int) -> DataFrame:
     def count(table: pa.Table) -> pa.Table:
         texts, out = table.column("text").to_pylist(), table.column("held_out").to_numpy(zero_copy_only=False)
         parts_of: dict[int, list] = {GRAMS: [], WORDS: []}
-        for a, b in slices(texts, 4 << 20):
+        for a, b in slices(texts, 2 << 20):
             stream = Stream(texts[a:b])
             train = ~out[a:b]
             for kind, values, bounds in ((GRAMS, stream.grams, stream.bounds), (WORDS, stream.words, stream.word_bounds)):
@@ -182,7 +194,8 @@ def _features(chunked: DataFrame, n_buckets: int) -> DataFrame:
 
 
 def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), "<u8")
+    blobs = table.column("keys").to_pylist()
+    keys = np.concatenate([unpack_keys(x) for x in blobs]) if blobs else np.zeros(0, np.uint64)
     return keys, np.frombuffer(b"".join(table.column("counts").to_pylist()), "<i8")
 
 
@@ -193,7 +206,7 @@ def _merged(features: DataFrame, n_chunks: int) -> DataFrame:
         keys, counts = summed(*_unpack(table))
         used = counts > 0
         row = [[table.column(c)[0].as_py()] for c in ("chunk", "kind", "bucket")]
-        values = [*row, [keys[used].astype("<u8").tobytes()], [counts[used].astype("<i8").tobytes()]]
+        values = [*row, [pack_keys(keys[used])], [counts[used].astype("<i8").tobytes()]]
         types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(values, types)], ["chunk", "kind", "bucket", "keys", "counts"])
 
@@ -212,7 +225,7 @@ def _short_contexts(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def pairs(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                keys = np.frombuffer(row["keys"], "<u8") & np.uint64(0xFFFF)
+                keys = unpack_keys(row["keys"]) & np.uint64(0xFFFF)
                 keys, counts = summed(keys, np.frombuffer(row["counts"], "<i8"))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], ["pair", "n"])
 
@@ -240,7 +253,7 @@ def _answers(features: DataFrame, model: DataFrame, pairs: tuple[np.ndarray, np.
     """For every packed row of a chunk the prices of its grams or the counts of its words, in the same order."""
     fans = -(-n_chunks // FAN)
     salted = model.drop("chunk").withColumn("fan", F.explode(F.sequence(F.lit(0), F.lit(fans - 1))))
-    asked = features.withColumn("fan", F.floor(F.col("chunk") / FAN).cast("int"))
+    asked = features.drop("counts").withColumn("fan", F.floor(F.col("chunk") / FAN).cast("int"))
     shared = features.sparkSession.sparkContext.broadcast(pairs)
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -252,7 +265,7 @@ def _answers(features: DataFrame, model: DataFrame, pairs: tuple[np.ndarray, np.
             tables[0] = summed(shared.value[0] & np.uint64(0xFF), shared.value[1])
         answers = []
         for blob in left.column("keys").to_pylist():
-            wanted = np.frombuffer(blob, "<u8")
+            wanted = unpack_keys(blob)
             if kind == GRAMS:
                 answers.append(prices(wanted, tables).astype("<f4").tobytes())
             else:
@@ -325,13 +338,14 @@ def score(docs: DataFrame, folds: int = 5, fold: int = 1, chunk_bytes: int = CHU
 
         def known(kind: int, dtype: str) -> Lookup:
             own = right.filter(pa.array(kinds == kind))
-            keys = np.frombuffer(b"".join(own.column("keys").to_pylist()), "<u8")
+            blobs = own.column("keys").to_pylist()
+            keys = np.concatenate([unpack_keys(x) for x in blobs]) if blobs else np.zeros(0, np.uint64)
             return Lookup(keys, np.frombuffer(b"".join(own.column("answers").to_pylist()), dtype))
 
         columns: list[list[np.ndarray]] = [[], [], [], []]
         texts = left.column("text").to_pylist()
         grams, words = known(GRAMS, "<f4"), known(WORDS, "<i8")
-        for a, b in slices(texts, 4 << 20):
+        for a, b in slices(texts, 2 << 20):
             stream = Stream(texts[a:b])
             price = grams.get(stream.grams).astype(np.float64)
             counts = words.get(stream.words)
