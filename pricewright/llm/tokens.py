@@ -28,8 +28,8 @@ LONG = 100  # longer cuttings are not remembered
 _RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 # Characters whose lower case or composition is left to the tokenizer's own normaliser.
 _FAR = re.compile("[^\x00-\u024f]")
-# A word of nearby letters, and what follows it up to the end.
-_PLAIN = re.compile("([^\\W\\d_\u0250-\U0010ffff]+)([^\\w\\s\u0250-\U0010ffff]*)")
+# A word of nearby letters, and what follows it up to the end; small figures are no letters.
+_PLAIN = re.compile("([^\\W\\d_\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]+)([^\\w\\s\u0250-\U0010ffff]*)")
 # Where a cut before a blank is not certainly the border of two pieces.
 _ODD = ("  ", " \n", " \t", " \r", " \x0b", " \x0c")
 
