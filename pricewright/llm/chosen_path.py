@@ -5,11 +5,11 @@ In each of several independent trees a node chooses, by a hash of its own path,
 the minwise tokens, 1 / threshold on average; a class goes on to the child named by its token.
 So a pair at the threshold is expected to share one node at any depth, while unlike classes part.
 Nodes of at most ``LEAF`` classes are compared exhaustively by their signatures; nodes that hold the same
-classes as another one are compared once.  Pairs whose estimate lies more than five standard deviations
+classes as another one are compared once.  Pairs whose estimate lies more than four standard deviations
 below the threshold go; all others are confirmed on full sets.
 
-What is still together at ``DEPTH`` shares that many tokens: nodes of near copies.  Their
-classes are compared with the smallest of them, and any that are not connected after
+What is still together at the last level shares that many tokens: nodes of near copies.  Their
+classes are compared with one of them, and any that are not connected after
 that with all of the node, so no cap drops a pair.  Only connections matter, so the best pair of each class is
 confirmed first, and of the rest only those whose ends are not connected yet.
 
@@ -21,6 +21,7 @@ component without a name; rows that repeat an id each get the result of it; an e
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,10 @@ from .components import components
 from .tokens import slices
 from .words import hashed, mixed
 
-TOKENS = 96  # minwise tokens of a class
+TOKENS = 128  # minwise tokens of a class
 TREES = 12
 LEAF = 24
-DEPTH = 8
+BLOCK = 256
 SALT_ROWS = 256
 
 _MULTIPLIERS = np.random.default_rng(77).integers(0, 1 << 63, TOKENS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -101,24 +102,31 @@ def _children(path: Column, sign: Column) -> Column:
     return F.array_distinct(F.coalesce(second, F.array(child(1))))
 
 
+def tree_depth(classes: int) -> int:
+    """Tokens after which unlike classes, of which a token is shared by one in twenty at most, have parted."""
+    return max(3, math.ceil(math.log(max(classes, 2)) / math.log(20)))
+
+
 def _nodes(classes: DataFrame, trees: int, leaf: int, depth: int) -> tuple[DataFrame, DataFrame]:
-    """``cell, rep`` of the small nodes, and of the nodes still large at the end."""
-    roots = classes.select("rep", "signature", F.explode(F.sequence(F.lit(1), F.lit(trees)).cast("array<bigint>")).alias("path"))
-    leaves, level = [], 0
-    while True:
-        level += 1
-        rows = written(roots.select("rep", F.explode(_children(F.col("path"), F.col("signature"))).alias("path")), "nodes")
+    """``cell, rep`` of the small nodes, and of the nodes still large at the end.
+
+    Nodes of the same classes, told by their number and the sum of their hashes, are
+    kept once, whatever tree or level they are in.
+    """
+    rows = classes.select("rep", "signature", F.explode(F.sequence(F.lit(1), F.lit(trees)).cast("array<bigint>")).alias("path"))
+    levels = []
+    for level in range(1, depth + 1):
+        rows = written(rows.select("rep", F.explode(_children(F.col("path"), F.col("signature"))).alias("path")), "nodes")
         sized = rows.groupBy("path").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("of")).where("n > 1")
-        # Nodes of the same classes: one of them is enough, whatever tree it is in.
-        cells = written(sized.groupBy("n", "of").agg(F.min("path").alias("path")), "cells")
-        leaves.append(rows.join(cells.where(F.col("n") <= leaf), "path").select(F.col("path").alias("cell"), "rep"))
-        large = cells.where(F.col("n") > leaf)
-        if large.isEmpty():
-            return _union(leaves), leaves[0].limit(0)
-        left = rows.join(large, "path").select("path", "rep")
-        if level == depth:
-            return _union(leaves), left.select(F.col("path").alias("cell"), "rep")
-        roots = left.join(classes.select("rep", "signature"), "rep")
+        levels.append(written(rows.join(sized, "path"), "sized"))
+        large = levels[-1].where(F.col("n") > leaf)
+        if level == depth or large.isEmpty():
+            break
+        rows = large.select("rep", "path").join(classes.select("rep", "signature"), "rep")
+    ends = _union([*[rows.where(F.col("n") <= leaf) for rows in levels], levels[-1].where(F.col("n") > leaf)])
+    once = ends.groupBy("n", "of").agg(F.min("path").alias("path")).select("path")
+    cells = written(ends.join(once, "path").select(F.col("path").alias("cell"), "rep", "n"), "cells")
+    return cells.where(F.col("n") <= leaf).select("cell", "rep"), cells.where(F.col("n") > leaf).select("cell", "rep")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -129,8 +137,8 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def _least_alike(threshold: float) -> int:
-    """Equal tokens that a pair at the threshold has but once in millions."""
-    return int(TOKENS * threshold - 5 * (TOKENS * threshold * (1 - threshold)) ** 0.5)
+    """Equal tokens that a pair at the threshold falls short of once in 30,000 times."""
+    return int(TOKENS * threshold - 4 * (TOKENS * threshold * (1 - threshold)) ** 0.5)
 
 
 def _compared(cells: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -185,12 +193,10 @@ def _compared(cells: DataFrame, classes: DataFrame, threshold: float) -> DataFra
     return ordered.mapInArrow(search, "a bigint, b bigint, alike int").groupBy("a", "b").agg(F.max("alike").alias("alike"))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, per_cent: int) -> DataFrame:
-    """The pairs ``a, b`` whose full sets link.
+def _sets(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``rep, shingles`` of the documents that occur in pairs, worked out again from their texts.
 
-    Sets are worked out again for the documents that occur.  The set of ``b`` travels to ``a``
-    once per pair; that of ``a`` once for every few hundred pairs, so a document with
-    very many partners is spread over tasks, and a task holds one set of ``a`` at a time.
+    ``halves`` has the upper half of each hash: enough to rule a pair out, not to confirm it.
     """
     needed = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
 
@@ -198,11 +204,28 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, per_cent: int) ->
         for batch in batches:
             texts, ids = batch.column("text").to_pylist(), batch.column("rep")
             for a, b in slices(texts):
-                found = [x.tobytes() for x in shingle_sets(texts[a:b], width)]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(found, pa.binary())], ["rep", "shingles"])
+                found = list(shingle_sets(texts[a:b], width))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids.slice(a, b - a),
+                        pa.array([x.tobytes() for x in found], pa.binary()),
+                        pa.array([(x >> np.uint64(32)).astype("<u4").tobytes() for x in found], pa.binary()),
+                    ],
+                    ["rep", "shingles", "halves"],
+                )
+
+    # The list of ids grows with the documents, so it is never sent whole to all tasks.
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(needed.hint("merge"), "rep", "left_semi")
+    return written(texts.dropDuplicates(["rep"]).mapInArrow(build, "rep bigint, shingles binary, halves binary"), "sets")
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(needed, "rep", "left_semi").dropDuplicates(["rep"])
-    sets = written(texts.mapInArrow(build, "rep bigint, shingles binary"), "sets")
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """The pairs ``a, b`` whose full sets link.
+
+    The set of ``b`` travels to ``a`` once per pair; that of ``a`` once for every few hundred
+    pairs, so a document with very many partners is spread over tasks, and a task holds
+    one set of ``a`` at a time.
+    """
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
     first = counts.join(sets, F.col("a") == F.col("rep")).select(
         "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("b"), "shingles"
@@ -239,8 +262,92 @@ def _apart(pairs: DataFrame, named: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
 
+def _agreements(block: list[np.ndarray], rows: list[np.ndarray]) -> np.ndarray:
+    """How many elements each row shares with each set of the block, or a little more if halves collide."""
+    values, of = np.unique(np.concatenate(block), return_inverse=True)
+    flat = np.concatenate(rows)
+    at = np.minimum(np.searchsorted(values, flat), len(values) - 1)
+    at[values[at] != flat] = len(values)  # a column no set of the block has
+
+    def counted(sets: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
+        width = len(values) + 1
+        cells = np.repeat(np.arange(len(sets)), [len(x) for x in sets]) * width + columns
+        return np.bincount(cells, minlength=len(sets) * width).reshape(len(sets), width).astype(np.float32)
+
+    held = counted(block, of)
+    held[:, -1] = 0
+    return counted(rows, at) @ held.T
+
+
+def _outside(large: DataFrame, named: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """``a, b`` of large nodes that link, as far as half hashes tell, and are not connected yet.
+
+    What is outside a node's largest component, if anything, is dealt into blocks; all classes of
+    the node pass every block and are compared with all of it.  A task holds one block and sends
+    only links that connect what it has not connected yet, never all pairs.
+    """
+    joined = large.join(named, F.col("rep") == F.col("node"), "left").select("cell", "rep", F.coalesce("component", "rep").alias("of"))
+    joined = written(joined, "parts")
+    sizes = joined.groupBy("cell", "of").agg(F.count("*").alias("n"))
+    parted = (
+        sizes.groupBy("cell")
+        .agg(F.max(F.struct("n", "of")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("kinds"))
+        .where("kinds > 1")
+        .select("cell", F.col("most.of").alias("of_most"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("blocks"))
+    )
+    rows = joined.join(parted, "cell").join(sets.select("rep", "halves"), "rep")
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    held = rows.where("of <> of_most").withColumn("block", own).withColumn("role", F.lit(0))
+    passing = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(1))
+    both = held.unionByName(passing).select(F.xxhash64("cell", "block").alias("group"), "role", "rep", "of", "halves")
+
+    def compare(block: list, rows: list, root: dict):
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        fits = _agreements([x for *_, x in block], [x for *_, x in rows])
+        large_sizes = np.array([len(x) for *_, x in block], np.float32)
+        own_sizes = np.array([len(x) for *_, x in rows], np.float32)
+        linked = 100 * fits >= per_cent * (own_sizes[:, None] + large_sizes[None, :] - fits)
+        apart = np.array([c for _, c, _ in rows])[:, None] != np.array([c for _, c, _ in block])[None, :]
+        for i, j in zip(*np.nonzero(linked & apart)):
+            (a, of_a, _), (b, of_b, _) = rows[i], block[j]
+            of_a, of_b = find(of_a), find(of_b)
+            if of_a != of_b:
+                root[max(of_a, of_b)] = min(of_a, of_b)
+                yield min(a, b), max(a, b)
+
+    def search(batches):
+        group, block, root = None, [], {}
+        for batch in batches:
+            groups, roles = batch.column("group").to_numpy(), batch.column("role").to_numpy()
+            ids, of = batch.column("rep").to_pylist(), batch.column("of").to_pylist()
+            halves = [np.frombuffer(x, "<u4") for x in batch.column("halves").to_pylist()]
+            changes = (groups[1:] != groups[:-1]) | (roles[1:] != roles[:-1])
+            borders = np.flatnonzero(np.concatenate([[True], changes, [True]]))
+            found: set[tuple[int, int]] = set()
+            for begin, end in zip(borders[:-1].tolist(), borders[1:].tolist()):
+                if groups[begin] != group:
+                    group, block, root = groups[begin], [], {}
+                part = list(zip(ids[begin:end], of[begin:end], halves[begin:end]))
+                if roles[begin] == 0:
+                    block += part
+                    continue
+                for at in range(0, len(block), 64):  # bounds the matrices
+                    for k in range(0, len(part), 64):
+                        found.update(compare(block[at : at + 64], part[k : k + 64], root))
+            pairs = sorted(found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["a", "b"]
+            )
+
+    return both.repartition("group").sortWithinPartitions("group", "role").mapInArrow(search, "a bigint, b bigint")
+
+
 def near_duplicates(
-    docs: DataFrame, width: int = 2, per_cent: int = 80, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH
+    docs: DataFrame, width: int = 2, per_cent: int = 80, trees: int = TREES, leaf: int = LEAF, depth: int | None = None
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for rows of ``doc_id, text``."""
     threshold = per_cent / 100
@@ -250,30 +357,32 @@ def near_duplicates(
         members.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")),
         "classes",
     )
-    small, large = _nodes(classes, trees, leaf, depth)
-    large = written(large, "large")
-    heads = large.groupBy("cell").agg(F.min("rep").alias("a"))
-    stars = large.join(heads, "cell").where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
+    small, large = _nodes(classes, trees, leaf, depth or tree_depth(classes.count()))
+    # Each node draws a head of its own, so a family of near copies meets many of its members.
+    heads = large.groupBy("cell").agg(F.min(F.struct(F.xxhash64("cell", "rep"), "rep")).alias("head"))
+    stars = (
+        large.join(heads.select("cell", F.col("head.rep").alias("head")), "cell")
+        .where("head <> rep")
+        .select(F.least("head", "rep").alias("a"), F.greatest("head", "rep").alias("b"))
+        .distinct()
+    )
     candidates = written(_compared(small, classes, threshold), "candidates")
 
-    # The best partner of every class, and the heads of the large nodes.
+    # First the best partner of every class, and the heads of the large nodes.
     ends = candidates.select(F.col("a").alias("x"), F.struct("alike", "a", "b").alias("p")).unionByName(
         candidates.select(F.col("b").alias("x"), F.struct("alike", "a", "b").alias("p"))
     )
     best = ends.groupBy("x").agg(F.max("p").alias("p")).select("p.a", "p.b")
-    edges = written(_confirmed(written(best.unionByName(stars).distinct(), "pairs"), docs, width, per_cent), "links")
-    named = written(components(edges), "named")
+    pairs = written(best.unionByName(stars).distinct(), "pairs")
+    sets = _sets(pairs, docs, width)
+    named = written(components(written(_confirmed(pairs, sets, per_cent), "links")), "named")
 
-    # Whatever is not connected by these: the other candidates, and in large nodes those apart from the head with all.
-    joined = large.join(named, F.col("rep") == F.col("node"), "left").select("cell", "rep", F.coalesce("component", "rep").alias("of"))
-    of_head = joined.join(heads, (joined["cell"] == heads["cell"]) & (F.col("rep") == F.col("a"))).select(
-        joined["cell"], F.col("of").alias("of_head")
-    )
-    outside = joined.join(of_head, "cell").where("of <> of_head").select("cell", F.col("rep").alias("x"), F.col("of").alias("of_x"))
-    across = joined.join(outside, "cell").where("of <> of_x").select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b"))
+    # Then what these do not connect: other candidates, and in large nodes those outside its largest component with all.
+    across = _outside(large, named, sets, per_cent)
     rest = written(_apart(candidates.select("a", "b"), named).unionByName(across).distinct(), "pairs")
-    edges = edges.unionByName(_confirmed(rest, docs, width, per_cent))
-    named = components(edges)
+    if not rest.isEmpty():
+        more = _confirmed(rest, sets, per_cent)
+        named = components(named.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     per_class = classes.join(named, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     placed = described.join(per_class, "digest", "left")

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from .common import held_out
 from .tokens import slices
 
-SAMPLE = 6000  # documents learned from at most
+SAMPLE = 4000  # documents learned from at most
 BUCKETS = 1 << 15
 DIMENSIONS = 16
 GRAMS = (3, 4)
@@ -44,7 +44,7 @@ EPOCHS = 8
 BATCH = 32
 RATE = 4.0
 STEEPEST = 1.0  # longer gradients are shortened to this
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 150_000
 LONG = 100  # longer words are not remembered
 THRESHOLD = 0.3
 
@@ -132,7 +132,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, folds: int, fold: int, s
                 found = [sorted(bucket_counts(t).items()) for t in texts[a:b]]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([np.array([k for k, _ in f], "<u4").tobytes() for f in found], pa.binary()),
+                        pa.array([np.array([k for k, _ in f], "<u2").tobytes() for f in found], pa.binary()),
                         pa.array([np.array([n for _, n in f], "<f4").tobytes() for f in found], pa.binary()),
                         pa.array(qualities[a:b], pa.int32()),
                     ],
@@ -146,9 +146,10 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, sam
     """Fit on the driver: the sample and the size of its rows are bounded by ``sample`` and ``BUCKETS``."""
     rows = []
     for row in sorted(labelled_sample(docs, labels, folds, fold, sample).collect(), key=lambda r: (r.quality, r.buckets, r.counts)):
-        counts = np.frombuffer(row["counts"], "<f4").astype(np.float64)
+        counts = np.frombuffer(row["counts"], "<f4")
         if len(counts):
-            rows.append((np.frombuffer(row["buckets"], "<u4").astype(np.int64), counts / (counts.sum() + PRIOR), row["quality"]))
+            shares = counts / np.float32(counts.sum(dtype=np.float64) + PRIOR)
+            rows.append((np.frombuffer(row["buckets"], "<u2"), shares, row["quality"]))
     return Model().fit(rows)
 
 

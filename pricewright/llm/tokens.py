@@ -20,8 +20,9 @@ import zlib
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
 
-KNOWN = 1_000_000
+KNOWN = 400_000
 LONG = 100  # longer cuttings are not remembered
 
 # White space other than blank, tab and line ends: such texts go through the library whole.
@@ -201,3 +202,4 @@ def slices(texts: list[str | None], limit: int = 1 << 20):
         size += n
     if begin < len(texts):
         yield begin, len(texts)
+    pa.default_memory_pool().release_unused()  # workers wait for their next task with what they hold
