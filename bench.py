@@ -19,7 +19,7 @@ HEADLINES = (
     "demand_trend",
     "smoothed_learning_curve",
     "stock_ledger",
-    "policy_replay",
+    "logged_episode_steps",
     "ten_feature_table",
     "policy_leaderboard",
     "fitted_q_per_product",

@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Multipliers and modulus of the repeatable hash.
-HASH_PRODUCT = 7919
-HASH_EPISODE = 104729
-HASH_STEP = 1299709
-HASH_SHIFT = 40503
-HASH_MODULUS = 1000003
+# Two primes below 2**31 that leave 2 when divided by 3, so cubing permutes the numbers below
+# them, and the multipliers of the keys and the seed under each.
+HASH_ROUNDS = ((2147483579, (7919, 104729, 1299709, 1)), (2147483549, (611953, 15485863, 49979687, 86028121)))
+HASH_RANGE = 1 << 62  # the hash lies below this
+
+# From here on a double has no digits left to round.
+EXACT = float(1 << 53)
 
 
 def half_up(value: Column, digits: int) -> Column:
     """Round half up by way of ``floor``.
 
     ``round`` differs between engines on values that end on a binary tie; this
-    form is plain IEEE arithmetic and gives the same double everywhere.
+    form is plain IEEE arithmetic and gives the same double everywhere.  Infinity, NaN and
+    numbers too large to have that many digits stay as they are.
     """
     scale = float(10**digits)
-    return F.floor(value * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    rounded = F.floor(value * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    return F.when(F.abs(value) * F.lit(scale) < F.lit(EXACT), rounded).otherwise(value.cast("double"))
 
 
 def clip(value: Column, low: float | Column, high: float | Column) -> Column:
@@ -35,20 +38,28 @@ def product_number(product_id: Column) -> Column:
 
 
 def mixed_hash(product_no: Column, episode: Column, step: Column, seed: int = 0) -> Column:
-    """Repeatable integer in ``[0, HASH_MODULUS)`` from three keys and a seed."""
-    folded = (
-        product_no.cast("bigint") * F.lit(HASH_PRODUCT)
-        + episode.cast("bigint") * F.lit(HASH_EPISODE)
-        + step.cast("bigint") * F.lit(HASH_STEP)
-        + F.lit(seed)
-    )
-    first = F.pmod(folded, F.lit(HASH_MODULUS))
-    return F.pmod(first * (first + F.lit(HASH_SHIFT)), F.lit(HASH_MODULUS))
+    """Repeatable integer in ``[0, HASH_RANGE)`` from three keys and a seed.
+
+    Each round folds the keys modulo a prime, which no key can overflow, and cubes; the
+    rounds have different primes and multipliers, so keys that meet in one part in the other.
+    """
+    parts = []
+    for prime, (of_product, of_episode, of_step, of_seed) in HASH_ROUNDS:
+        folded = F.pmod(
+            F.pmod(product_no.cast("bigint"), F.lit(prime)) * F.lit(of_product)
+            + F.pmod(episode.cast("bigint"), F.lit(prime)) * F.lit(of_episode)
+            + F.pmod(step.cast("bigint"), F.lit(prime)) * F.lit(of_step)
+            + F.lit((seed + 1) * of_seed % prime),
+            F.lit(prime),
+        )
+        parts.append(F.pmod(F.pmod(folded * folded, F.lit(prime)) * folded, F.lit(prime)))
+    return parts[0] * F.lit(1 << 31) + parts[1]
 
 
 def mixed_unit(product_no: Column, episode: Column, step: Column, seed: int = 0) -> Column:
     """Repeatable number in ``[0, 1)``."""
-    return mixed_hash(product_no, episode, step, seed) / F.lit(float(HASH_MODULUS))
+    # Half a unit in the last place short of 1 would round up to it.
+    return F.least(mixed_hash(product_no, episode, step, seed) / F.lit(float(HASH_RANGE)), F.lit(1.0 - 2.0**-53))
 
 
 def let(value: Column, like: Column, body) -> Column:

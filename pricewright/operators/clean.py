@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,8 +10,8 @@ from ..params import CleanParams
 from .positions import code_order
 
 REQUIRED = ("Invoice", "StockCode", "Quantity", "Price", "InvoiceDate")
-# A top-k list up to this many codes is small enough to send to every executor.
-BROADCAST_CODES = 100_000
+# What a number looks like; a cast alone would also take letters behind it, as in 5d.
+NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:nan|inf|infinity))\s*$"
 
 
 def require_columns(df: DataFrame, columns=REQUIRED) -> DataFrame:
@@ -32,7 +32,8 @@ def coerce_numbers(df: DataFrame) -> DataFrame:
     require_columns(df, ["Quantity", "Price"])
     for name in ("Quantity", "Price"):
         if not isinstance(df.schema[name].dataType, T.DoubleType):
-            df = df.withColumn(name, F.col(name).try_cast("double"))
+            text = F.col(name).cast("string")
+            df = df.withColumn(name, F.when(text.rlike(NUMBER), text.try_cast("double")))
     return df
 
 
@@ -48,17 +49,27 @@ def drop_incomplete(df: DataFrame) -> DataFrame:
     return df.dropna(subset=["Quantity", "Price", "StockCode", "InvoiceDate"])
 
 
+def parse_time(text: Column, kind: T.DataType, params: CleanParams = CleanParams()) -> Column:
+    """A time as a timestamp; null for a text in none of the known spellings.
+
+    A failed format costs an exception per row, so a text only meets the format it looks
+    like.  Texts without a year match nothing: they would mean another day on every run.
+    """
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return text
+    text = F.trim(text)
+    time = F.lit(None).cast("timestamp")
+    for looks, fmt in reversed(params.time_formats):
+        read = F.try_to_timestamp(text, F.lit(fmt)) if fmt else text.try_cast("timestamp")
+        time = F.when(text.rlike(looks), read).otherwise(time)
+    return time
+
+
 def parse_invoice_time(df: DataFrame, params: CleanParams = CleanParams()) -> DataFrame:
     """Invoice time as a timestamp; rows whose time cannot be read are dropped."""
     require_columns(df, ["InvoiceDate"])
-    if not isinstance(df.schema["InvoiceDate"].dataType, (T.TimestampType, T.TimestampNTZType)):
-        text = F.col("InvoiceDate")
-        # A failed format costs an exception per row, so only texts with a slash try them.
-        slashed = F.coalesce(*[F.try_to_timestamp(text, F.lit(fmt)) for fmt in params.slash_formats])
-        df = df.withColumn(
-            "InvoiceDate", F.when(text.contains("/"), slashed).otherwise(text.try_cast("timestamp"))
-        )
-    return df.filter(F.col("InvoiceDate").isNotNull())
+    time = parse_time(F.col("InvoiceDate"), df.schema["InvoiceDate"].dataType, params)
+    return df.withColumn("InvoiceDate", time).filter(F.col("InvoiceDate").isNotNull())
 
 
 def add_invoice_day(df: DataFrame) -> DataFrame:
@@ -78,17 +89,34 @@ def top_codes(df: DataFrame, k: int = 20) -> DataFrame:
     return counts.orderBy(F.col("n_lines").desc(), *code_order("StockCode")).limit(k)
 
 
-def keep_codes(df: DataFrame, codes: DataFrame, k: int) -> DataFrame:
-    codes = codes.select("StockCode")
-    if k <= BROADCAST_CODES:  # ``codes`` holds at most k rows
-        codes = F.broadcast(codes)
-    return df.join(codes, "StockCode", "left_semi")
+def keep_codes(df: DataFrame, codes: DataFrame) -> DataFrame:
+    """Lines of the listed codes; the list's measured size decides how it is joined."""
+    return df.join(codes.select("StockCode"), "StockCode", "left_semi")
 
 
 def clean_transactions(df: DataFrame, params: CleanParams = CleanParams()) -> DataFrame:
     """Row rules followed by the cut to the most frequent codes."""
     rows = clean_rows(df, params)
-    return keep_codes(rows, top_codes(rows, params.top_k), params.top_k)
+    return keep_codes(rows, top_codes(rows, params.top_k))
+
+
+def rejected_rows(df: DataFrame, params: CleanParams = CleanParams()) -> DataFrame:
+    """How many rows each rule drops of those the rules before it kept, and how many stay: one pass, one row."""
+    rows = coerce_numbers(require_columns(df))
+    positive = (F.col("Quantity") > 0) & (F.col("Price") > 0) & ~F.isnan("Quantity") & ~F.isnan("Price")
+    read = parse_time(F.col("InvoiceDate"), df.schema["InvoiceDate"].dataType, params)
+    rules = {
+        "cancelled": F.coalesce(F.col("Invoice").startswith("C"), F.lit(False)),
+        "no_number": F.col("Quantity").isNull() | F.col("Price").isNull(),
+        "not_positive": ~positive,
+        "no_code": F.col("StockCode").isNull(),
+        "no_time": read.isNull(),
+    }
+    reason = F.lit("kept")
+    for name, broken in reversed(rules.items()):
+        reason = F.when(broken, name).otherwise(reason)
+    named = rows.select(reason.alias("reason"))
+    return named.agg(*[F.count_if(F.col("reason") == name).alias(name) for name in (*rules, "kept")])
 
 
 def clean_report(cleaned: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Roll-ups of replayed episodes: totals, policy evaluation, leaderboard, learning log."""
+"""Roll-ups of episodes: totals, policy evaluation, leaderboard, learning log."""
 
 from __future__ import annotations
 
@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numbers import half_up
-from ..params import EpisodeParams, FitParams
-from .policies import baseline_policies
-from .replay import episode_inputs_from_daily, episode_totals_of, replay_episodes
 
 EPISODE_KEYS = ["product_id", "policy", "episode"]
 
@@ -76,7 +73,7 @@ def benchmark_report(evaluation: DataFrame, digits: int = 3) -> DataFrame:
     )
 
 
-def simulation_report(steps: DataFrame) -> DataFrame:
+def step_log_report(steps: DataFrame) -> DataFrame:
     """Totals of an episode as shown to users: reward at 4 digits, revenue summed from rounded steps."""
     return steps.groupBy(*EPISODE_KEYS).agg(
         half_up(F.sum("reward"), 4).alias("total_reward"),
@@ -85,21 +82,24 @@ def simulation_report(steps: DataFrame) -> DataFrame:
     )
 
 
-def benchmark_totals(
-    inputs: DataFrame, params: EpisodeParams = EpisodeParams(), policies: list | None = None, noise=None
-) -> DataFrame:
-    """Episode totals of all policies on the episodes of ``inputs``."""
-    return episode_totals_of(replay_episodes(inputs, policies or baseline_policies(params), params, noise))
-
-
-def full_benchmark(
-    daily: DataFrame,
-    episodes: int = 50,
-    params: EpisodeParams = EpisodeParams(),
-    policies: list | None = None,
-    fit: FitParams = FitParams(),
-) -> DataFrame:
-    """From daily demand to the leaderboard of all policies over all products."""
-    inputs = episode_inputs_from_daily(daily, episodes, params, fit)
-    totals = benchmark_totals(inputs, params, policies)
-    return leaderboard(summarise_policies(evaluate_policies(totals)))
+def matched_evaluation(steps: DataFrame, best: DataFrame, keys: list[str], default_level: int = 5) -> DataFrame:
+    """How a learned policy would have done, judged on logged steps alone.
+
+    ``steps`` has ``state, action, reward``; ``best`` has an ``action`` per ``keys`` and state, and states
+    it lacks get ``default_level``.  Steps whose logged action is the policy's own
+    stand for the policy; a policy none of whose actions was logged has a null reward.
+    """
+    learned = best.select(*keys, "state", F.col("action").alias("learned"))
+    rows = steps.join(learned, [*keys, "state"], "left")
+    same = F.coalesce("learned", F.lit(default_level)) == F.col("action")
+    return rows.groupBy(*keys).agg(
+        F.count("*").alias("n_steps"),
+        F.count_if(same).alias("n_matched"),
+        F.avg(F.when(same, F.col("reward"))).alias("matched_reward"),
+        F.avg("reward").alias("logged_reward"),
+    )
+
+
+def full_benchmark(steps: DataFrame) -> DataFrame:
+    """From logged steps to the leaderboard of their policies."""
+    return leaderboard(summarise_policies(evaluate_policies(episode_totals(steps))))

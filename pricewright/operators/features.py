@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import pricing as P
 from ..params import EpisodeParams
-from .replay import replay_steps
 from .windows import demand_trend, price_momentum
 
 EPISODE_KEYS = ["product_id", "policy", "episode"]
@@ -60,16 +59,15 @@ def observations(
     """
     keys = keys or EPISODE_KEYS
     product = catalogue.select("product_id", "base_price", "base_demand", "elasticity", "category")
-    rows = steps.join(product, "product_id")
+    rows = steps.drop("base_price", "base_demand", "elasticity", "category").join(product, "product_id")
     rows = demand_trend(rows, keys, "step", "units_sold", params.demand_history)
     rows = price_momentum(rows, keys, "step", "price", params.price_history)
     rows = calendar_features(rows, "next_day_of_week", "next_day_of_year")
     return rows.select(*_feature_columns(keys, params))
 
 
-def observations_of_replay(episodes: DataFrame, params: EpisodeParams = EpisodeParams()) -> DataFrame:
-    """The same for replayed episodes, whose rows hold both histories: no window, no shuffle."""
-    steps = replay_steps(episodes, "base_price", "elasticity", "category")
+def observations_of_log(steps: DataFrame, params: EpisodeParams = EpisodeParams()) -> DataFrame:
+    """The same for logged episodes, whose rows hold both histories and the product's figures: no join, no window."""
     rows = steps.withColumn("demand_trend", F.col("trend")).withColumn(
         "price_momentum", P.price_momentum(F.col("price"), F.col("oldest_price"), F.col("base_price"))
     )

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from ..functions.numbers import mixed_hash, mixed_unit, product_number
 from ..functions.pricing import huber, td_target
 from ..params import EpisodeParams, LearnParams
-from ..session import cut_lineage
+from ..session import reads_files, write_once
 from .positions import code_order, with_position
 
 EPISODE_KEYS = ["product_id", "policy", "episode"]
@@ -38,7 +38,7 @@ def n_states(learn: LearnParams = LearnParams()) -> int:
 
 
 def transitions(steps: DataFrame, params: EpisodeParams = EpisodeParams(), learn: LearnParams = LearnParams()) -> DataFrame:
-    """State, action, reward, next state and end flag of each replayed step."""
+    """State, action, reward, next state and end flag of each logged step."""
     return steps.select(
         *EPISODE_KEYS,
         "step",
@@ -162,16 +162,18 @@ def fitted_q(
 ) -> DataFrame:
     """Tabular fitted-Q: each sweep uses the previous sweep's table as frozen target.
 
-    The transitions are written once, because every sweep reads them; a table is
-    written after each sweep, so the plan of sweep k does not hold k replays.
+    The transitions are written once, because every sweep reads them, unless they are read
+    from files already; a table is written after each sweep, so the plan of sweep k does not hold k of them.
     """
     columns = [*keys, "state", "action", "reward", "next_state", "done"]
-    stored = cut_lineage(rows.select(*columns))
+    stored = rows.select(*columns)
+    if sweeps > 1 and not reads_files(stored):
+        stored = write_once(stored, "transitions")
     q = prior
     for i in range(sweeps):
         q = sweep(stored, q, keys, learn)
         if i < sweeps - 1:
-            q = cut_lineage(q)
+            q = write_once(q, "q-table")
     return q
 
 
@@ -202,75 +204,30 @@ def adapted_q(
     learn: LearnParams = LearnParams(),
 ) -> DataFrame:
     """Start from the prior and learn from a product's first ``n_episodes`` episodes only."""
-    if n_episodes > learn.max_adapt_episodes:
-        raise ValueError(f"adaptation uses at most {learn.max_adapt_episodes} episodes")
     few = rows.filter(F.col("episode") < n_episodes)
     return fitted_q(few, ["product_id"], sweeps, learn, prior)
 
 
-def greedy_tables(
-    q: DataFrame, keys: list[str], name: Column, default_level: int = 5, learn: LearnParams = LearnParams()
-) -> DataFrame:
-    """Q tables as replayable policies: one array with the level of each state.
-
-    States never seen get ``default_level``.
-    """
-    best = greedy_actions(q, keys)
-    entries = F.map_from_entries(F.collect_list(F.struct("state", "action")))
-    states = F.sequence(F.lit(0), F.lit(n_states(learn) - 1))
-    return (
-        best.groupBy(*keys)
-        .agg(entries.alias("_levels"))
-        .select(
-            "product_id",
-            name.alias("policy"),
-            F.transform(
-                states, lambda s: F.coalesce(F.try_element_at(F.col("_levels"), s), F.lit(default_level)).cast("int")
-            ).alias("greedy"),
-        )
-    )
-
-
 def by_episode_count(rows: DataFrame, counts: list[int]) -> DataFrame:
     """Copy each transition into every experiment that may use its episode."""
     used = F.array(*[F.lit(n) for n in counts])
     return rows.withColumn("n_episodes", F.explode(F.filter(used, lambda n: n > F.col("episode"))))
 
 
-def adaptation_tables(
+def adaptation_actions(
     rows: DataFrame,
     prior: DataFrame,
     counts: list[int],
     sweeps: int = 2,
     learn: LearnParams = LearnParams(),
 ) -> DataFrame:
-    """Learned level tables after each number of episodes, from the prior and from scratch.
+    """Best actions learned from each number of episodes, from the prior and from scratch.
 
     All counts learn in one pass: the count is one more key of the sweep.
     """
-    if max(counts) > learn.max_adapt_episodes:
-        raise ValueError(f"adaptation uses at most {learn.max_adapt_episodes} episodes")
     keys = ["product_id", "n_episodes"]
     experiments = by_episode_count(rows, counts)
     start = prior.withColumn("n_episodes", F.explode(F.array(*[F.lit(n) for n in counts])))
-
-    def label(kind: str) -> Column:
-        return F.format_string(f"{kind}_%02d", F.col("n_episodes"))
-
-    adapted = greedy_tables(fitted_q(experiments, keys, sweeps, learn, start), keys, label("adapted"), learn=learn)
-    scratch = greedy_tables(fitted_q(experiments, keys, sweeps, learn), keys, label("scratch"), learn=learn)
-    return adapted.unionByName(scratch)
-
-
-def adaptation_curve(totals: DataFrame) -> DataFrame:
-    """Mean greedy reward per product, way of learning and number of episodes used."""
-    return (
-        totals.select(
-            "product_id",
-            F.split("policy", "_")[0].alias("learner"),
-            F.split("policy", "_")[1].cast("int").alias("n_episodes"),
-            "total_reward",
-        )
-        .groupBy("product_id", "learner", "n_episodes")
-        .agg((F.floor(F.avg("total_reward") * 1000 + 0.5) / 1000.0).alias("mean_reward"))
-    )
+    adapted = greedy_actions(fitted_q(experiments, keys, sweeps, learn, start), keys)
+    scratch = greedy_actions(fitted_q(experiments, keys, sweeps, learn), keys)
+    return adapted.withColumn("learner", F.lit("adapted")).unionByName(scratch.withColumn("learner", F.lit("scratch")))

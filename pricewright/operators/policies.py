@@ -1,12 +1,8 @@
 """Pricing policies.
 
-Three kinds plug into the replay:
-
-* ``OpenLoop``: the level is a Column of product, episode and step, so a whole
-  episode can be planned before it runs;
-* ``ClosedLoop``: the level depends on what happened earlier in the episode, and
-  is computed inside the fold from the running state;
-* greedy tables: one level per state bucket and product (see ``learning``).
+An ``OpenLoop`` gives the level as a Column of product, episode and step.  The rule policy
+depends on the demand trend alone, so it follows a logged trend.  Learned tables hold one level
+per state bucket and product (see ``learning``).
 
 An external model scores feature rows in Arrow batches with ``model_policy``.
 """
@@ -38,19 +34,6 @@ class OpenLoop:
     constant: bool = False
 
 
-@dataclass(frozen=True)
-class ClosedLoop:
-    """``next_level(state, product)`` gives the level from the state before the step.
-
-    ``state`` has ``level, trend, inventory, step``; ``start_level`` is the level
-    the episode starts from.
-    """
-
-    name: str
-    start_level: int
-    next_level: Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
-
-
 def fixed_policy(params: EpisodeParams = EpisodeParams()) -> OpenLoop:
     """Always the level nearest to the base price."""
 
@@ -82,26 +65,12 @@ def random_policy(params: EpisodeParams = EpisodeParams(), name: str = "random")
     return OpenLoop(name, level)
 
 
-def rule_policy(params: EpisodeParams = EpisodeParams()) -> ClosedLoop:
-    """One level up on a rising demand trend, one down on a falling one."""
-    top = params.price_levels - 1
-
-    def next_level(state, product):
-        return rule_step(state("level"), state("trend"), params.trend_threshold, top)
-
-    return ClosedLoop("rule_based", params.price_levels // 2, next_level)
-
-
 def rule_step(level: Column, trend: Column, threshold: float, top: int) -> Column:
     up = F.least(level + F.lit(1), F.lit(top))
     down = F.greatest(level - F.lit(1), F.lit(0))
     return F.when(trend > threshold, up).when(trend < -threshold, down).otherwise(level)
 
 
-def baseline_policies(params: EpisodeParams = EpisodeParams()) -> list:
-    return [fixed_policy(params), optimal_policy(params), random_policy(params), rule_policy(params)]
-
-
 def with_policies(products: DataFrame, names: list[str]) -> DataFrame:
     """Every product under every policy.  The list is a literal, so nothing is joined."""
     return products.withColumn("policy", F.explode(F.array(*[F.lit(n) for n in names])))

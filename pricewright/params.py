@@ -8,8 +8,20 @@ from dataclasses import dataclass
 @dataclass(frozen=True)
 class CleanParams:
     top_k: int = 20
-    # Spellings of an invoice time besides the ISO ones, tried in this order.
-    slash_formats: tuple[str, ...] = ("M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "M/d/yyyy")
+    # What a time may look like and the format that reads it, in this order; None is the ISO reading.
+    time_formats: tuple[tuple[str, str | None], ...] = (
+        (r"^\d{4}-", None),
+        (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "M/d/yyyy H:mm"),
+        (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "M/d/yyyy H:mm:ss"),
+        (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+        (r"^\d{1,2}/\d{1,2}/\d{2} \d{1,2}:\d{2}$", "M/d/yy H:mm"),
+        (r"^\d{1,2}/\d{1,2}/\d{2}$", "M/d/yy"),
+        (r"^\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{2}$", "M-d-yyyy H:mm"),
+        (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
+        (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
+        (r"^\d{1,2} [A-Za-z]{3} \d{4} \d{1,2}:\d{2}$", "d MMM yyyy H:mm"),
+        (r"^\d{8}$", "yyyyMMdd"),
+    )
 
 
 @dataclass(frozen=True)
@@ -45,4 +57,3 @@ class LearnParams:
     buffer_capacity: int = 20_000
     stock_buckets: int = 4
     trend_threshold: float = 0.1
-    max_adapt_episodes: int = 10

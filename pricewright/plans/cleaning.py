@@ -147,7 +147,7 @@ def top_product_codes(spark, sf_dir):
 )
 def lines_of_top_products(spark, sf_dir):
     rows = B.cleaned(spark, sf_dir, "part")
-    kept = clean.keep_codes(rows, clean.top_codes(rows, 20), 20)
+    kept = clean.keep_codes(rows, clean.top_codes(rows, 20))
     return B.rounded(kept.select("Invoice", "StockCode", "Quantity", "Price", "Date"))
 
 

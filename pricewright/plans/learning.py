@@ -8,11 +8,11 @@ from ..functions.numbers import product_number
 from ..functions.pricing import geometric_epsilon
 from ..operators import evaluate as E
 from ..operators import learning as L
-from ..operators import policies, replay
+from ..operators import episodes as episodes_
 from ..operators.windows import newest_rows
-from ..session import cut_lineage
+from ..session import write_once
 from . import base as B
-from .policies import EVALUATION, replay_sql, steps_of
+from .policies import steps_of
 from .registry import cte, query
 from .sql import clip, code_order, mixed_hash, rnd, unit
 
@@ -30,8 +30,8 @@ cte(
     "moves",
     f"""
     SELECT product_id, policy, episode, step, {_bucket('trend_before', 'inventory_before')} AS state, action, reward,
-           {_bucket('trend', 'inventory')} AS next_state, step = 29 AS done
-    FROM run WHERE policy = 'random'""",
+           {_bucket('trend', 'inventory')} AS next_state, step = 29 AS done, start, n_rows
+    FROM run""",
 )
 
 
@@ -86,12 +86,12 @@ _adapt(2, "adapted1")
 
 
 def _moves(spark, sf_dir):
-    return L.transitions(steps_of(spark, sf_dir, [policies.random_policy(P)]), P)
+    return L.transitions(steps_of(spark, sf_dir), P)
 
 
 def _stored_moves(spark, sf_dir):
     """Written once, for queries that read the transitions more than once."""
-    return cut_lineage(_moves(spark, sf_dir))
+    return write_once(_moves(spark, sf_dir), "transitions")
 
 
 @query(
@@ -218,46 +218,56 @@ cte(
     """SELECT product_id, state, action FROM q2
        QUALIFY row_number() OVER (PARTITION BY product_id, state ORDER BY q DESC, action) = 1""",
 )
+# Learning and evaluation by halves of each product's days, so no day is in both.
+cte("early_moves", "SELECT * FROM moves WHERE 2 * (start + 30) <= n_rows")
+cte("late_moves", "SELECT * FROM moves WHERE 2 * start >= n_rows")
 cte(
-    "learned_run",
-    replay_sql(
-        ["learned"],
-        "coalesce(b.action, 5)",
-        f"LEFT JOIN best b ON b.product_id = r.product_id AND b.state = {_bucket('r.trend', 'r.inventory')}",
-    ),
+    "early_q1",
+    f"SELECT product_id, state, action, avg({_target('0e0')}) AS q FROM early_moves GROUP BY product_id, state, action",
+)
+cte(
+    "early_q2",
+    f"""
+    SELECT product_id, state, action, coalesce(n.q, b.q) AS q FROM early_q1 b FULL JOIN (
+        SELECT m.product_id, m.state, m.action, avg({_target('coalesce(next_value, 0e0)')}) AS q
+        FROM early_moves m LEFT JOIN (SELECT product_id, state AS next_state, max(q) AS next_value
+                                      FROM early_q1 GROUP BY product_id, state) w
+             ON w.product_id = m.product_id AND w.next_state = m.next_state
+        GROUP BY m.product_id, m.state, m.action) n USING (product_id, state, action)""",
 )
 
 
-def _stock_state(trend, stock):
-    return L.state_bucket(trend, stock, P.max_inventory)
+def _halves(spark, sf_dir):
+    steps = write_once(steps_of(spark, sf_dir), "steps")
+    return [write_once(L.transitions(part, P), "transitions") for part in (episodes_.earlier(steps, P), episodes_.later(steps))]
+
+
+MATCHED = f"""count(*) AS n_steps, count(*) FILTER (WHERE m.action = coalesce(b.action, 5)) AS n_matched,
+        {rnd('avg(reward) FILTER (WHERE m.action = coalesce(b.action, 5))')} AS matched_reward, {rnd('avg(reward)')} AS logged_reward"""
 
 
 @query(
     "A9",
-    f"""SELECT {EVALUATION} FROM (
-          SELECT policy, product_id, avg(total_reward) AS mean_reward, stddev_pop(total_reward) AS std_reward,
-                 avg(total_revenue) AS mean_revenue, sum(price_sum) / sum(n_steps) AS avg_price, count(*) AS n_episodes
-          FROM (SELECT policy, product_id, episode, sum(reward) AS total_reward, sum(revenue) AS total_revenue,
-                       sum(price) AS price_sum, count(*) AS n_steps FROM learned_run GROUP BY policy, product_id, episode)
-          GROUP BY policy, product_id)""",
+    f"""SELECT m.product_id, {MATCHED}
+        FROM late_moves m LEFT JOIN (SELECT product_id, state, action FROM early_q2
+             QUALIFY row_number() OVER (PARTITION BY product_id, state ORDER BY q DESC, action) = 1) b
+        ON b.product_id = m.product_id AND b.state = m.state GROUP BY m.product_id""",
 )
 def learned_policy_evaluation(spark, sf_dir):
-    q = L.fitted_q(_moves(spark, sf_dir), ["product_id"], sweeps=2)
-    tables = L.greedy_tables(q, ["product_id"], F.lit("learned"))
-    inputs = replay.episode_inputs_from_daily(B.daily(spark, sf_dir), B.EPISODES, P)
-    runs = replay.replay_greedy(inputs, tables, _stock_state, P)
-    return B.rounded(E.evaluate_policies(replay.episode_totals_of(runs)), mean_revenue=3, avg_price=4)
+    """Learned from the earlier episodes, judged on the later ones by the steps that agree with it."""
+    early, late = _halves(spark, sf_dir)
+    best = L.greedy_actions(L.fitted_q(early, ["product_id"], sweeps=2), ["product_id"])
+    return B.rounded(E.matched_evaluation(late, best, ["product_id"]))
 
 
 # Adaptation curve: every number of episodes is one more key of the same sweeps.
 TRIALS = [1, 3, 5]
-_LABELS = [f"{kind}_{n:02d}" for kind in ("adapted", "scratch") for n in TRIALS]
 cte(
     "trial_moves",
-    f"""SELECT m.*, n AS n_episodes FROM moves m, (VALUES {', '.join(f'({n})' for n in TRIALS)}) t(n)
+    f"""SELECT m.*, n AS n_episodes FROM early_moves m, (VALUES {', '.join(f'({n})' for n in TRIALS)}) t(n)
         WHERE m.episode < n""",
 )
-cte("prior_q2", pooled_sql("q2"))
+cte("prior_q2", pooled_sql("early_q2"))
 cte("adapted_t0", f"SELECT p.*, n AS n_episodes FROM prior_q2 p, (VALUES {', '.join(f'({n})' for n in TRIALS)}) t(n)")
 cte(
     "scratch_t1",
@@ -279,34 +289,26 @@ for _before, _after in (("adapted_t0", "adapted_t1"), ("adapted_t1", "adapted_t2
 cte(
     "trial_best",
     """
-    SELECT product_id, policy, state, action FROM (
-        SELECT *, printf('adapted_%02d', n_episodes) AS policy FROM adapted_t2
-        UNION ALL SELECT *, printf('scratch_%02d', n_episodes) FROM scratch_t2)
-    QUALIFY row_number() OVER (PARTITION BY product_id, policy, state ORDER BY q DESC, action) = 1""",
-)
-cte(
-    "trial_run",
-    replay_sql(
-        _LABELS,
-        "coalesce(b.action, 5)",
-        "LEFT JOIN trial_best b ON b.product_id = r.product_id AND b.policy = r.policy "
-        f"AND b.state = {_bucket('r.trend', 'r.inventory')}",
-    ),
+    SELECT product_id, learner, n_episodes, state, action FROM (
+        SELECT *, 'adapted' AS learner FROM adapted_t2 UNION ALL SELECT *, 'scratch' FROM scratch_t2)
+    QUALIFY row_number() OVER (PARTITION BY product_id, learner, n_episodes, state ORDER BY q DESC, action) = 1""",
 )
 
 
 @query(
     "L8, A9",
-    f"""SELECT product_id, split_part(policy, '_', 1) AS learner, CAST(split_part(policy, '_', 2) AS INTEGER) AS n_episodes,
-        {rnd('avg(total_reward)', 3)} AS mean_reward
-        FROM (SELECT product_id, policy, episode, sum(reward) AS total_reward FROM trial_run
-              GROUP BY product_id, policy, episode) GROUP BY product_id, policy""",
+    f"""SELECT m.product_id, m.learner, m.n_episodes, {MATCHED}
+        FROM (SELECT late_moves.*, l AS learner, n AS n_episodes FROM late_moves, (VALUES ('adapted'), ('scratch')) a(l),
+                   (VALUES {', '.join(f'({n})' for n in TRIALS)}) t(n)) m
+        LEFT JOIN trial_best b ON b.product_id = m.product_id AND b.learner = m.learner
+             AND b.n_episodes = m.n_episodes AND b.state = m.state
+        GROUP BY m.product_id, m.learner, m.n_episodes""",
 )
 def adaptation_curve(spark, sf_dir):
-    """Mean greedy reward after 1, 3 and 5 episodes, from the prior and from scratch."""
-    moves = _stored_moves(spark, sf_dir)
-    prior = L.pooled_prior(L.fitted_q(moves, ["product_id"], sweeps=2))
-    tables = L.adaptation_tables(moves, prior, TRIALS)
-    inputs = replay.episode_inputs_from_daily(B.daily(spark, sf_dir), B.EPISODES, P)
-    runs = replay.replay_greedy(inputs, tables, _stock_state, P)
-    return L.adaptation_curve(replay.episode_totals_of(runs))
+    """Agreement with and reward of what is learned from the first 1, 3 and 5 episodes, from the prior and from scratch."""
+    early, late = _halves(spark, sf_dir)
+    prior = L.pooled_prior(L.fitted_q(early, ["product_id"], sweeps=2))
+    best = L.adaptation_actions(early, prior, TRIALS)
+    trials = [F.struct(F.lit(k).alias("learner"), F.lit(n).alias("n_episodes")) for k in ("adapted", "scratch") for n in TRIALS]
+    judged = late.select("*", F.inline(F.array(*trials)))
+    return B.rounded(E.matched_evaluation(judged, best, ["product_id", "learner", "n_episodes"]))

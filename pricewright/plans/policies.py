@@ -1,4 +1,4 @@
-"""Registered queries: ledger, policies, replay and evaluation."""
+"""Registered queries: ledger, policies, logged episodes and evaluation."""
 
 from __future__ import annotations
 
@@ -8,25 +8,17 @@ from pyspark.sql import functions as F
 
 from ..operators import catalogue as C
 from ..operators import evaluate as E
-from ..operators import features, policies, replay
+from ..operators import episodes as episodes_
+from ..operators import features, policies
+from ..operators.ledger import stock_ledger as stock_ledger_of
 from ..operators.windows import running_revenue
-from ..sources import driver_tables as D
 from . import base as B
 from .registry import cte, query
 from .sql import TWO_PI, clip, level_price, mixed_hash, nearest, optimal_price, rnd, whole
 
 P = B.TIGHT
 
-# --- oracle of the replay ---------------------------------------------------------
-
-_D = [f"d{i}" for i in range(7)]
-_SHIFTED = ", ".join(f"d{i + 1} AS d{i}" for i in range(6))
-_SUM = " + ".join(_D)
-
-
-def _trend(total: str) -> str:
-    return clip(f"(({total}) / 7e0) / (base_demand + 1e-8) - 1e0", "-2e0", "2e0")
-
+# --- the logged episodes in SQL -------------------------------------------------------
 
 cte(
     "planned",
@@ -36,46 +28,47 @@ cte(
 )
 
 
-def replay_sql(names: list[str], level: str, joined: str = "") -> str:
-    """Replay as a recursive query; ``level`` gives the price level of a step of row ``r``."""
+def ledger_sql(most: int, restock: int) -> str:
     return f"""
     WITH RECURSIVE r AS (
-      SELECT d.product_id, q.policy, e.episode, e.start, -1 AS step, CAST(5 AS INTEGER) AS action, 0e0 AS price,
-             0e0 AS demand, 0 AS units_sold, 0 AS lost_units, 0e0 AS revenue, 0e0 AS raw_reward,
-             {P.max_inventory} AS inventory_before, {P.max_inventory} AS inventory, 0e0 AS trend_before,
-             {_trend(' + '.join(['base_demand'] * 7))} AS trend,
-             {', '.join(f'base_demand AS {s}' for s in _D)},
-             base_price, price_min, price_max, elasticity, base_demand, fixed_level, optimal_level
-      FROM described d JOIN planned p ON p.product_id = d.product_id JOIN episodes e ON e.product_id = d.product_id,
-           (VALUES {', '.join(f"('{n}')" for n in names)}) q(policy)
+      SELECT product_id, CAST(-1 AS BIGINT) AS step, {most} AS inventory, CAST(NULL AS DATE) AS date, 0e0 AS demand,
+             0e0 AS price, 0 AS units_sold, 0 AS lost_units, {most} AS inventory_before
+      FROM indexed WHERE row_index = 0
       UNION ALL
-      SELECT product_id, policy, episode, start, step, action, price, demand, units_sold, lost_units,
-             units_sold * price AS revenue,
-             units_sold * price - 2e0 * lost_units - 0.001e0 * inventory_before AS raw_reward,
-             inventory_before, least({P.max_inventory}, greatest(0, inventory_before - units_sold) + {P.restock}),
-             trend_before, {_trend(' + '.join(_D[1:]) + ' + units_sold')},
-             {_SHIFTED}, CAST(units_sold AS DOUBLE),
-             base_price, price_min, price_max, elasticity, base_demand, fixed_level, optimal_level
-      FROM (SELECT *, least({whole('demand')}, inventory_before) AS units_sold,
-                   greatest(0, {whole('demand')} - inventory_before) AS lost_units
-            FROM (SELECT *, greatest(0e0, base_demand * seasonal * pow(price / base_price, elasticity)) AS demand
-                  FROM (SELECT *, {level_price('action')} AS price
-                        FROM (SELECT r.* EXCLUDE (step, action, price, demand, units_sold, lost_units, revenue,
-                                                  raw_reward, inventory_before, inventory, trend_before, trend),
-                                     r.step + 1 AS step, c.seasonal, r.inventory AS inventory_before,
-                                     r.trend AS trend_before, CAST({level} AS INTEGER) AS action
-                              FROM r JOIN episode_days c ON c.product_id = r.product_id
-                                   AND c.episode = r.episode AND c.step = r.step + 1 {joined}
-                              WHERE r.step < 29))))
+      SELECT r.product_id, i.row_index,
+             least({most}, greatest(0, r.inventory - least({whole('i.demand')}, r.inventory)) + {restock}),
+             i.date, i.demand, i.price, least({whole('i.demand')}, r.inventory),
+             greatest(0, {whole('i.demand')} - r.inventory), r.inventory
+      FROM r JOIN indexed i ON i.product_id = r.product_id AND i.row_index = r.step + 1
     )
-    SELECT *, raw_reward / greatest(1e0, base_demand * base_price) AS reward FROM r WHERE step >= 0"""
+    SELECT *, units_sold * price AS revenue,
+           units_sold * price - 2e0 * lost_units - 0.001e0 * inventory_before AS raw_reward
+    FROM r WHERE step >= 0"""
+
 
+_TREND = clip("((total + (7 - seen) * base_demand) / 7e0) / (base_demand + 1e-8) - 1e0", "-2e0", "2e0")
+_UNMOVED = clip("base_demand / (base_demand + 1e-8) - 1e0", "-2e0", "2e0")
 
-_BASELINE_LEVEL = f"""CASE policy WHEN 'fixed' THEN fixed_level WHEN 'optimal' THEN optimal_level
-    WHEN 'random' THEN {mixed_hash('r.product_id', 'r.episode', '(r.step + 2)', 42)} % 11
-    ELSE CASE WHEN r.trend > 0.1e0 THEN least(r.action + 1, 10) WHEN r.trend < -0.1e0 THEN greatest(r.action - 1, 0)
-         ELSE r.action END END"""
-cte("run", replay_sql(["fixed", "optimal", "random", "rule_based"], _BASELINE_LEVEL))
+cte("stock", ledger_sql(P.max_inventory, P.restock))
+cte(
+    "run",
+    f"""
+    WITH days AS (
+      SELECT e.product_id, e.episode, e.start, e.n_rows, e.step, l.price, l.demand, l.units_sold, l.lost_units,
+             l.revenue, l.raw_reward, l.inventory_before, l.inventory,
+             d.base_price, d.base_demand, d.elasticity, {nearest('l.price')} AS action, {nearest('d.base_price')} AS listed
+      FROM (SELECT *, CAST(s AS INTEGER) AS step FROM episodes, range(30) x(s)) e
+           JOIN stock l ON l.product_id = e.product_id AND l.step = least(e.start + e.step, e.n_rows - 1)
+           JOIN described d ON d.product_id = e.product_id),
+    moved AS (
+      SELECT *, {_TREND} AS trend, raw_reward / greatest(1e0, base_demand * base_price) AS reward,
+             CASE WHEN begun < listed THEN 'below_list' WHEN begun > listed THEN 'above_list' ELSE 'at_list' END AS policy
+      FROM (SELECT *, count(*) OVER w AS seen, sum(units_sold) OVER w AS total,
+                   first_value(action) OVER (PARTITION BY product_id, episode ORDER BY step) AS begun FROM days
+            WINDOW w AS (PARTITION BY product_id, episode ORDER BY step ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)))
+    SELECT *, coalesce(lag(trend) OVER (PARTITION BY product_id, episode ORDER BY step), {_UNMOVED}) AS trend_before
+    FROM moved""",
+)
 cte(
     "totals",
     """
@@ -92,35 +85,17 @@ cte(
 )
 
 
-def episodes_of(spark, sf_dir, chosen=None, episodes: int = B.EPISODES):
-    inputs = replay.episode_inputs_from_daily(B.daily(spark, sf_dir), episodes, P)
-    return replay.replay_episodes(inputs, chosen or policies.baseline_policies(P), P)
+def steps_of(spark, sf_dir, episodes: int = B.EPISODES):
+    return episodes_.logged_steps(B.catalogue(spark, sf_dir), B.series(spark, sf_dir), episodes, P)
 
 
-def steps_of(spark, sf_dir, chosen=None):
-    return replay.replay_steps(episodes_of(spark, sf_dir, chosen))
+def totals_of(spark, sf_dir):
+    return E.episode_totals(steps_of(spark, sf_dir))
 
 
 # --- ledger and policies -------------------------------------------------------------
 
-cte(
-    "ledger",
-    f"""
-    WITH RECURSIVE r AS (
-      SELECT product_id, CAST(-1 AS BIGINT) AS step, 60 AS inventory, CAST(NULL AS DATE) AS date, 0e0 AS demand,
-             0e0 AS price, 0 AS units_sold, 0 AS lost_units, 60 AS inventory_before
-      FROM indexed WHERE row_index = 0
-      UNION ALL
-      SELECT r.product_id, i.row_index,
-             least(60, greatest(0, r.inventory - least({whole('i.demand')}, r.inventory)) + 15),
-             i.date, i.demand, i.price, least({whole('i.demand')}, r.inventory),
-             greatest(0, {whole('i.demand')} - r.inventory), r.inventory
-      FROM r JOIN indexed i ON i.product_id = r.product_id AND i.row_index = r.step + 1
-    )
-    SELECT *, units_sold * price AS revenue,
-           units_sold * price - 2e0 * lost_units - 0.001e0 * inventory_before AS raw_reward
-    FROM r WHERE step >= 0""",
-)
+cte("ledger", ledger_sql(60, 15))
 
 
 @query(
@@ -134,7 +109,7 @@ def stock_ledger(spark, sf_dir):
 
     days = B.series(spark, sf_dir).select("product_id", "date", "demand", "price")
     small = EpisodeParams(max_inventory=60, restock=15)
-    return B.rounded(replay.stock_ledger(days, ["product_id"], "date", small))
+    return B.rounded(stock_ledger_of(days, ["product_id"], "date", small))
 
 
 @query(
@@ -153,18 +128,17 @@ def open_loop_policy_actions(spark, sf_dir):
 @query(
     "R8",
     """WITH RECURSIVE g AS (
-         SELECT product_id, episode, -1 AS step, 5 AS action FROM run WHERE policy = 'fixed' AND step = 0
+         SELECT product_id, episode, -1 AS step, 5 AS action FROM run WHERE step = 0
          UNION ALL
          SELECT g.product_id, g.episode, g.step + 1,
                 CASE WHEN r.trend_before > 0.1e0 THEN least(g.action + 1, 10)
                      WHEN r.trend_before < -0.1e0 THEN greatest(g.action - 1, 0) ELSE g.action END
-         FROM g JOIN run r ON r.policy = 'fixed' AND r.product_id = g.product_id AND r.episode = g.episode
+         FROM g JOIN run r ON r.product_id = g.product_id AND r.episode = g.episode
                           AND r.step = g.step + 1)
        SELECT product_id, episode, step, action FROM g WHERE step >= 0""",
 )
 def rule_policy_actions(spark, sf_dir):
-    log = steps_of(spark, sf_dir, [policies.fixed_policy(P)])
-    return policies.rule_levels(log, ["product_id", "episode"], "step", "trend_before", P)
+    return policies.rule_levels(steps_of(spark, sf_dir), ["product_id", "episode"], "step", "trend_before", P)
 
 
 STEP = f"""product_id, policy, episode, start, step, action, {rnd('price')} AS price, {rnd('demand')} AS demand,
@@ -173,19 +147,21 @@ STEP = f"""product_id, policy, episode, start, step, action, {rnd('price')} AS p
 
 
 @query("R9", f"SELECT {STEP} FROM run")
-def policy_replay(spark, sf_dir):
-    return B.rounded(steps_of(spark, sf_dir).drop("next_day_of_week", "next_day_of_year", "oldest_price"))
+def logged_episode_steps(spark, sf_dir):
+    unshown = ("next_day_of_week", "next_day_of_year", "oldest_price", "n_rows", "category", *episodes_.FIGURES)
+    return B.rounded(steps_of(spark, sf_dir).drop(*unshown))
 
 
 @query(
     "R10, X22",
     f"""SELECT product_id, policy, episode, step + 1 AS day, {rnd('price', 4)} AS price, {rnd('demand', 2)} AS demand,
         units_sold, {rnd('revenue', 2)} AS revenue, inventory, {rnd('reward', 4)} AS reward
-        FROM run WHERE product_id = '7' AND policy = 'rule_based'""",
+        FROM run WHERE product_id = '7'""",
 )
-def simulation_step_log(spark, sf_dir):
-    steps = steps_of(spark, sf_dir, [policies.rule_policy(P)])
-    return replay.rounded_step_log(steps.filter(F.col("product_id") == "7"))
+def step_log_of_one_product(spark, sf_dir):
+    products = C.find_product(B.catalogue(spark, sf_dir), 7)
+    days = C.find_product(B.series(spark, sf_dir), 7)
+    return episodes_.rounded_step_log(episodes_.logged_steps(products, days, B.EPISODES, P))
 
 
 @query(
@@ -194,18 +170,17 @@ def simulation_step_log(spark, sf_dir):
         {rnd('sum(' + rnd('revenue', 2) + ')', 2)} AS total_revenue, count(*) AS n_steps
         FROM run GROUP BY product_id, policy, episode""",
 )
-def simulation_totals(spark, sf_dir):
-    return E.simulation_report(steps_of(spark, sf_dir))
+def step_log_totals(spark, sf_dir):
+    return E.step_log_report(steps_of(spark, sf_dir))
 
 
 @query(
     "R13",
     f"""SELECT product_id, policy, episode, step + 1 AS day, {rnd('price')} AS price, {rnd('revenue')} AS revenue
-        FROM run WHERE policy IN ('fixed', 'random', 'rule_based')""",
+        FROM run""",
 )
 def price_and_revenue_traces(spark, sf_dir):
-    chosen = [policies.fixed_policy(P), policies.random_policy(P), policies.rule_policy(P)]
-    return B.rounded(replay.price_traces(steps_of(spark, sf_dir, chosen)))
+    return B.rounded(episodes_.price_traces(steps_of(spark, sf_dir)))
 
 
 FEATURE_SQL = f"""
@@ -230,12 +205,9 @@ def ten_feature_table(spark, sf_dir):
 
 
 @query("R5", FEATURE_SQL)
-def ten_feature_table_of_replay(spark, sf_dir):
-    """The same features without a window: the replay leaves both histories in its rows."""
-    kinds = D.supplier_labels(spark, sf_dir).select("product_id", "category")
-    inputs = replay.episode_inputs_from_daily(B.daily(spark, sf_dir), B.EPISODES, P).join(kinds, "product_id")
-    episodes = replay.replay_episodes(inputs, policies.baseline_policies(P), P)
-    return B.rounded(features.observations_of_replay(episodes, P))
+def ten_feature_table_of_log(spark, sf_dir):
+    """The same features without a join or window: logged episodes carry histories and figures."""
+    return B.rounded(features.observations_of_log(steps_of(spark, sf_dir), P))
 
 
 def _cautious_levels(vectors: pd.Series) -> pd.Series:
@@ -251,9 +223,7 @@ def _cautious_levels(vectors: pd.Series) -> pd.Series:
         5e0 + 4e0 * trend - 3e0 * (1e0 - inventory / {P.max_inventory}e0)))) AS INTEGER) AS action FROM run""",
 )
 def external_model_levels(spark, sf_dir):
-    kinds = D.supplier_labels(spark, sf_dir).select("product_id", "category")
-    inputs = replay.episode_inputs_from_daily(B.daily(spark, sf_dir), B.EPISODES, P).join(kinds, "product_id")
-    rows = features.observations_of_replay(replay.replay_episodes(inputs, policies.baseline_policies(P), P), P)
+    rows = features.observations_of_log(steps_of(spark, sf_dir), P)
     choose = policies.model_policy(_cautious_levels)
     vectors = features.feature_vector(rows)
     return vectors.select(*E.EPISODE_KEYS, "step", choose("features").alias("action"))
@@ -285,11 +255,9 @@ EVALUATION = f"""policy, product_id, {rnd('mean_reward')} AS mean_reward, {rnd('
     {rnd('mean_revenue', 3)} AS mean_revenue, {rnd('avg_price', 4)} AS avg_price, n_episodes"""
 
 
-@query("A8", f"SELECT {EVALUATION} FROM evaluation WHERE policy <> 'rule_based'")
+@query("A8", f"SELECT {EVALUATION} FROM evaluation")
 def policy_evaluation(spark, sf_dir):
-    chosen = [policies.fixed_policy(P), policies.optimal_policy(P), policies.random_policy(P)]
-    totals = replay.episode_totals_of(episodes_of(spark, sf_dir, chosen))
-    return B.rounded(E.evaluate_policies(totals), mean_revenue=3, avg_price=4)
+    return B.rounded(E.evaluate_policies(totals_of(spark, sf_dir)), mean_revenue=3, avg_price=4)
 
 
 @query(
@@ -298,17 +266,17 @@ def policy_evaluation(spark, sf_dir):
         FROM evaluation GROUP BY policy""",
 )
 def policy_summary(spark, sf_dir):
-    totals = replay.episode_totals_of(episodes_of(spark, sf_dir))
+    totals = totals_of(spark, sf_dir)
     return B.rounded(E.summarise_policies(E.evaluate_policies(totals)))
 
 
 @query(
     "A11",
     f"""SELECT episode AS iteration, {rnd('avg(total_reward)')} AS mean_reward, {rnd('min(total_reward)')} AS min_reward,
-        {rnd('max(total_reward)')} AS max_reward FROM totals WHERE policy = 'random' GROUP BY episode""",
+        {rnd('max(total_reward)')} AS max_reward FROM totals GROUP BY episode""",
 )
 def task_batch_statistics(spark, sf_dir):
-    totals = replay.episode_totals_of(episodes_of(spark, sf_dir, [policies.random_policy(P)]))
+    totals = totals_of(spark, sf_dir)
     return B.rounded(E.task_batch_stats(totals.withColumnRenamed("episode", "iteration")))
 
 
@@ -317,7 +285,7 @@ def task_batch_statistics(spark, sf_dir):
     f"""SELECT product_id, policy, episode, {rnd('total_reward')} AS reward, {rnd('total_revenue', 3)} AS revenue FROM totals""",
 )
 def learning_log(spark, sf_dir):
-    totals = replay.episode_totals_of(episodes_of(spark, sf_dir))
+    totals = totals_of(spark, sf_dir)
     return B.rounded(E.learning_log(totals), revenue=3)
 
 
@@ -329,8 +297,7 @@ def learning_log(spark, sf_dir):
 def benchmark_of_one_product(spark, sf_dir):
     products = C.find_product(B.catalogue(spark, sf_dir), 7)
     days = C.find_product(B.series(spark, sf_dir), 7)
-    # one product only, so its episodes are spread over the tasks
-    totals = E.benchmark_totals(replay.episode_inputs(products, days, B.EPISODES, P, spread=True), P)
+    totals = E.episode_totals(episodes_.logged_steps(products, days, B.EPISODES, P))
     return E.benchmark_report(E.evaluate_policies(totals))
 
 
@@ -342,13 +309,11 @@ def benchmark_of_one_product(spark, sf_dir):
               FROM evaluation GROUP BY policy)""",
 )
 def policy_leaderboard(spark, sf_dir):
-    return B.rounded(E.full_benchmark(B.daily(spark, sf_dir), B.EPISODES, P))
+    return B.rounded(E.full_benchmark(steps_of(spark, sf_dir)))
 
 
-@query("U2", f"SELECT {EVALUATION} FROM evaluation WHERE policy IN ('fixed', 'optimal')")
+@query("U2", f"SELECT {EVALUATION} FROM evaluation WHERE policy IN ('below_list', 'above_list')")
 def united_policy_results(spark, sf_dir):
-    parts = [
-        E.evaluate_policies(replay.episode_totals_of(episodes_of(spark, sf_dir, [one])))
-        for one in (policies.fixed_policy(P), policies.optimal_policy(P))
-    ]
+    evaluation = E.evaluate_policies(totals_of(spark, sf_dir))
+    parts = [evaluation.filter(F.col("policy") == name) for name in ("below_list", "above_list")]
     return B.rounded(parts[0].unionByName(parts[1]), mean_revenue=3, avg_price=4)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from ..functions.numbers import HASH_RANGE, HASH_ROUNDS
 from .registry import cte
 
 
 def rnd(x: str, digits: int = 6) -> str:
-    return f"floor(({x}) * 1e{digits} + 0.5e0) / 1e{digits}"
+    return f"CASE WHEN abs({x}) * 1e{digits} < 9007199254740992e0 THEN floor(({x}) * 1e{digits} + 0.5e0) / 1e{digits} ELSE {x} END"
 
 
 def clip(x: str, low: str, high: str) -> str:
@@ -14,15 +15,19 @@ def clip(x: str, low: str, high: str) -> str:
 
 
 def mixed_hash(k: str, episode: str, step: str, seed: int = 0) -> str:
-    first = (
-        f"((CAST({k} AS BIGINT) * 7919 + CAST({episode} AS BIGINT) * 104729 "
-        f"+ CAST({step} AS BIGINT) * 1299709 + {seed}) % 1000003)"
-    )
-    return f"(({first} * ({first} + 40503)) % 1000003)"
+    parts = []
+    for p, (a, b, c, d) in HASH_ROUNDS:
+
+        def part(x: str) -> str:
+            return f"((CAST({x} AS BIGINT) % {p} + {p}) % {p})"
+
+        x = f"(({part(k)} * {a} + {part(episode)} * {b} + {part(step)} * {c} + {(seed + 1) * d % p}) % {p})"
+        parts.append(f"(({x} * {x}) % {p} * {x}) % {p}")
+    return f"({parts[0]} * {1 << 31} + {parts[1]})"
 
 
 def unit(k: str, episode: str, step: str, seed: int = 0) -> str:
-    return f"({mixed_hash(k, episode, step, seed)} / 1000003e0)"
+    return f"least({mixed_hash(k, episode, step, seed)} / {float(HASH_RANGE)!r}::DOUBLE, 1e0 - pow(2e0, -53))"
 
 
 def whole(x: str) -> str:

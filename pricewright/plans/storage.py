@@ -8,13 +8,12 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..functions.pricing import iso_date
 from ..operators import clean
 from ..operators import evaluate as E
-from ..operators import replay
 from ..session import fresh_path
 from ..sources import catalogue as S
 from ..sources import driver_tables as D
 from ..sources import summary, transactions
 from . import base as B
-from .policies import episodes_of
+from .policies import totals_of
 from .registry import query
 from .sql import rnd
 
@@ -93,6 +92,6 @@ def built_or_reused_catalogue(spark, sf_dir):
 )
 def saved_policy_summary(spark, sf_dir):
     path = f"{fresh_path(spark, 'summary')}/summary.json"
-    totals = replay.episode_totals_of(episodes_of(spark, sf_dir))
+    totals = totals_of(spark, sf_dir)
     summary.write_summary(E.summarise_policies(E.evaluate_policies(totals)), path)
     return B.rounded(summary.read_summary(spark, path))

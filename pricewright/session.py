@@ -63,6 +63,17 @@ def cut_lineage(df):
     return df.checkpoint()
 
 
-def parallelism(spark: SparkSession) -> int:
-    """Partition count for compute-heavy stages whose bytes are few."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+def write_once(df, label: str):
+    """Write ``df`` as parquet to the shared folder and go on from the files.
+
+    Unlike a checkpoint this keeps columns apart and tells Spark the size.
+    """
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def reads_files(df) -> bool:
+    """Whether ``df`` only picks columns of files, so that reading it again costs no more than a copy."""
+    kinds = [line.strip(" :+-*").split(" ")[0] for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if line.strip()]
+    return all(kind in ("Project", "Relation") for kind in kinds)

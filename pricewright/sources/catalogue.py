@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +43,9 @@ DEFAULT_CATEGORY = "physical_good"
 CATALOGUE_DIR = "products_metadata.json"
 SERIES_DIR = "series"
 SERIES_SUFFIX = "_timeseries.csv"
+LAYOUT_DIR = "layout.json"
+# A hash folder holds about this many rows.
+ROWS_PER_BUCKET = 1_000_000
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -75,40 +78,51 @@ def read_series_csv(spark: SparkSession, directory: str) -> DataFrame:
     return raw.select(F.replace(F.url_decode(name), F.lit(SERIES_SUFFIX), F.lit("")).alias("product_id"), "*")
 
 
+def _check_series(catalogue: DataFrame, known: DataFrame, strict: bool) -> None:
+    """Raise, or warn, if a product of the catalogue is not among the known ids."""
+    missing = catalogue.join(known, "product_id", "left_anti")
+    examples = [r["product_id"] for r in missing.select("product_id").limit(5).collect()]
+    if examples and strict:
+        raise FileNotFoundError(f"no series for products such as {', '.join(examples)}")
+    if examples:
+        warnings.warn(f"products without series are left out, such as {', '.join(examples)}", stacklevel=3)
+
+
 def attach_series(catalogue: DataFrame, series: DataFrame, strict: bool = True) -> DataFrame:
     """Catalogue joined to series.
 
     Strict loading fails when a product has no series; lenient loading warns and
     goes on without the product.
     """
-    missing = catalogue.join(series.select("product_id").distinct(), "product_id", "left_anti")
-    examples = [r["product_id"] for r in missing.select("product_id").limit(5).collect()]
-    if examples and strict:
-        raise FileNotFoundError(f"no series for products such as {', '.join(examples)}")
-    if examples:
-        warnings.warn(f"products without series are left out, such as {', '.join(examples)}", stacklevel=2)
+    _check_series(catalogue, series.select("product_id").distinct(), strict)
     return series.join(catalogue, "product_id")
 
 
-def save_products(catalogue: DataFrame, series: DataFrame, directory: str, buckets: int = 32) -> None:
+def _bucket(product_id: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(product_id), F.lit(buckets)).cast("int")
+
+
+def save_products(catalogue: DataFrame, series: DataFrame, directory: str, buckets: int | None = None) -> None:
     """Write the catalogue as JSON and the series as parquet.
 
     One folder per product would mean as many folders as products, so series are
-    laid out in ``buckets`` hash folders, sorted by product and date inside; a
-    lookup prunes by folder and by parquet statistics.
+    laid out in hash folders, sorted by product and date inside; a lookup prunes by folder and
+    by parquet statistics.  Their number follows the number of rows unless it is given, and is stored
+    with the dataset.  A product has a row per day at most, so no folder is hot.
     """
-    bucket = F.pmod(F.xxhash64("product_id"), F.lit(buckets)).cast("int")
-    laid_out = series.select("product_id", *SERIES_SCHEMA.names).withColumn("bucket", bucket)
+    if buckets is None:
+        buckets = max(1, -(-series.count() // ROWS_PER_BUCKET))
+    laid_out = series.select("product_id", *SERIES_SCHEMA.names).withColumn("bucket", _bucket(F.col("product_id"), buckets))
     (
-        laid_out.repartition("bucket", F.pmod(F.xxhash64("product_id", "date"), F.lit(8)))
+        laid_out.repartition("bucket")
         .sortWithinPartitions("bucket", "product_id", "date")
         .write.mode("overwrite")
         .partitionBy("bucket")
         .parquet(f"{directory}/{SERIES_DIR}")
     )
-    out = catalogue.withColumnRenamed("product_id", "id").withColumn(
-        "timeseries_file", F.lit(f"{directory}/{SERIES_DIR}")
-    )
+    series.sparkSession.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").json(f"{directory}/{LAYOUT_DIR}")
+    folder = F.concat(F.lit(f"{directory}/{SERIES_DIR}/bucket="), _bucket(F.col("product_id"), buckets).cast("string"))
+    out = catalogue.withColumn("timeseries_file", folder).withColumnRenamed("product_id", "id")
     out.write.mode("overwrite").json(f"{directory}/{CATALOGUE_DIR}")
 
 
@@ -124,18 +138,19 @@ def load_products(spark: SparkSession, directory: str, strict: bool = True) -> t
     else:
         catalogue = read_catalogue(spark, f"{directory}/{CATALOGUE_DIR}")
         series = read_series_csv(spark, directory)
-    attach_series(catalogue, series, strict)  # raises or warns about missing series
+    known = series.select("product_id").distinct()
+    _check_series(catalogue, known, strict)
     if not strict:
-        catalogue = catalogue.join(series.select("product_id").distinct(), "product_id", "left_semi")
+        catalogue = catalogue.join(known, "product_id", "left_semi")
     return catalogue, series.join(catalogue.select("product_id"), "product_id", "left_semi")
 
 
-def find_series(spark: SparkSession, directory: str, product_id, buckets: int = 32) -> DataFrame:
-    """Series of one product; reads only the folder its id hashes to."""
+def find_series(spark: SparkSession, directory: str, product_id) -> DataFrame:
+    """Series of one product; reads only the folder its id hashes to, as the stored layout says."""
+    layout = spark.read.schema("buckets int").json(f"{directory}/{LAYOUT_DIR}").first()
     series = spark.read.parquet(f"{directory}/{SERIES_DIR}")
     wanted = F.lit(str(product_id))
-    bucket = F.pmod(F.xxhash64(wanted), F.lit(buckets)).cast("int")
-    return series.filter((F.col("bucket") == bucket) & (F.col("product_id") == wanted)).drop("bucket")
+    return series.filter((F.col("bucket") == _bucket(wanted, layout.buckets)) & (F.col("product_id") == wanted)).drop("bucket")
 
 
 def is_complete(spark: SparkSession, directory: str) -> bool:

@@ -5,10 +5,11 @@ import math
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricewright.functions import pricing as P
-from pricewright.functions.numbers import half_up
-from pricewright.operators import clean, demand, policies, replay, windows
+from pricewright.functions.numbers import HASH_RANGE, half_up, mixed_hash, mixed_unit
+from pricewright.operators import clean, demand, ledger, policies, windows
 from pricewright.operators import learning as L
 from pricewright.operators.calendar import attach_calendar
 from pricewright.operators.catalogue import add_custom_products, first_products, overlay_fitted
@@ -174,7 +175,7 @@ def test_category_index(spark, category, index):
 
 def ledger_of(spark, demands, params, start, segment=30):
     days = spark.createDataFrame([("a", i, float(d), 2.0) for i, d in enumerate(demands)], "product_id string, day int, demand double, price double")
-    rows = replay.stock_ledger(days, ["product_id"], "day", params, start, segment)
+    rows = ledger.stock_ledger(days, ["product_id"], "day", params, start, segment)
     return sorted(rows.collect(), key=lambda r: r["day"])
 
 
@@ -298,6 +299,77 @@ def test_prior_leaves_the_product_out(spark):
     assert out == {("a", 0): 4.0, ("b", 0): 3.0, ("c", 0): 2.0, ("a", 1): 7.0, ("b", 1): 7.0}
 
 
-def test_adaptation_takes_ten_episodes_at_most(spark):
-    with pytest.raises(ValueError):
-        L.adapted_q(spark.range(1), spark.range(1), n_episodes=11)
+def test_adaptation_takes_any_number_of_episodes(spark):
+    rows = [("a", 0, 0, float(e), 0, True, e) for e in range(40)]
+    moves = spark.createDataFrame(rows, "product_id string, state int, action int, reward double, next_state int, done boolean, episode int")
+    prior = spark.createDataFrame([("a", 0, 1, 9.0)], "product_id string, state int, action int, q double")
+    got = {r["action"]: r["q"] for r in L.adapted_q(moves, prior, n_episodes=30).collect()}
+    assert got == {0: sum(range(30)) / 30, 1: 9.0}
+
+
+# --- limits -------------------------------------------------------------------------
+
+
+def test_half_up_leaves_what_has_no_digits_left(spark):
+    nan, inf = float("nan"), float("inf")
+    assert [one(spark, half_up(F.lit(x), 6)) for x in (1e15, -1e300, inf, -inf)] == [1e15, -1e300, inf, -inf]
+    assert math.isnan(one(spark, half_up(F.lit(nan), 6))) and one(spark, half_up(F.lit(None).cast("double"), 6)) is None
+    assert one(spark, half_up(F.lit(1234567.1234565), 6)) == math.floor(1234567.1234565 * 1e6 + 0.5) / 1e6
+
+
+def test_hash_reaches_millions_of_positions(spark):
+    drawn = spark.range(400_000).select(F.pmod(mixed_hash(F.lit(0), F.col("id"), F.lit(1), 3), F.lit(3_000_000)).alias("at"))
+    low, high, different = drawn.agg(F.min("at"), F.max("at"), F.count_distinct("at")).first()
+    # 400,000 draws of 3,000,000 hit 3e6 * (1 - exp(-0.1333)) places, about 374,500.
+    assert low < 100 and high > 2_999_900 and 373_000 < different < 376_000
+    whole = spark.range(300_000).select(mixed_hash(F.col("id"), F.lit(7), F.lit(1)).alias("h"))
+    assert whole.agg(F.count_distinct("h"), F.min("h") >= 0, F.max("h") < F.lit(HASH_RANGE)).first() == (300_000, True, True)
+
+
+def test_hash_takes_any_id(spark):
+    ids = [123456789012345678, -(2**63), 2**63 - 1]
+    drawn = [one(spark, mixed_hash(F.lit(i), F.lit(2**40), F.lit(-5))) for i in ids]
+    assert len(set(drawn)) == 3 and all(0 <= x < HASH_RANGE for x in drawn)
+    assert 0 <= one(spark, mixed_unit(F.lit(ids[0]), F.lit(0), F.lit(0))) < 1
+
+
+def test_minibatch_is_no_prefix(spark):
+    rows = spark.range(200_000).select(F.col("id").alias("p"), F.lit(0).alias("e"), F.lit(0).alias("s"))
+    drawn = sorted(r["p"] for r in L.minibatch(rows, F.col("p"), F.col("e"), F.col("s"), 128, seed=1).collect())
+    assert len(set(drawn)) == 128 and 80_000 < sum(drawn) / 128 < 120_000
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    {
+        "12/1/2010 8:26": "2010-12-01 08:26:00",
+        "12/1/10 8:26": "2010-12-01 08:26:00",
+        "01-12-2010 08:26": "2010-01-12 08:26:00",
+        "1 Dec 2010": "2010-12-01 00:00:00",
+        "20101201": "2010-12-01 00:00:00",
+        "2010-12-01T08:26:00": "2010-12-01 08:26:00",
+        " 2010-12-01 ": "2010-12-01 00:00:00",
+        "12:30": None,
+        "13/45/2010": None,
+        "5d": None,
+        "": None,
+    }.items(),
+)
+def test_spellings_of_times(spark, text, want):
+    got = one(spark, clean.parse_time(F.lit(text), T.StringType()))
+    assert (None if got is None else str(got)) == want
+
+
+def test_numbers_have_no_letters_behind_them(spark):
+    frame = spark.createDataFrame([(x, "1") for x in ("5", " 5.5 ", "1e3", "5d", "5f", "0x1", "", "-3", "NaN")], "Quantity string, Price string")
+    got = [r["Quantity"] for r in clean.coerce_numbers(frame).collect()]
+    assert got[:8] == [5.0, 5.5, 1000.0, None, None, None, None, -3.0] and math.isnan(got[8])
+
+
+def test_rejected_rows_per_rule(spark):
+    rows = [("C1", "a", "1", "1", "2010-12-01"), ("1", "a", "x", "1", "2010-12-01"), ("1", "a", "-1", "1", "2010-12-01"),
+            ("1", None, "1", "1", "2010-12-01"), ("1", "a", "1", "1", "12:30"), ("1", "a", "1", "1", "2010-12-01"), (None, "a", "1", "NaN", "2010-12-01")]
+    frame = spark.createDataFrame(rows, "Invoice string, StockCode string, Quantity string, Price string, InvoiceDate string")
+    got = clean.rejected_rows(frame).first().asDict()
+    assert got == {"cancelled": 1, "no_number": 1, "not_positive": 2, "no_code": 1, "no_time": 1, "kept": 1}
+    assert clean.clean_rows(frame).count() == got["kept"]

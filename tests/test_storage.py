@@ -5,7 +5,7 @@ import json
 
 import pytest
 
-from pricewright.operators import clean, demand, replay
+from pricewright.operators import clean, demand, ledger
 from pricewright.params import EpisodeParams
 from pricewright.sources import catalogue as S
 from pricewright.sources import driver_tables as D
@@ -123,6 +123,16 @@ def test_saved_products_load_again(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(bucket" in one._jdf.queryExecution().executedPlan().toString()
 
 
+def test_lookup_follows_the_stored_number_of_buckets(spark, tmp_path):
+    products, series = small_dataset(spark)
+    path = str(tmp_path / "many")
+    S.save_products(products, series, path, buckets=64)
+    assert all(S.find_series(spark, path, i).count() == 3 for i in (0, 7, 23, 49))
+    files = {r["id"]: r["timeseries_file"] for r in spark.read.json(f"{path}/products_metadata.json").collect()}
+    assert len(set(files.values())) > 20
+    assert spark.read.parquet(files["7"]).filter("product_id = '7'").count() == 3
+
+
 def test_dataset_is_built_once(spark, tmp_path):
     calls = []
 
@@ -170,5 +180,5 @@ def test_stream_over_several_files_equals_batch(spark, small_dir, tmp_path):
               for r in spark.read.parquet(out["ledger"]).collect()}
     days_in = batch.selectExpr("StockCode", "Date", "total_qty as demand", "avg_price as price")
     expected = {(r["StockCode"], r["Date"]): (r["units_sold"], r["lost_units"], r["inventory"], round(r["raw_reward"], 4))
-                for r in replay.stock_ledger(days_in, ["StockCode"], "Date", params).collect()}
+                for r in ledger.stock_ledger(days_in, ["StockCode"], "Date", params).collect()}
     assert booked == expected
