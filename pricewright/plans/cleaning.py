@@ -196,16 +196,9 @@ def fitted_product_catalogue(spark, sf_dir):
     return B.fitted(spark, sf_dir, "part")
 
 
-@query(
-    "T3",
-    f"""SELECT {DAILY}, row_number() OVER (ORDER BY "Date", "StockCode") AS place FROM daily_supplier""",
-)
+@query("T3", f"SELECT {DAILY} FROM daily_supplier")
 def daily_demand_in_date_order(spark, sf_dir):
-    from ..operators.positions import with_position
-
-    rows = demand.in_date_order(B.daily(spark, sf_dir))
-    # the place makes the order visible to a comparison that sorts rows itself
-    return B.rounded(with_position(rows, [F.col("Date").asc(), F.col("StockCode").asc()], "place"))
+    return B.rounded(demand.in_date_order(B.daily(spark, sf_dir)))
 
 
 @query(

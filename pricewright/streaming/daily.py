@@ -50,16 +50,19 @@ def stock_ledger_stream(daily: DataFrame, params: EpisodeParams = EpisodeParams(
 
     ``daily`` is a stream over the folder ``daily_demand_stream`` is written to (Spark
     allows no state of one's own behind an aggregate within one stream).  The file
-    sink commits whole micro-batches and days close in order, so a later batch never
-    holds an earlier day; leave the number of files per trigger unlimited.  The days
-    a batch brings for a product are booked in date order.
+    sink commits whole micro-batches and days close in order, so a later batch holds no
+    earlier day unless the number of files per trigger is limited.  The days a batch brings for a product
+    are booked in date order; the state keeps the last one, and a day that is not after it ends the
+    stream with an error instead of being booked out of order.
     """
     p = params
     opening = p.max_inventory if start_inventory is None else start_inventory
 
     def book(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         days = pd.concat(list(batches)).sort_values("Date")
-        stock = state.get[0] if state.exists else opening
+        stock, last = state.get if state.exists else (opening, None)
+        if last is not None and days["Date"].iloc[0] <= last:
+            raise ValueError(f"{key[0]}: {days['Date'].iloc[0]} arrives after {last} has been booked")
         wanted = days["total_qty"].astype(float).astype(int).to_numpy()
         before, sold, after = [], [], []
         for units in wanted:
@@ -67,7 +70,7 @@ def stock_ledger_stream(daily: DataFrame, params: EpisodeParams = EpisodeParams(
             sold.append(min(int(units), stock))
             stock = min(p.max_inventory, max(0, stock - sold[-1]) + p.restock)
             after.append(stock)
-        state.update((stock,))
+        state.update((stock, days["Date"].iloc[-1]))
         out = pd.DataFrame(
             {
                 "StockCode": key[0],
@@ -89,7 +92,7 @@ def stock_ledger_stream(daily: DataFrame, params: EpisodeParams = EpisodeParams(
     return daily.groupBy("StockCode").applyInPandasWithState(
         book,
         outputStructType=LEDGER_SCHEMA,
-        stateStructType="inventory int",
+        stateStructType="inventory int, last date",
         outputMode="append",
         timeoutConf=GroupStateTimeout.NoTimeout,
     )

@@ -182,3 +182,25 @@ def test_stream_over_several_files_equals_batch(spark, small_dir, tmp_path):
     expected = {(r["StockCode"], r["Date"]): (r["units_sold"], r["lost_units"], r["inventory"], round(r["raw_reward"], 4))
                 for r in ledger.stock_ledger(days_in, ["StockCode"], "Date", params).collect()}
     assert booked == expected
+
+
+def test_ledger_stream_refuses_days_out_of_order(spark, tmp_path):
+    source, out = str(tmp_path / "days"), [str(tmp_path / name) for name in ("ledger", "progress")]
+    schema = "StockCode string, Date date, avg_price double, total_qty double"
+
+    def bring(day):
+        spark.createDataFrame([("a", dt.date(2023, 1, day), 2.0, 5.0)], schema).coalesce(1).write.mode("append").parquet(source)
+        days = stream.read_lines(spark, source, spark.createDataFrame([], schema).schema)
+        stream.run_available(stream.stock_ledger_stream(days), *out)
+
+    bring(2)
+    bring(3)
+    assert spark.read.parquet(out[0]).count() == 2
+    with pytest.raises(Exception, match="arrives after"):
+        bring(1)
+
+
+def test_in_date_order(spark, small_dir):
+    daily = demand.daily_demand(clean.clean_rows(D.transactions(spark, small_dir)))
+    rows = [(r["Date"], r["StockCode"]) for r in demand.in_date_order(daily).collect()]
+    assert rows == sorted(rows) and len(rows) > 100
