@@ -61,16 +61,17 @@ def shingle_sets(texts: list[str | None], width: int):
             yield words[:0]
 
 
-def signature(shingles: np.ndarray) -> bytes:
-    """Sixteen bits of the minwise token of each hash function."""
+def signature(shingles: np.ndarray) -> tuple[bytes, bytes]:
+    """Of the minwise token of each hash function sixteen bits, to choose paths by, and eight, to compare by."""
     least = np.full(TOKENS, np.iinfo(np.uint64).max)
     for part in range(0, len(shingles), 4096):
         np.minimum(least, (shingles[part : part + 4096, None] * _MULTIPLIERS).min(0), out=least)
-    return (mixed(least) >> np.uint64(48)).astype("<u2").tobytes()
+    tokens = mixed(least)
+    return (tokens >> np.uint64(48)).astype("<u2").tobytes(), (tokens & np.uint64(255)).astype(np.uint8).tobytes()
 
 
 def _described(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n_shingles, digest, signature``; no digest for an empty set."""
+    """``doc_id, n_shingles, digest, signature, marks``; no digest for an empty set."""
 
     def describe(batches):
         for batch in batches:
@@ -80,14 +81,15 @@ def _described(docs: DataFrame, width: int) -> DataFrame:
                 for found in shingle_sets(texts[a:b], width):
                     sizes.append(len(found))
                     digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                    signatures.append(signature(found) if len(found) else None)
+                    signatures.append(signature(found) if len(found) else (None, None))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())],
-                    ["doc_id", "n_shingles", "digest", "signature"],
+                    [ids.slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+                     pa.array([x for x, _ in signatures], pa.binary()), pa.array([x for _, x in signatures], pa.binary())],
+                    ["doc_id", "n_shingles", "digest", "signature", "marks"],
                 )
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        describe, "doc_id bigint, n_shingles bigint, digest binary, signature binary"
+        describe, "doc_id bigint, n_shingles bigint, digest binary, signature binary, marks binary"
     )
 
 
@@ -150,7 +152,7 @@ def _compared(cells: DataFrame, classes: DataFrame, threshold: float) -> DataFra
         starts = np.flatnonzero(np.concatenate([[True], numbers[1:] != numbers[:-1]]))
         ends = np.append(starts[1:], len(numbers))
         ids, sizes = table.column("rep").to_numpy(), table.column("n_shingles").to_numpy()
-        signs = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(-1, TOKENS)
+        signs = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(-1, TOKENS)
         lefts, rights, alikes = [], [], []
         for gap in range(1, int((ends - starts).max())):  # the rows `gap` apart in all cells at once
             left = np.concatenate([np.arange(s, e - gap) for s, e in zip(starts, ends) if e - s > gap])
@@ -188,7 +190,7 @@ def _compared(cells: DataFrame, classes: DataFrame, threshold: float) -> DataFra
         if held:
             yield from pairs(pa.Table.from_batches(held))
 
-    rows = cells.join(classes.select("rep", "n_shingles", "signature"), "rep")
+    rows = cells.join(classes.select("rep", "n_shingles", "marks"), "rep")
     ordered = rows.repartition("cell").sortWithinPartitions("cell")
     return ordered.mapInArrow(search, "a bigint, b bigint, alike int").groupBy("a", "b").agg(F.max("alike").alias("alike"))
 
@@ -354,7 +356,7 @@ def near_duplicates(
     described = written(_described(docs, width), "described")
     members = described.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = written(
-        members.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")),
+        members.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("marks").alias("marks")),
         "classes",
     )
     small, large = _nodes(classes, trees, leaf, depth or tree_depth(classes.count()))
@@ -381,8 +383,10 @@ def near_duplicates(
     across = _outside(large, named, sets, per_cent)
     rest = written(_apart(candidates.select("a", "b"), named).unionByName(across).distinct(), "pairs")
     if not rest.isEmpty():
-        more = _confirmed(rest, sets, per_cent)
-        named = components(named.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        more = written(_confirmed(rest, sets, per_cent), "links")
+        if not more.isEmpty():
+            stars = named.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            named = components(stars.unionByName(more))
 
     per_class = classes.join(named, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     placed = described.join(per_class, "digest", "left")
