@@ -43,6 +43,7 @@ def _byte_letters() -> dict[int, int]:
 
 
 _LETTERS = _byte_letters()
+_BLANK = chr(_LETTERS[32])
 
 
 def tokenizer_path(name: str) -> str:
@@ -93,6 +94,8 @@ class Encoder:
         at = self.known.get(word)
         if at is not None:
             return self.ids[self.starts[at] : self.starts[at + 1]].tolist()
+        if word.isascii():  # letters stand for themselves, a blank for the letter that byte 32 has
+            return [t.id for t in self.tokenizer.model.tokenize(_BLANK + word if self.keeps_space else word)]
         return self._piece(" " + word if self.keeps_space else word)
 
     def _ids(self, cuttings: list[str]) -> list[list[int]]:
