@@ -70,26 +70,41 @@ def signature(shingles: np.ndarray) -> tuple[bytes, bytes]:
     return (tokens >> np.uint64(48)).astype("<u2").tobytes(), (tokens & np.uint64(255)).astype(np.uint8).tobytes()
 
 
+def digest_of(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def _id() -> Column:
+    return F.col("doc_id").cast("bigint")
+
+
+def _of_text() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def _described(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n_shingles, digest, signature, marks``; no digest for an empty set."""
+    """``doc_id, of_text, n_shingles, digest, signature, marks``; no digest for an empty set.
+
+    ``of_text`` is a hash of the text: ids may repeat with other texts, so it names a row with the id.
+    """
 
     def describe(batches):
         for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
+            texts, ids, hashes = batch.column("text").to_pylist(), batch.column("doc_id"), batch.column("of_text")
             for a, b in slices(texts):
                 sizes, digests, signatures = [], [], []
                 for found in shingle_sets(texts[a:b], width):
                     sizes.append(len(found))
-                    digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
+                    digests.append(digest_of(found) if len(found) else None)
                     signatures.append(signature(found) if len(found) else (None, None))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+                    [ids.slice(a, b - a), hashes.slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                      pa.array([x for x, _ in signatures], pa.binary()), pa.array([x for _, x in signatures], pa.binary())],
-                    ["doc_id", "n_shingles", "digest", "signature", "marks"],
+                    ["doc_id", "of_text", "n_shingles", "digest", "signature", "marks"],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        describe, "doc_id bigint, n_shingles bigint, digest binary, signature binary, marks binary"
+    return docs.select(_id().alias("doc_id"), "text", _of_text().alias("of_text")).mapInArrow(
+        describe, "doc_id bigint, of_text bigint, n_shingles bigint, digest binary, signature binary, marks binary"
     )
 
 
@@ -195,18 +210,21 @@ def _compared(cells: DataFrame, classes: DataFrame, threshold: float) -> DataFra
     return ordered.mapInArrow(search, "a bigint, b bigint, alike int").groupBy("a", "b").agg(F.max("alike").alias("alike"))
 
 
-def _sets(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """``rep, shingles`` of the documents that occur in pairs, worked out again from their texts.
+def _sets(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``rep, shingles`` of the classes that occur in pairs, worked out again from the text that stands for each.
 
     ``halves`` has the upper half of each hash: enough to rule a pair out, not to confirm it.
     """
     needed = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    named = classes.join(needed, "rep", "left_semi").select("rep", "digest", F.col("first.doc_id").alias("id"), F.col("first.of_text").alias("hash"))
 
     def build(batches):
         for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), batch.column("rep")
+            texts, ids, digests = batch.column("text").to_pylist(), batch.column("rep"), batch.column("digest").to_pylist()
             for a, b in slices(texts):
                 found = list(shingle_sets(texts[a:b], width))
+                # Another text of this id could have the same hash.
+                right = pa.array([digest_of(x) == of for x, of in zip(found, digests[a:b])], pa.bool_())
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(a, b - a),
@@ -214,11 +232,12 @@ def _sets(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
                         pa.array([(x >> np.uint64(32)).astype("<u4").tobytes() for x in found], pa.binary()),
                     ],
                     ["rep", "shingles", "halves"],
-                )
+                ).filter(right)
 
     # The list of ids grows with the documents, so it is never sent whole to all tasks.
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(needed.hint("merge"), "rep", "left_semi")
-    return written(texts.dropDuplicates(["rep"]).mapInArrow(build, "rep bigint, shingles binary, halves binary"), "sets")
+    texts = docs.select(_id().alias("id"), _of_text().alias("hash"), "text").join(named.hint("merge"), ["id", "hash"])
+    once = texts.select("rep", "digest", "text", "id", "hash").dropDuplicates(["id", "hash", "rep", "text"])
+    return written(once.select("rep", "digest", "text").mapInArrow(build, "rep bigint, shingles binary, halves binary"), "sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
@@ -348,15 +367,18 @@ def _outside(large: DataFrame, named: DataFrame, sets: DataFrame, per_cent: int)
     return both.repartition("group").sortWithinPartitions("group", "role").mapInArrow(search, "a bigint, b bigint")
 
 
-def near_duplicates(
-    docs: DataFrame, width: int = 2, per_cent: int = 80, trees: int = TREES, leaf: int = LEAF, depth: int | None = None
-) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for rows of ``doc_id, text``."""
+def _placed(docs: DataFrame, width: int, per_cent: int, trees: int, leaf: int, depth: int | None) -> DataFrame:
+    """``doc_id, of_text, n_shingles, first`` per row; ``first`` is the least ``doc_id, of_text`` of its component, if it has a set.
+
+    A class is known by a number of its own, since an id may stand for several texts.
+    """
     threshold = per_cent / 100
     described = written(_described(docs, width), "described")
     members = described.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = written(
-        members.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("marks").alias("marks")),
+        members.groupBy("digest").agg(F.min(F.struct("doc_id", "of_text")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("marks").alias("marks"))
+        # Written at once, so a number never changes.
+        .withColumn("rep", F.monotonically_increasing_id()),
         "classes",
     )
     small, large = _nodes(classes, trees, leaf, depth or tree_depth(classes.count()))
@@ -376,7 +398,7 @@ def near_duplicates(
     )
     best = ends.groupBy("x").agg(F.max("p").alias("p")).select("p.a", "p.b")
     pairs = written(best.unionByName(stars).distinct(), "pairs")
-    sets = _sets(pairs, docs, width)
+    sets = _sets(pairs, classes, docs, width)
     named = written(components(written(_confirmed(pairs, sets, per_cent), "links")), "named")
 
     # Then what these do not connect: other candidates, and in large nodes those outside its largest component with all.
@@ -388,13 +410,38 @@ def near_duplicates(
             stars = named.select(F.col("node").alias("a"), F.col("component").alias("b"))
             named = components(stars.unionByName(more))
 
-    per_class = classes.join(named, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    placed = described.join(per_class, "digest", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    least = classes.join(named, F.col("rep") == F.col("node")).groupBy("component").agg(F.min("first").alias("least"))
+    of = named.join(least, "component").select("node", "least")
+    per_class = classes.join(of, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("least", "first").alias("first"))
+    placed = described.select("doc_id", "of_text", "n_shingles", "digest").join(per_class, "digest", "left")
+    return placed.withColumn("first", F.when(F.col("doc_id").isNotNull(), F.col("first")))
+
+
+def near_duplicates(
+    docs: DataFrame, width: int = 2, per_cent: int = 80, trees: int = TREES, leaf: int = LEAF, depth: int | None = None
+) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for rows of ``doc_id, text``."""
+    placed = _placed(docs, width, per_cent, trees, leaf, depth)
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("first.doc_id", "doc_id"))
     return placed.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame:
-    """The documents that stay, one of each component, with the columns they came with."""
-    dropped = written(near_duplicates(docs, width, per_cent).where(~F.col("kept")).select(F.col("doc_id").alias("gone")), "near-gone")
-    return docs.join(dropped, F.col("doc_id") == F.col("gone"), "left_anti")
+    """The documents that stay, one of each component, with the columns they came with.
+
+    Rows go by id and hash of the text, never by the id alone.  A row without an id or without words is a
+    component of its own and stays; of rows that repeat the id and text to keep, one stays.
+    """
+    placed = _placed(docs, width, per_cent, TREES, LEAF, None).where("first IS NOT NULL")
+    tied = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("of_text") == F.col("first.of_text"))
+    counted = placed.groupBy("doc_id", "of_text").agg(F.count("*").alias("rows"), F.max(tied).alias("tied"))
+    named = counted.where("NOT tied OR rows > 1")
+    named = written(named.select(F.col("doc_id").alias("gone"), F.col("of_text").alias("gone_text"), F.col("tied").alias("gone_tied")), "near-gone")
+    same = (_id() == F.col("gone")) & (_of_text() == F.col("gone_text"))
+    single = docs.join(named, same, "left_anti")
+    several = named.where("gone_tied")
+    if several.isEmpty():
+        return single
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.join(several, same, "left_semi").select(_id().alias("id"), _of_text().alias("hash"), whole.alias("row"))
+    return single.unionByName(rows.groupBy("id", "hash").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*"))

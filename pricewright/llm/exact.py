@@ -16,7 +16,7 @@ gives an empty result.  Columns are picked by name, so others cannot clash.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -70,11 +70,32 @@ def groups(docs: DataFrame, winners: int = WINNERS, tracked: int = TRACKED, leas
     )
 
 
+def _of_row() -> Column:
+    """The digest of a row's text as bytes."""
+    text = lower_ascii(F.coalesce(F.col("text"), F.lit("")))
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with the columns they came with.
+    """One document of each text, with the columns it came with.
 
-    Only ids of dropped rows are joined back, so texts are not shuffled for rows that
-    have no copy unless the list of dropped ids outgrows a broadcast.
+    Rows are named by id and digest, so an id that is null or has several texts loses only those that are
+    copies.  Rows of a group that share the id to keep, null or not, are ``tied``; one of them stays.
+    Ids and digests of copies are joined back, so texts are not shuffled for rows that
+    have no copy unless that list outgrows a broadcast.
     """
-    dropped = written(groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone")), "exact-gone")
-    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    copies = groups(docs).where("group_size > 1").groupBy(F.col("text_sha256"), "doc_id", "keep_id")
+    counted = copies.agg(F.count("*").alias("rows"))
+    # Without any id in the group, keep_id is null and so are all ids: all rows are tied.
+    tied = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    named = counted.where(~tied | (F.col("rows") > 1))
+    named = written(named.select(F.col("doc_id").alias("gone"), F.unhex("text_sha256").alias("gone_text"), tied.alias("gone_tied")), "exact-gone")
+    same = F.col("doc_id").eqNullSafe(F.col("gone")) & (_of_row() == F.col("gone_text"))
+    single = docs.join(named, same, "left_anti")
+    several = named.where("gone_tied")
+    if several.isEmpty():
+        return single
+    # One partial row per id, digest and task, so a row repeated very often meets no single task.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.join(several, same, "left_semi").select(F.col("doc_id").alias("id"), _of_row().alias("digest"), whole.alias("row"))
+    return single.unionByName(rows.groupBy("id", "digest").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*"))

@@ -102,6 +102,21 @@ def test_exact_keep_one(odd_docs, no_docs):
     assert exact.groups(no_docs).collect() == [] and exact.keep_one(no_docs).collect() == []
 
 
+def test_exact_keep_one_leaves_one_row_of_each_text(spark, odd_docs):
+    """Null ids, ids with several texts, and repeated rows: the exact multiset of what stays."""
+    rows = [
+        (None, ""), (3, ""), (None, "alone"), (None, "twice"), (None, "TWICE"), (5, "a"), (5, "b"), (7, "A"),
+        (8, "same"), (8, "same"), (9, "x"), (9, "x"), (2, "X"), (None, None),
+    ]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id bigint, text string, source string").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in exact.keep_one(docs).collect())
+    twice = (None, "TWICE") if got[(None, "TWICE")] else (None, "twice")
+    assert got == Counter([(3, ""), (None, "alone"), twice, (5, "b"), (7, "A"), (8, "same"), (9, "x")])
+    left = exact.keep_one(odd_docs).collect()
+    assert Counter(lower(r.text) for r in left) == Counter({lower(r.text) for r in odd_docs.collect()})
+    assert [r.text for r in left if r.doc_id is None] == ["no id here at all"]
+
+
 # --- source mix -------------------------------------------------------------------
 
 

@@ -109,6 +109,22 @@ def test_near_of_odd_texts(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and kept.where("doc_id IN (6, 8)").count() == 0
 
 
+def test_near_keep_one_of_ids_with_several_texts(spark):
+    """An id loses the text that is a near copy, not its others; of repeated rows one stays."""
+    words_of = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [
+        (5, words_of("p")), (5, words_of("q")), (2, words_of("p") + " more"), (7, words_of("r")), (7, words_of("r")),
+        (8, words_of("r") + " end"), (9, words_of("s")), (9, words_of("s") + " end"), (None, words_of("p")), (None, ""), (1, ""),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = Counter(tuple(r) for r in chosen_path.keep_one(docs, 5).collect())
+    nines = [r for r in rows if r[0] == 9 and got[r]]
+    want = [(2, words_of("p") + " more"), (5, words_of("q")), (7, words_of("r")), (None, words_of("p")), (None, ""), (1, "")]
+    assert len(nines) == 1 and got == Counter(want + nines)
+    ids = {(r.doc_id, r.n_shingles, r.component_id) for r in chosen_path.near_duplicates(docs, 5).where("doc_id = 5").collect()}
+    assert ids == {(5, 56, 2), (5, 56, 5)}
+
+
 def test_near_hot_group(spark):
     """One family of edited copies that is most of the table, larger than a leaf at any depth."""
     rng, base = np.random.default_rng(8), [f"w{i}" for i in range(150)]
