@@ -81,6 +81,21 @@ def test_masks_meet_the_miss_rate():
         assert all(m.bit_count() == width for m in masks) and (1 - agree) ** len(masks) <= embeddings.MISS
 
 
+def test_recall_with_the_masks_of_large_tables(spark, monkeypatch):
+    """Pairs just above the threshold, in tables as they are cut for 100 million classes."""
+    rng, rows, turn = np.random.default_rng(12), [], math.acos(0.931)
+    for _ in range(400):
+        own, other = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+        rows += [(len(rows), own.tolist(), 1), (len(rows) + 1, (math.cos(turn) * own + math.sin(turn) * other).tolist(), 1)]
+    # So many others that the code is not learned from the pairs alone.
+    rows += [(800 + k, v.tolist(), 2 + k % 50) for k, v in enumerate(rng.normal(size=(4000, 64)))]
+    cut = embeddings.table_masks
+    monkeypatch.setattr(embeddings, "table_masks", lambda n, *a, **k: cut(10**8, *a, **k))
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = embeddings.duplicates(frame).where("vec_id < 800").collect()
+    assert {r.n_links for r in got} <= {0, 1} and sum(r.n_links for r in got) >= 0.96 * 800
+
+
 @pytest.fixture(scope="module")
 def stages(spark, small_dir):
     """The rows before the first and after each stage."""
