@@ -112,6 +112,30 @@ def steps_with_calendar_rows(spark, sf_dir):
     )
 
 
+@query(
+    "J4",
+    f"""SELECT l.l_orderkey, l.l_linenumber, i.product_id, i.row_index, i.date, {rnd('i.seasonal')} AS seasonal
+        FROM lineitem l
+        JOIN indexed i ON i.product_id = CAST(l.l_suppkey AS VARCHAR)
+        AND i.row_index = (l.l_orderkey * 31 + l.l_linenumber * 7) % i.n_rows""",
+)
+def line_steps_with_calendar_rows(spark, sf_dir):
+    """Steps of all products, from all of their calendars: a line's supplier, and a position that runs over its rows."""
+    series = B.series(spark, sf_dir)
+    lengths = series.groupBy("product_id").agg(F.count("*").alias("length"))
+    lines = B.lines(spark, sf_dir).select(
+        "l_orderkey", "l_linenumber", F.col("l_suppkey").cast("string").alias("product_id")
+    )
+    position = F.col("l_orderkey") * 31 + F.col("l_linenumber") * 7
+    steps = lines.join(lengths, "product_id").withColumn("start", (position % F.col("length")).cast("int"))
+    found = K.attach_calendar(steps.withColumn("offset", F.lit(0)), series)
+    return B.rounded(
+        found.select(
+            "l_orderkey", "l_linenumber", "product_id", F.col("row_index").cast("bigint").alias("row_index"), "date", "seasonal"
+        )
+    )
+
+
 @query(
     "J5",
     """SELECT product_id, base_price, policy FROM described,

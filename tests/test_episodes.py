@@ -63,3 +63,15 @@ def test_totals_of_a_log(spark, steps):
     rows = spark.createDataFrame(steps)
     total = evaluate.episode_totals(rows).agg(F.sum("total_reward"), F.sum("n_steps")).first()
     assert total[0] == pytest.approx(sum(r["reward"] for r in steps)) and total[1] == len(steps)
+
+
+def test_steps_reach_all_products_and_whole_calendars(spark):
+    from pricewright import plans
+    from pricewright.plans import base
+
+    sf_dir = "/root/testdata/sf0.01"
+    steps = plans.QUERIES["line_steps_with_calendar_rows"](spark, sf_dir)
+    got = {r.product_id: (r.low, r.high) for r in steps.groupBy("product_id").agg(F.min("row_index").alias("low"), F.max("row_index").alias("high")).collect()}
+    rows = {r.product_id: r.n for r in base.series(spark, sf_dir).groupBy("product_id").agg(F.count("*").alias("n")).collect()}
+    assert len(rows) > 10 and set(got) == set(rows)
+    assert all(got[p][0] < 0.1 * n and got[p][1] >= 0.9 * n for p, n in rows.items())
