@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import fresh_path
-from . import chosen_path, elias_fano, embeddings, exact, language, mixing, packing, ppm, quality, urls
+from . import chosen_path, conversations, elias_fano, embeddings, exact, language, mixing, packing, ppm, quality, urls
 from .common import table
 from .tokens import tokenizer_path
 
@@ -155,3 +155,56 @@ def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log10 probability of every whole text, learned from the rows that are not held out."""
     return ppm.score(table(spark, sf_dir, "documents"))
+
+
+@query(
+    r"""
+WITH RECURSIVE ids AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+bits(conv_id, step, crc) AS (
+    SELECT conv_id, 0, 4294967295::BIGINT FROM ids
+    UNION ALL
+    SELECT conv_id, step + 1,
+           CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END
+    FROM (SELECT *, CASE WHEN step % 8 = 0 THEN xor(crc, ascii(substr(conv_id::VARCHAR, step // 8 + 1, 1))::BIGINT) ELSE crc END AS x
+          FROM bits WHERE step < 8 * length(conv_id::VARCHAR))),
+heads AS (SELECT conv_id, xor(crc, 4294967295::BIGINT) % 4 AS h FROM bits WHERE step = 8 * length(conv_id::VARCHAR)),
+turned AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+               md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, ''))) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL),
+moved AS (
+    SELECT c.conv_id, 0 AS part, t.pos, t.role, t.text FROM heads c JOIN turned t
+      ON t.conv_id = c.conv_id - c.conv_id % 20 AND t.pos <= c.h
+    UNION ALL
+    SELECT c.conv_id, 1, t.pos, t.role, t.text FROM heads c JOIN turned t ON t.conv_id = c.conv_id AND t.pos > c.h),
+steps AS (
+    SELECT conv_id, row_number() OVER w AS d, text,
+           list({'role': role, 'text': text}) OVER w AS key
+    FROM moved WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos ROWS UNBOUNDED PRECEDING)),
+paths AS (
+    SELECT conv_id, d, key::VARCHAR AS key, text FROM steps
+    UNION ALL SELECT conv_id, 0, '', '' FROM heads),
+lens AS (SELECT conv_id, max(d) AS n FROM paths GROUP BY conv_id),
+nodes AS (
+    SELECT d, key, min(conv_id) AS conv_id, count(*) AS n_convs,
+           sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = n), '')) AS ends_sha256,
+           (count(*) - 1) * len(regexp_extract_all(any_value(text), '[^\x20\x09-\x0D]+')) AS saved
+    FROM paths JOIN lens USING (conv_id) GROUP BY d, key),
+placed AS (
+    SELECT n.*, p.key AS parent_key, m.conv_id AS parent_conv_id
+    FROM nodes n LEFT JOIN paths p ON p.conv_id = n.conv_id AND p.d = n.d - 1
+    LEFT JOIN nodes m ON m.d = p.d AND m.key = p.key),
+kids AS (SELECT d - 1 AS d, parent_key AS key, count(*) AS n_children FROM placed WHERE d > 0 GROUP BY ALL),
+below AS (
+    SELECT p.d, p.key, sum(n.saved) AS saved_tokens, count(*) FILTER (k.key IS NULL) AS n_leaves
+    FROM nodes n LEFT JOIN kids k ON k.d = n.d AND k.key = n.key
+    JOIN paths p ON p.conv_id = n.conv_id AND p.d <= n.d GROUP BY p.d, p.key)
+SELECT n.conv_id, n.d::BIGINT AS depth, n.parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, b.n_leaves,
+       b.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM placed n JOIN below b USING (d, key) LEFT JOIN kids k USING (d, key)
+"""
+)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Node of every prefix of the rebuilt conversations."""
+    return conversations.prefix_nodes(table(spark, sf_dir, "conversations"))
