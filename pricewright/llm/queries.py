@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import fresh_path
-from . import chosen_path, conversations, elias_fano, embeddings, exact, language, mixing, packing, ppm, quality, urls
+from . import chosen_path, conversations, elias_fano, embeddings, exact, language, licenses, mixing, packing, ppm, quality, urls
 from .common import table
 from .tokens import tokenizer_path
 
@@ -208,3 +208,9 @@ FROM placed n JOIN below b USING (d, key) LEFT JOIN kids k USING (d, key)
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Node of every prefix of the rebuilt conversations."""
     return conversations.prefix_nodes(table(spark, sf_dir, "conversations"))
+
+
+@query()
+def op11_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences named in every whole text."""
+    return licenses.summary(licenses.detections(table(spark, sf_dir, "documents")))
