@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import fresh_path
-from . import chosen_path, conversations, elias_fano, embeddings, exact, language, licenses, mixing, packing, ppm, quality, urls
+from . import chosen_path, conversations, elias_fano, embeddings, exact, language, licenses, mixing, negatives, packing, ppm, quality, urls
 from .common import table
 from .tokens import tokenizer_path
 
@@ -214,3 +215,33 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences named in every whole text."""
     return licenses.summary(licenses.detections(table(spark, sf_dir, "documents")))
+
+
+@query(
+    """
+WITH vectors AS (
+    SELECT row_number() OVER () AS n, vec_id,
+           CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vec
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT a.vec_id AS anchor_id, a.label = o.label AS alike, o.vec_id, list_inner_product(a.vec, o.vec)::BIGINT AS score
+    FROM vectors a JOIN vectors o ON a.n <> o.n WHERE a.vec_id % 50 = 0),
+positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id,
+       row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank,
+       s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.alike
+  AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+QUALIFY rank <= 3
+"""
+)
+def op13_rtree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 50th vector, for each of its positives."""
+    vectors = negatives.whole_vectors(table(spark, sf_dir, "embeddings"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
