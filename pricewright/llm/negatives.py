@@ -190,8 +190,8 @@ def _dot(a: np.ndarray, b: np.ndarray, exact: bool) -> np.ndarray:
 class Tree:
     """The pages of a shard and the levels of boxes above them."""
 
-    def __init__(self, width: int):
-        self.width = width
+    def __init__(self, width: int, fanout: int = FANOUT):
+        self.width, self.fanout = width, fanout
         self.ids: list[np.ndarray] = []
         self.vectors: list[np.ndarray] = []
         self.boxes: list[tuple[np.ndarray, np.ndarray]] = []
@@ -206,8 +206,8 @@ class Tree:
         lo, hi = (np.array([b[i] for b in self.boxes], np.float64).reshape(-1, self.width) for i in (0, 1))
         self.peak = max(np.abs(lo).max(initial=0), np.abs(hi).max(initial=0))
         self.levels = [(lo, hi)]
-        while len(lo) > FANOUT:
-            at = np.arange(0, len(lo), FANOUT)
+        while len(lo) > self.fanout:
+            at = np.arange(0, len(lo), self.fanout)
             lo, hi = np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at)
             self.levels.append((lo, hi))
 
@@ -241,7 +241,7 @@ class Tree:
             if not wanted(low, -high):
                 continue
             if level:
-                push(level - 1, at * FANOUT, min((at + 1) * FANOUT, len(self.levels[level - 1][0])))
+                push(level - 1, at * self.fanout, min((at + 1) * self.fanout, len(self.levels[level - 1][0])))
                 continue
             scores, ids = _dot(self.vectors[at], q, exact), self.ids[at]
             for w, (a, b) in enumerate(zip(least, most)):
@@ -347,7 +347,7 @@ def answered(sent: DataFrame, tree: DataFrame, n: int, width: int, k: int, other
             out = []
             for shard, kind, ids, lo, hi, vecs, anchor, vec_id in zip(*[c.to_pylist() for c in batch.columns]):
                 if shard != at:
-                    at, own = shard, Tree(width)
+                    at, own = shard, Tree(width, FANOUT)
                 if kind == 0:
                     own.add(ids, lo, hi, vecs)
                     continue
