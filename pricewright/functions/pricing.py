@@ -80,7 +80,7 @@ def noisy_demand(raw: Column, z: Column, noise_std: Column) -> Column:
 
 def whole_units(demand: Column) -> Column:
     """Truncate towards zero."""
-    return demand.cast("int")
+    return demand.cast("bigint")
 
 
 def units_sold(demand: Column, inventory: Column) -> Column:

@@ -117,8 +117,40 @@ def elasticity_catalogue(transactions: DataFrame, params: FitParams = FitParams(
     return fitted_catalogue(fit_elasticity(daily, params))
 
 
-def product_series(daily: DataFrame) -> DataFrame:
-    """The fixed seven-column series per product, from a daily table."""
+def priced_series(daily: DataFrame, params: FitParams = FitParams()) -> DataFrame:
+    """The series of every fitted product with its catalogue figures on each day.
+
+    Same figures as ``elasticity_catalogue``, taken by windows over the daily table, so series and fit share one
+    exchange on the product, and the lines behind them are read once.
+    """
+    group = Window.partitionBy("StockCode")
+    usable = (F.col("avg_price") > 0) & (F.col("total_qty") > 0)
+    days = keep_dense_products(daily, params.min_days).withColumn("_usable", usable)
+    masked = days
+    for name, source in (("lp", "avg_price"), ("lq", "total_qty")):
+        masked = masked.withColumn(name, F.when(F.col("_usable"), F.ln(source)))
+    inside = F.lit(True)
+    for name in ("lp", "lq"):
+        spread = F.stddev_pop(name).over(group)
+        inside = inside & (F.abs(F.col(name) - F.avg(name).over(group)) < F.lit(params.sigma) * spread)
+        inside = inside & (F.min(name).over(group) < F.max(name).over(group))
+    masked = masked.withColumn("_inside", inside)
+    x, y = F.when(F.col("_inside"), F.col("lp")), F.when(F.col("_inside"), F.col("lq"))
+    flat = F.coalesce(F.regr_slope(y, x).over(group), F.lit(0.0))
+    n_points = F.count(F.when(F.col("_usable"), 1)).over(group)
+    fitted = masked.select(
+        "StockCode", "Date", "avg_price", "total_qty",
+        n_points.alias("_points"),
+        F.avg(F.when(F.col("_usable"), F.col("avg_price"))).over(group).alias("base_price"),
+        F.avg(F.when(F.col("_usable"), F.col("total_qty"))).over(group).alias("base_demand"),
+        F.when(n_points < params.min_points, F.lit(params.fallback)).otherwise(clip(flat, params.low, params.high)).alias("elasticity"),
+    ).filter("_points > 0")
+    figures = ("base_price", "elasticity", "base_demand", "price_min", "price_max")
+    return product_series(fitted_catalogue(fitted, "StockCode", "Date", "avg_price", "total_qty"), *figures)
+
+
+def product_series(daily: DataFrame, *keep: str) -> DataFrame:
+    """The fixed columns of a series per product, from a daily table, and the columns to keep beside them."""
     dow, doy = day_of_week(F.col("Date")), day_of_year(F.col("Date"))
     return daily.select(
         F.col("StockCode").alias("product_id"),
@@ -129,4 +161,5 @@ def product_series(daily: DataFrame) -> DataFrame:
         F.col("total_qty").alias("demand"),
         (F.col("avg_price") * F.col("total_qty")).alias("revenue"),
         simple_seasonal(doy).alias("seasonal"),
+        *keep,
     )

@@ -1,4 +1,4 @@
-"""Episodes of logged days: what really was charged and sold, cut into slices of equal length.
+"""Episodes of logged days: what really was charged and sold, cut into consecutive episodes of equal length.
 
 Nothing is generated here.  Price and demand are those of the daily series, stock comes from
 the ledger over the whole series, and the action is the price level nearest to the day's price.
@@ -14,66 +14,81 @@ from pyspark.sql.window import Window
 from ..functions import pricing as P
 from ..functions.numbers import half_up
 from ..params import EpisodeParams
-from .calendar import episode_slices
 from .ledger import stock_ledger
 from .windows import demand_trend
 
 EPISODE_KEYS = ["product_id", "policy", "episode"]
 FIGURES = ("base_price", "base_demand", "elasticity")
+BOUNDS = ("price_min", "price_max")
 BOOKED = ("price", "demand", "units_sold", "lost_units", "revenue", "raw_reward", "inventory_before", "inventory")
 
 
-def logged_steps(
-    catalogue: DataFrame, series: DataFrame, episodes: int, params: EpisodeParams = EpisodeParams()
-) -> DataFrame:
-    """One row per product, episode and day, with the product's figures.
+def logged_steps(catalogue: DataFrame, series: DataFrame, params: EpisodeParams = EpisodeParams()) -> DataFrame:
+    """``steps_of_days`` for a catalogue and a series that come as two tables."""
+    extra = [c for c in ("category",) if c in catalogue.columns]
+    products = catalogue.select("product_id", *FIGURES, *BOUNDS, *extra)
+    return steps_of_days(series.select("product_id", "date", "demand", "price").join(products, "product_id"), params)
+
+
+def steps_of_days(days: DataFrame, params: EpisodeParams = EpisodeParams()) -> DataFrame:
+    """One row per product and day, with the product's figures, numbered by episode and step.
 
-    ``policy`` tells how the episode was priced on its first day: ``below_list``, ``at_list`` or
-    ``above_list``, by the price level against that of the base price.  ``next_day_of_week`` and
-    ``next_day_of_year`` are those of the next logged day; ``oldest_price`` is the start of the
-    price history after the step.  All per-product steps share the exchange of the ledger; a
-    product has a row per calendar day at most.
+    The whole calendar of a product is cut into consecutive episodes; the last one may be shorter.  ``days`` has
+    the figures of the product beside each day.  ``policy`` tells how the episode was priced on its first day:
+    ``below_list``, ``at_list`` or ``above_list``, by the price level against that of the base price.
+    ``next_day_of_week`` and ``next_day_of_year`` are those of the next logged day, and of the last day itself at the end;
+    ``oldest_price`` is the start of the price history after the step.  All steps share the exchange of the
+    ledger on the product; a product has a row per calendar day at most.
     """
     p = params
-    extra = [c for c in ("category",) if c in catalogue.columns]
-    products = catalogue.select("product_id", *FIGURES, "price_min", "price_max", *extra)
-    booked = stock_ledger(series.select("product_id", "date", "demand", "price"), ["product_id"], "date", p)
-    day = F.struct("date", *BOOKED)
-    days = booked.groupBy("product_id").agg(F.array_sort(F.collect_list(day)).alias("calendar"))
-    slices = episode_slices(days.join(products, "product_id"), episodes, p)
-
+    extra = [c for c in ("category",) if c in days.columns]
+    figures = ["product_id", *FIGURES, *BOUNDS, *extra]
+    booked = stock_ledger(days.select(*figures, "date", "demand", "price"), figures, "date", p)
+    product = Window.partitionBy("product_id")
+    row, length = F.col("_row"), F.lit(p.episode_len)
     grid = P.price_grid(F.col("price_min"), F.col("price_max"), p.price_levels)
-    begun, listed = P.nearest_level(grid, F.col("days")[0]["price"]), P.nearest_level(grid, F.col("base_price"))
-    policy = F.when(begun < listed, "below_list").when(begun > listed, "above_list").otherwise("at_list")
-    dates = F.transform(F.slice("days", 2, p.episode_len), lambda d: d["date"])
-    zipped = F.arrays_zip(F.slice("days", 1, p.episode_len).alias("day"), dates.alias("next_date"))
-    rows = slices.withColumn("policy", policy).select(
-        *EPISODE_KEYS, "start", "n_rows", *FIGURES, "price_min", "price_max", *extra, F.posexplode_outer(zipped).alias("step", "_row")
+    rows = (
+        booked.withColumnRenamed("step", "_row")
+        .withColumn("n_rows", F.count("*").over(product).cast("int"))
+        .withColumn("_next", F.coalesce(F.lead("date").over(product.orderBy("_row")), F.col("date")))
+        .withColumn("episode", F.floor(row / length).cast("int"))
+        .withColumn("start", F.col("episode") * length)
+        .withColumn("step", (row - F.col("start")).cast("int"))
+        .withColumn("action", P.nearest_level(grid, F.col("price")))
     )
-    rows = rows.select("*", "_row.day.*", F.col("_row.next_date").alias("_next")).drop("_row", "date")
+    begun = F.first("action").over(Window.partitionBy("product_id", "episode").orderBy("step"))
+    listed = P.nearest_level(grid, F.col("base_price"))
+    policy = F.when(begun < listed, "below_list").when(begun > listed, "above_list").otherwise("at_list")
+    rows = rows.withColumn("policy", policy)
     rows = demand_trend(rows, EPISODE_KEYS, "step", "units_sold", p.demand_history).withColumnRenamed("demand_trend", "trend")
     ordered = Window.partitionBy(*EPISODE_KEYS).orderBy("step")
     unmoved = P.demand_trend(F.col("base_demand"), F.col("base_demand"))
     scale = P.reward_scale(F.col("base_demand"), F.col("base_price")) if p.normalize_reward else F.lit(1.0)
-    return (
-        rows.withColumn("action", P.nearest_level(grid, F.col("price")))
-        .withColumn("reward", F.col("raw_reward") / scale)
+    rows = (
+        rows.withColumn("reward", F.col("raw_reward") / scale)
         .withColumn("trend_before", F.coalesce(F.lag("trend").over(ordered), unmoved))
         .withColumn("oldest_price", F.coalesce(F.lag("price", p.price_history - 1).over(ordered), F.col("base_price")))
         .withColumn("next_day_of_week", P.day_of_week(F.col("_next")))
         .withColumn("next_day_of_year", P.day_of_year(F.col("_next")))
-        .drop("_next", "price_min", "price_max")
     )
+    return rows.select(
+        *EPISODE_KEYS, "start", "n_rows", "step", *FIGURES, *extra, *BOOKED, "trend", "action", "reward",
+        "trend_before", "oldest_price", "next_day_of_week", "next_day_of_year",
+    )
+
+
+def _in_first_half():
+    return 2 * (F.col("start") + F.col("step") + 1) <= F.col("n_rows")
 
 
-def earlier(steps: DataFrame, params: EpisodeParams = EpisodeParams()) -> DataFrame:
-    """Episodes that end in the first half of their product's days: to learn from."""
-    return steps.filter(2 * (F.col("start") + params.episode_len) <= F.col("n_rows"))
+def earlier(steps: DataFrame) -> DataFrame:
+    """The first half of each product's days: to learn from."""
+    return steps.filter(_in_first_half())
 
 
 def later(steps: DataFrame) -> DataFrame:
-    """Episodes that begin in the second half: to evaluate on; no day of theirs is in an earlier one."""
-    return steps.filter(2 * F.col("start") >= F.col("n_rows"))
+    """The other days, one at least of every product: to evaluate on."""
+    return steps.filter(~_in_first_half())
 
 
 def rounded_step_log(steps: DataFrame) -> DataFrame:

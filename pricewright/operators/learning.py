@@ -38,7 +38,8 @@ def n_states(learn: LearnParams = LearnParams()) -> int:
 
 
 def transitions(steps: DataFrame, params: EpisodeParams = EpisodeParams(), learn: LearnParams = LearnParams()) -> DataFrame:
-    """State, action, reward, next state and end flag of each logged step."""
+    """State, action, reward, next state and end flag of each logged step; the last day of a calendar ends its episode."""
+    ends = (F.col("step") == params.episode_len - 1) | (F.col("start") + F.col("step") == F.col("n_rows") - 1)
     return steps.select(
         *EPISODE_KEYS,
         "step",
@@ -46,7 +47,7 @@ def transitions(steps: DataFrame, params: EpisodeParams = EpisodeParams(), learn
         "action",
         "reward",
         state_bucket(F.col("trend"), F.col("inventory"), params.max_inventory, learn).alias("next_state"),
-        (F.col("step") == params.episode_len - 1).alias("done"),
+        ends.alias("done"),
     )
 
 

@@ -9,8 +9,8 @@ from ..functions import pricing as P
 from ..params import EpisodeParams
 
 LEDGER_TYPE = (
-    "struct<step:int,demand:double,price:double,units_sold:int,lost_units:int,revenue:double,"
-    "raw_reward:double,inventory_before:int,inventory:int>"
+    "struct<step:int,demand:double,price:double,units_sold:bigint,lost_units:bigint,revenue:double,"
+    "raw_reward:double,inventory_before:bigint,inventory:bigint>"
 )
 
 
@@ -48,7 +48,7 @@ def stock_ledger(
     segments = gathered.withColumn(
         "_segments", F.transform(firsts, lambda i: F.slice("_days", i * segment + 1, F.lit(segment)))
     ).drop("_days")
-    start = F.struct(F.lit(opening).alias("stock"), F.array().cast("array<int>").alias("openings"))
+    start = F.struct(F.lit(opening).cast("bigint").alias("stock"), F.array().cast("array<bigint>").alias("openings"))
     opened = segments.withColumn(
         "_openings", F.aggregate("_segments", start, pass_segment, lambda state: state["openings"])
     )

@@ -12,7 +12,7 @@ from ..sources import driver_tables as D
 
 # Small enough for stock-outs to happen on the test tables.
 TIGHT = EpisodeParams(max_inventory=40, restock=20)
-EPISODES = 5
+EPISODES = 5  # random starts a product, of the queries that plan or draw episodes
 
 
 def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
@@ -45,5 +45,10 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demand.product_series(daily(spark, sf_dir))
 
 
+def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series with the catalogue's figures on each day, from one scan of the lines."""
+    return D.described_catalogue(demand.priced_series(daily(spark, sf_dir)), spark, sf_dir)
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "lineitem")

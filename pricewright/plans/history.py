@@ -15,16 +15,15 @@ from .sql import clip, rnd
 cte(
     "priced_days",
     """
-    SELECT s.product_id, s.date, s.price, CAST(trunc(s.demand) AS INTEGER) AS units_sold, s.revenue,
+    SELECT s.product_id, s.date, s.price, CAST(trunc(s.demand) AS BIGINT) AS units_sold, s.revenue,
            d.base_price, d.base_demand
     FROM series s JOIN described d ON s.product_id = d.product_id""",
 )
 
 
 def _priced_days(spark, sf_dir):
-    rows = B.series(spark, sf_dir).join(B.catalogue(spark, sf_dir), "product_id")
-    return rows.select(
-        "product_id", "date", "price", F.col("demand").cast("int").alias("units_sold"), "revenue", "base_price", "base_demand"
+    return B.priced(spark, sf_dir).select(
+        "product_id", "date", "price", F.col("demand").cast("bigint").alias("units_sold"), "revenue", "base_price", "base_demand"
     )
 
 

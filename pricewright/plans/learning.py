@@ -30,7 +30,8 @@ cte(
     "moves",
     f"""
     SELECT product_id, policy, episode, step, {_bucket('trend_before', 'inventory_before')} AS state, action, reward,
-           {_bucket('trend', 'inventory')} AS next_state, step = 29 AS done, start, n_rows
+           {_bucket('trend', 'inventory')} AS next_state,
+           step = 29 OR start + step = n_rows - 1 AS done, start, n_rows
     FROM run""",
 )
 
@@ -219,8 +220,8 @@ cte(
        QUALIFY row_number() OVER (PARTITION BY product_id, state ORDER BY q DESC, action) = 1""",
 )
 # Learning and evaluation by halves of each product's days, so no day is in both.
-cte("early_moves", "SELECT * FROM moves WHERE 2 * (start + 30) <= n_rows")
-cte("late_moves", "SELECT * FROM moves WHERE 2 * start >= n_rows")
+cte("early_moves", "SELECT * FROM moves WHERE 2 * (start + step + 1) <= n_rows")
+cte("late_moves", "SELECT * FROM moves WHERE 2 * (start + step + 1) > n_rows")
 cte(
     "early_q1",
     f"SELECT product_id, state, action, avg({_target('0e0')}) AS q FROM early_moves GROUP BY product_id, state, action",
@@ -239,7 +240,7 @@ cte(
 
 def _halves(spark, sf_dir):
     steps = write_once(steps_of(spark, sf_dir), "steps")
-    return [write_once(L.transitions(part, P), "transitions") for part in (episodes_.earlier(steps, P), episodes_.later(steps))]
+    return [write_once(L.transitions(part, P), "transitions") for part in (episodes_.earlier(steps), episodes_.later(steps))]
 
 
 MATCHED = f"""count(*) AS n_steps, count(*) FILTER (WHERE m.action = coalesce(b.action, 5)) AS n_matched,

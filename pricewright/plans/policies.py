@@ -31,8 +31,8 @@ cte(
 def ledger_sql(most: int, restock: int) -> str:
     return f"""
     WITH RECURSIVE r AS (
-      SELECT product_id, CAST(-1 AS BIGINT) AS step, {most} AS inventory, CAST(NULL AS DATE) AS date, 0e0 AS demand,
-             0e0 AS price, 0 AS units_sold, 0 AS lost_units, {most} AS inventory_before
+      SELECT product_id, CAST(-1 AS BIGINT) AS step, {most}::BIGINT AS inventory, CAST(NULL AS DATE) AS date, 0e0 AS demand,
+             0e0 AS price, 0::BIGINT AS units_sold, 0::BIGINT AS lost_units, {most}::BIGINT AS inventory_before
       FROM indexed WHERE row_index = 0
       UNION ALL
       SELECT r.product_id, i.row_index,
@@ -54,12 +54,12 @@ cte(
     "run",
     f"""
     WITH days AS (
-      SELECT e.product_id, e.episode, e.start, e.n_rows, e.step, l.price, l.demand, l.units_sold, l.lost_units,
+      SELECT l.product_id, CAST(l.step // 30 AS INTEGER) AS episode, CAST(l.step // 30 * 30 AS INTEGER) AS start,
+             CAST(count(*) OVER (PARTITION BY l.product_id) AS INTEGER) AS n_rows, CAST(l.step % 30 AS INTEGER) AS step,
+             coalesce(lead(l.date) OVER (PARTITION BY l.product_id ORDER BY l.step), l.date) AS next_date, l.price, l.demand, l.units_sold, l.lost_units,
              l.revenue, l.raw_reward, l.inventory_before, l.inventory,
              d.base_price, d.base_demand, d.elasticity, {nearest('l.price')} AS action, {nearest('d.base_price')} AS listed
-      FROM (SELECT *, CAST(s AS INTEGER) AS step FROM episodes, range(30) x(s)) e
-           JOIN stock l ON l.product_id = e.product_id AND l.step = least(e.start + e.step, e.n_rows - 1)
-           JOIN described d ON d.product_id = e.product_id),
+      FROM stock l JOIN described d ON d.product_id = l.product_id),
     moved AS (
       SELECT *, {_TREND} AS trend, raw_reward / greatest(1e0, base_demand * base_price) AS reward,
              CASE WHEN begun < listed THEN 'below_list' WHEN begun > listed THEN 'above_list' ELSE 'at_list' END AS policy
@@ -85,8 +85,8 @@ cte(
 )
 
 
-def steps_of(spark, sf_dir, episodes: int = B.EPISODES):
-    return episodes_.logged_steps(B.catalogue(spark, sf_dir), B.series(spark, sf_dir), episodes, P)
+def steps_of(spark, sf_dir):
+    return episodes_.steps_of_days(B.priced(spark, sf_dir), P)
 
 
 def totals_of(spark, sf_dir):
@@ -159,9 +159,7 @@ def logged_episode_steps(spark, sf_dir):
         FROM run WHERE product_id = '7'""",
 )
 def step_log_of_one_product(spark, sf_dir):
-    products = C.find_product(B.catalogue(spark, sf_dir), 7)
-    days = C.find_product(B.series(spark, sf_dir), 7)
-    return episodes_.rounded_step_log(episodes_.logged_steps(products, days, B.EPISODES, P))
+    return episodes_.rounded_step_log(episodes_.steps_of_days(C.find_product(B.priced(spark, sf_dir), 7), P))
 
 
 @query(
@@ -187,16 +185,15 @@ FEATURE_SQL = f"""
     SELECT r.product_id, policy, r.episode, r.step,
            {rnd(clip('(r.price / r.base_price - 1e0) / 0.5e0', '-2e0', '2e0'))} AS price_ratio,
            {rnd(f'r.inventory / {P.max_inventory}e0 * 2e0 - 1e0')} AS inventory_ratio,
-           {rnd(f'sin({TWO_PI} * c.day_of_week / 7)')} AS dow_sin, {rnd(f'cos({TWO_PI} * c.day_of_week / 7)')} AS dow_cos,
-           {rnd(f'sin({TWO_PI} * c.day_of_year / 365)')} AS season_signal, {rnd('trend')} AS demand_trend,
+           {rnd(f'sin({TWO_PI} * (isodow(next_date) - 1) / 7)')} AS dow_sin, {rnd(f'cos({TWO_PI} * (isodow(next_date) - 1) / 7)')} AS dow_cos,
+           {rnd(f'sin({TWO_PI} * dayofyear(next_date) / 365)')} AS season_signal, {rnd('trend')} AS demand_trend,
            {rnd(clip('''(r.price - coalesce(lag(r.price, 2) OVER (PARTITION BY r.product_id, policy, r.episode
                          ORDER BY r.step), r.base_price)) / (r.base_price + 1e-8)''', '-1e0', '1e0'))} AS price_momentum,
            {rnd(clip('r.elasticity / 3e0', '-2e0', '2e0'))} AS elasticity_signal,
            {rnd(f'1e0 - r.inventory / {P.max_inventory}e0')} AS stockout_risk,
            CASE category WHEN 'Subscription Box' THEN -0.5e0 WHEN 'Home & Garden Service' THEN 0e0
                          WHEN 'Digital' THEN 0.5e0 WHEN 'Perishable' THEN 1e0 ELSE -1e0 END AS category_signal
-    FROM run r JOIN described d ON d.product_id = r.product_id
-         JOIN episode_days c ON c.product_id = r.product_id AND c.episode = r.episode AND c.step = r.step + 1"""
+    FROM run r JOIN described d ON d.product_id = r.product_id"""
 
 
 @query("R5", FEATURE_SQL)
@@ -295,9 +292,7 @@ def learning_log(spark, sf_dir):
         FROM evaluation WHERE product_id = '7'""",
 )
 def benchmark_of_one_product(spark, sf_dir):
-    products = C.find_product(B.catalogue(spark, sf_dir), 7)
-    days = C.find_product(B.series(spark, sf_dir), 7)
-    totals = E.episode_totals(episodes_.logged_steps(products, days, B.EPISODES, P))
+    totals = E.episode_totals(episodes_.steps_of_days(C.find_product(B.priced(spark, sf_dir), 7), P))
     return E.benchmark_report(E.evaluate_policies(totals))
 
 
@@ -312,8 +307,8 @@ def policy_leaderboard(spark, sf_dir):
     return B.rounded(E.full_benchmark(steps_of(spark, sf_dir)))
 
 
-@query("U2", f"SELECT {EVALUATION} FROM evaluation WHERE policy IN ('below_list', 'above_list')")
+@query("U2", f"SELECT {EVALUATION} FROM evaluation")
 def united_policy_results(spark, sf_dir):
     evaluation = E.evaluate_policies(totals_of(spark, sf_dir))
-    parts = [evaluation.filter(F.col("policy") == name) for name in ("below_list", "above_list")]
-    return B.rounded(parts[0].unionByName(parts[1]), mean_revenue=3, avg_price=4)
+    parts = [evaluation.filter(F.col("policy") == name) for name in ("below_list", "at_list", "above_list")]
+    return B.rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), mean_revenue=3, avg_price=4)

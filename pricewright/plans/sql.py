@@ -31,7 +31,7 @@ def unit(k: str, episode: str, step: str, seed: int = 0) -> str:
 
 
 def whole(x: str) -> str:
-    return f"CAST(trunc({x}) AS INTEGER)"
+    return f"CAST(trunc({x}) AS BIGINT)"
 
 
 def code_order(code: str) -> str:

@@ -13,8 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..params import EpisodeParams
 
 LEDGER_SCHEMA = (
-    "StockCode string, Date date, demand double, price double, units_sold int, lost_units int, "
-    "revenue double, raw_reward double, inventory_before int, inventory int"
+    "StockCode string, Date date, demand double, price double, units_sold bigint, lost_units bigint, "
+    "revenue double, raw_reward double, inventory_before bigint, inventory bigint"
 )
 
 
@@ -92,7 +92,7 @@ def stock_ledger_stream(daily: DataFrame, params: EpisodeParams = EpisodeParams(
     return daily.groupBy("StockCode").applyInPandasWithState(
         book,
         outputStructType=LEDGER_SCHEMA,
-        stateStructType="inventory int, last date",
+        stateStructType="inventory bigint, last date",
         outputMode="append",
         timeoutConf=GroupStateTimeout.NoTimeout,
     )

@@ -9,7 +9,7 @@ from pricewright.operators import episodes, evaluate
 from pricewright.params import EpisodeParams
 
 PARAMS = EpisodeParams(episode_len=10, max_inventory=40, restock=20)
-N_DAYS = 50
+N_DAYS = 47
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +18,7 @@ def steps(spark):
     catalogue = spark.createDataFrame([("7", 2.0, 1.0, 4.0, -1.0, 10.0)], figures)
     days = [("7", dt.date(2023, 1, 1) + dt.timedelta(days=d), 1.0 + 0.3 * (d % 11), float(5 + d)) for d in range(N_DAYS)]
     series = spark.createDataFrame(days, "product_id string, date date, price double, demand double")
-    return episodes.logged_steps(catalogue, series, 4, PARAMS).collect()
+    return episodes.logged_steps(catalogue, series, PARAMS).collect()
 
 
 def test_steps_are_the_logged_days(steps):
@@ -27,7 +27,8 @@ def test_steps_are_the_logged_days(steps):
         sold = min(5 + d, stock)
         booked.append((stock, sold, 5 + d - sold))
         stock = min(PARAMS.max_inventory, stock - sold + PARAMS.restock)
-    assert len(steps) == 4 * PARAMS.episode_len
+    assert sorted(r["start"] + r["step"] for r in steps) == list(range(N_DAYS))
+    assert max(r["step"] for r in steps if r["episode"] == 4) == 6
     for r in steps:
         d = r["start"] + r["step"]
         assert (r["inventory_before"], r["units_sold"], r["lost_units"]) == booked[d]
@@ -47,9 +48,38 @@ def test_histories_begin_with_the_base_figures(steps):
 
 def test_halves_share_no_day(spark, steps):
     rows = spark.createDataFrame(steps)
-    early, late = episodes.earlier(rows, PARAMS), episodes.later(rows)
+    early, late = episodes.earlier(rows), episodes.later(rows)
     days = [{r["start"] + r["step"] for r in half.select("start", "step").collect()} for half in (early, late)]
-    assert not days[0] & days[1]
+    assert days == [set(range(23)), set(range(23, N_DAYS))]
+    lone = rows.filter("start + step = 0").withColumn("n_rows", F.lit(1))
+    assert episodes.earlier(lone).count() == 0 and episodes.later(lone).count() == 1
+
+
+def test_all_logged_days_and_products_are_evaluated(spark):
+    from pricewright import plans
+    from pricewright.plans import base
+
+    sf_dir = "/root/testdata/sf0.01"
+    steps = plans.QUERIES["logged_episode_steps"](spark, sf_dir)
+    days = base.series(spark, sf_dir)
+    assert steps.select("product_id", F.col("start") + F.col("step")).distinct().count() == steps.count() == days.count()
+    judged = plans.QUERIES["learned_policy_evaluation"](spark, sf_dir).collect()
+    assert len(judged) == days.select("product_id").distinct().count()
+    assert len({r.product_id for r in plans.QUERIES["adaptation_curve"](spark, sf_dir).collect()}) == len(judged)
+
+
+def test_priced_series_has_the_figures_of_the_catalogue(spark):
+    from pricewright.operators import demand
+    from pricewright.plans import base
+
+    sf_dir = "/root/testdata/sf0.01"
+    lines = base.cleaned(spark, sf_dir)
+    priced = demand.priced_series(demand.daily_demand(lines))
+    wanted = demand.product_series(demand.daily_demand(lines)).join(demand.elasticity_catalogue(lines), "product_id")
+    columns = sorted(wanted.columns)
+    assert sorted(priced.columns) == columns
+    near = [F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in sorted(wanted.dtypes)]
+    assert priced.select(near).exceptAll(wanted.select(near)).count() == 0 and priced.count() == wanted.count()
 
 
 def test_matched_evaluation(spark):
