@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -87,13 +89,18 @@ def with_row_index(series: DataFrame) -> DataFrame:
     )
 
 
-def attach_calendar(steps: DataFrame, series: DataFrame, start: str = "start", offset: str = "offset") -> DataFrame:
-    """Calendar row of each step: row ``start + offset``, or the last one beyond the end."""
+def attach_calendar(
+    steps: DataFrame, series: DataFrame, start: str | Callable[[Column], Column] = "start", offset: str = "offset"
+) -> DataFrame:
+    """Calendar row of each step: row ``start + offset``, or the last one beyond the end.
+
+    ``start`` is a column, or makes one from the length of the product's calendar.  Lengths and rows come from one
+    numbered calendar, so they share its exchange.
+    """
     indexed = with_row_index(series)
-    lengths = series.groupBy("product_id").agg(F.count("*").cast("int").alias("n_rows"))
-    wanted = steps.join(lengths, "product_id").withColumn(
-        "row_index", F.least(F.col(start) + F.col(offset), F.col("n_rows") - 1)
-    )
+    lengths = indexed.filter("row_index = 0").select("product_id", "n_rows")
+    first = start(F.col("n_rows")) if callable(start) else F.col(start)
+    wanted = steps.join(lengths, "product_id").withColumn("row_index", F.least(first + F.col(offset), F.col("n_rows") - 1).cast("int"))
     return wanted.join(indexed.drop("n_rows"), ["product_id", "row_index"])
 
 

@@ -10,8 +10,11 @@ from ..operators import catalogue as C
 from ..operators import demand, policies
 from ..operators.positions import with_position
 from ..params import EpisodeParams
+from ..session import fresh_path, write_once
+from ..sources import dataset
 from ..sources import driver_tables as D
 from . import base as B
+from . import cleaning  # noqa: F401  its table expressions are named below
 from .registry import cte, query
 from .sql import TWO_PI, code_order, level_price, mixed_hash, rnd, unit
 
@@ -94,19 +97,17 @@ def catalogue_with_series(spark, sf_dir):
 @query(
     "J4",
     f"""SELECT o.o_orderkey, i.product_id, i.row_index, i.date, {rnd('i.seasonal')} AS seasonal
-        FROM (SELECT o_orderkey, CAST(o_custkey % 10 AS VARCHAR) AS product_id, o_orderkey % 600 AS start,
-                     o_custkey % 60 AS ofs FROM orders) o
-        JOIN indexed i ON i.product_id = o.product_id AND i.row_index = least(o.start + o.ofs, i.n_rows - 1)""",
+        FROM (SELECT l_orderkey AS o_orderkey, CAST(min(l_suppkey) AS VARCHAR) AS product_id FROM lineitem GROUP BY l_orderkey) l
+        JOIN (SELECT o_orderkey, o_custkey % 60 AS ofs FROM orders) o USING (o_orderkey)
+        JOIN indexed i ON i.product_id = l.product_id
+        AND i.row_index = least((o.o_orderkey * 31) % i.n_rows + o.ofs, i.n_rows - 1)""",
 )
 def steps_with_calendar_rows(spark, sf_dir):
-    orders = D.table(spark, sf_dir, "orders")
-    steps = orders.select(
-        "o_orderkey",
-        (F.col("o_custkey") % 10).cast("string").alias("product_id"),
-        (F.col("o_orderkey") % 600).cast("int").alias("start"),
-        (F.col("o_custkey") % 60).cast("int").alias("offset"),
-    )
-    found = K.attach_calendar(steps, B.series(spark, sf_dir))
+    """A step per order: the first product it holds, a start anywhere in that calendar, and an offset that may lead beyond its end."""
+    first = B.lines(spark, sf_dir).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_suppkey").cast("string").alias("product_id"))
+    orders = D.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 60).alias("offset"))
+    steps = orders.join(first, "o_orderkey")
+    found = K.attach_calendar(steps, B.series(spark, sf_dir), lambda n: F.col("o_orderkey") * 31 % n)
     return B.rounded(
         found.select("o_orderkey", "product_id", F.col("row_index").cast("bigint").alias("row_index"), "date", "seasonal")
     )
@@ -117,18 +118,14 @@ def steps_with_calendar_rows(spark, sf_dir):
     f"""SELECT l.l_orderkey, l.l_linenumber, i.product_id, i.row_index, i.date, {rnd('i.seasonal')} AS seasonal
         FROM lineitem l
         JOIN indexed i ON i.product_id = CAST(l.l_suppkey AS VARCHAR)
-        AND i.row_index = (l.l_orderkey * 31 + l.l_linenumber * 7) % i.n_rows""",
+        AND i.row_index = least((l.l_orderkey * 31) % i.n_rows + l.l_linenumber * 9, i.n_rows - 1)""",
 )
 def line_steps_with_calendar_rows(spark, sf_dir):
-    """Steps of all products, from all of their calendars: a line's supplier, and a position that runs over its rows."""
-    series = B.series(spark, sf_dir)
-    lengths = series.groupBy("product_id").agg(F.count("*").alias("length"))
-    lines = B.lines(spark, sf_dir).select(
-        "l_orderkey", "l_linenumber", F.col("l_suppkey").cast("string").alias("product_id")
+    """A step per line: its supplier's calendar from a start anywhere in it, and an offset that may lead beyond its end."""
+    steps = B.lines(spark, sf_dir).select(
+        "l_orderkey", "l_linenumber", F.col("l_suppkey").cast("string").alias("product_id"), (F.col("l_linenumber") * 9).alias("offset")
     )
-    position = F.col("l_orderkey") * 31 + F.col("l_linenumber") * 7
-    steps = lines.join(lengths, "product_id").withColumn("start", (position % F.col("length")).cast("int"))
-    found = K.attach_calendar(steps.withColumn("offset", F.lit(0)), series)
+    found = K.attach_calendar(steps, B.series(spark, sf_dir), lambda n: F.col("l_orderkey") * 31 % n)
     return B.rounded(
         found.select(
             "l_orderkey", "l_linenumber", "product_id", F.col("row_index").cast("bigint").alias("row_index"), "date", "seasonal"
@@ -182,11 +179,6 @@ cte(
 )
 
 
-def _with_start(spark, sf_dir):
-    starts = B.series(spark, sf_dir).groupBy("product_id").agg(F.min("date").alias("start_date"))
-    return B.catalogue(spark, sf_dir).join(starts, "product_id")
-
-
 @query(
     "R1",
     """SELECT product_id, CAST(t AS INTEGER) AS t, CAST(start_date + CAST(t AS INTEGER) AS DATE) AS date
@@ -221,8 +213,11 @@ SEASONAL = (
                     LEFT JOIN series s ON s.product_id = x.product_id AND s.date = x.date))""",
 )
 def expected_series(spark, sf_dir):
-    products = D.season_parameters(_with_start(spark, sf_dir))
-    rows = K.expected_series(products, "start_date", 1095, prices=B.series(spark, sf_dir))
+    days = write_once(demand.priced_series(B.daily(spark, sf_dir)), "priced-days")
+    figures = ["product_id", "base_price", "base_demand", "elasticity"]
+    starts = days.groupBy(*figures).agg(F.min("date").alias("start_date"))
+    products = D.season_parameters(D.described_catalogue(starts, spark, sf_dir))
+    rows = K.expected_series(products, "start_date", 1095, prices=days)
     return B.rounded(rows, revenue=4)
 
 
@@ -268,43 +263,36 @@ def episode_calendar_slices(spark, sf_dir):
     return B.rounded(K.episode_days(B.series(spark, sf_dir), B.EPISODES, EpisodeParams()))
 
 
-cte(
-    "top_fitted",
-    f"""
-    SELECT * FROM fitted_supplier WHERE product_id IN (
-        SELECT "StockCode" FROM clean_supplier GROUP BY "StockCode"
-        ORDER BY count("Quantity") DESC, {code_order('"StockCode"')} LIMIT 20)""",
-)
-
-
 @query(
     "R14",
-    f"""SELECT t.position, coalesce(f.product_id, t.product_id) AS product_id, t.name,
-        coalesce(f.base_price, t.base_price) AS base_price, {rnd('coalesce(f.elasticity, t.elasticity)')} AS elasticity,
-        coalesce(f.base_demand, t.base_demand) AS base_demand, s.n_days, {rnd('s.total_demand')} AS total_demand
-        FROM (SELECT *, row_number() OVER (ORDER BY template_no) AS position FROM templates) t
-        LEFT JOIN (SELECT *, row_number() OVER (ORDER BY {code_order('product_id')}) AS position FROM top_fitted) f
-        ON t.position = f.position
-        LEFT JOIN (SELECT product_id, count(*) AS n_days, sum(demand) AS total_demand FROM series GROUP BY product_id) s
-        ON s.product_id = coalesce(f.product_id, t.product_id)""",
+    f"""WITH merged AS (
+          SELECT t.*, t.product_id AS own_id, f.product_id AS code, f.base_price AS f_price, f.elasticity AS f_elasticity,
+                 f.base_demand AS f_demand
+          FROM (SELECT *, row_number() OVER (ORDER BY template_no) AS position FROM templates) t
+          LEFT JOIN (SELECT *, row_number() OVER (ORDER BY {code_order('product_id')}) AS position FROM fitted_raw) f
+          ON t.position = f.position),
+        logged AS (SELECT "StockCode" AS code, count(*) AS n_days, sum(total_qty) AS total_demand FROM dense_raw GROUP BY ALL),
+        seasons AS (
+          SELECT position, base_demand, 0.05e0 + (k % 16) / 100e0 AS weekly_amp, 0.1e0 + (k % 31) / 100e0 AS annual_amp,
+                 300e0 + k % 61 AS annual_peak, ((k % 6) - 2) / 10000e0 AS trend_rate
+          FROM (SELECT *, template_no AS k FROM merged WHERE code IS NULL)),
+        expected AS (SELECT position, count(*) AS n_days, sum(base_demand * {SEASONAL}) AS total_demand
+                     FROM seasons, range(1095) r(t) GROUP BY position)
+        SELECT m.position, coalesce(m.code, own_id) AS product_id, name, coalesce(f_price, base_price) AS base_price,
+               {rnd('coalesce(f_elasticity, elasticity)')} AS elasticity, coalesce(f_demand, base_demand) AS base_demand,
+               coalesce(l.n_days, e.n_days) AS n_days, {rnd('coalesce(l.total_demand, e.total_demand)', 4)} AS total_demand
+        FROM merged m LEFT JOIN logged l ON l.code = m.code LEFT JOIN expected e ON e.position = m.position""",
 )
 def dataset_build(spark, sf_dir):
-    from ..operators.clean import clean_transactions
-
-    rows = clean_transactions(D.transactions(spark, sf_dir))
-    fitted = demand.elasticity_catalogue(rows)
-    products = C.overlay_fitted(D.templates(spark, sf_dir), fitted, order=[F.col("template_no").asc()])
-    totals = B.series(spark, sf_dir).groupBy("product_id").agg(
-        F.count("*").alias("n_days"), F.sum("demand").alias("total_demand")
-    )
-    out = products.join(totals, "product_id", "left")
-    return B.rounded(
-        out.select(
-            "position", "product_id", "name", "base_price", "elasticity", "base_demand", "n_days", "total_demand"
-        ),
-        base_price=None,
-        base_demand=None,
-    )
+    """From text files to the dataset that is read back: every product has its series."""
+    path = fresh_path(spark, "dataset-build")
+    D.raw_transactions(spark, sf_dir).write.option("header", True).csv(f"{path}/lines")
+    templates = D.season_parameters(D.templates(spark, sf_dir), "template_no")
+    products, series = dataset.dataset_from_csv(spark, f"{path}/lines", templates, [F.col("template_no").asc()], f"{path}/dataset")
+    totals = series.groupBy("product_id").agg(F.count("*").alias("n_days"), F.sum("demand").alias("total_demand"))
+    out = products.join(totals, "product_id")
+    figures = ["position", "product_id", "name", "base_price", "elasticity", "base_demand", "n_days", "total_demand"]
+    return B.rounded(out.select(figures), base_price=None, base_demand=None, total_demand=4)
 
 
 @query(

@@ -10,7 +10,7 @@ from ..params import CleanParams
 from ..sources import driver_tables as D
 from . import base as B
 from .registry import cte, query
-from .sql import code_order, rnd
+from .sql import code_order, fit_ctes, rnd
 
 cte(
     "raw_lines",
@@ -47,6 +47,9 @@ cte(
     SELECT "StockCode", count("Quantity") AS n_lines FROM raw_clean GROUP BY "StockCode"
     ORDER BY n_lines DESC, {code_order('"StockCode"')} LIMIT 20""",
 )
+# The lines of the most frequent products among those, fitted.
+cte("clean_raw", 'SELECT * FROM raw_clean WHERE "StockCode" IN (SELECT "StockCode" FROM top_raw)')
+fit_ctes("raw")
 RAW_COLUMNS = f'"Invoice", "StockCode", {rnd(chr(34) + "Quantity" + chr(34))} AS "Quantity", ' + (
     f'{rnd(chr(34) + "Price" + chr(34))} AS "Price"'
 )
@@ -129,6 +132,23 @@ def clean_table_report(spark, sf_dir):
     return clean.clean_report(clean.clean_transactions(D.raw_transactions(spark, sf_dir)))
 
 
+@query(
+    "F8",
+    """SELECT count(*) FILTER (why = 'cancelled') AS cancelled, count(*) FILTER (why = 'no_number') AS no_number,
+       count(*) FILTER (why = 'not_positive') AS not_positive, count(*) FILTER (why = 'no_code') AS no_code,
+       count(*) FILTER (why = 'no_time') AS no_time, count(*) FILTER (why = 'kept') AS kept
+       FROM (SELECT CASE WHEN starts_with("Invoice", 'C') THEN 'cancelled'
+                         WHEN "Quantity" IS NULL OR "Price" IS NULL THEN 'no_number'
+                         WHEN NOT ("Quantity" > 0 AND "Price" > 0) OR isnan("Quantity") OR isnan("Price") THEN 'not_positive'
+                         WHEN "StockCode" IS NULL THEN 'no_code'
+                         WHEN TRY_CAST("InvoiceDate" AS TIMESTAMP) IS NULL THEN 'no_time' ELSE 'kept' END AS why
+             FROM raw_coerced)""",
+)
+def rejected_rows(spark, sf_dir):
+    """How many lines each rule drops, and how many stay."""
+    return clean.rejected_rows(D.raw_transactions(spark, sf_dir))
+
+
 @query(
     "T1",
     f"""SELECT "StockCode", count("Quantity") AS n_lines FROM clean_part GROUP BY "StockCode"

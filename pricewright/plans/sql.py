@@ -60,46 +60,31 @@ def optimal_price(base: str = "base_price", elasticity: str = "elasticity") -> s
 TWO_PI = "(2 * pi())"
 
 
-for _grain, _key in (("supplier", "l_suppkey"), ("part", "l_partkey")):
-    cte(
-        f"lines_{_grain}",
-        f"""
-        SELECT CASE WHEN l_returnflag = 'R' THEN 'C' ELSE '' END || CAST(l_orderkey AS VARCHAR) AS "Invoice",
-               CAST({_key} AS VARCHAR) AS "StockCode", l_quantity AS "Quantity",
-               l_extendedprice / l_quantity AS "Price", l_shipdate AS "InvoiceDate"
-        FROM lineitem""",
-    )
+def fit_ctes(grain: str) -> None:
+    """Daily table, fit and fitted catalogue of the cleaned lines named ``clean_<grain>``."""
     cte(
-        f"clean_{_grain}",
-        f"""
-        SELECT *, CAST("InvoiceDate" AS DATE) AS "Date" FROM lines_{_grain}
-        WHERE NOT starts_with("Invoice", 'C') AND "Quantity" > 0 AND "Price" > 0
-          AND NOT isnan("Quantity") AND NOT isnan("Price")
-          AND "StockCode" IS NOT NULL AND "InvoiceDate" IS NOT NULL""",
-    )
-    cte(
-        f"daily_{_grain}",
+        f"daily_{grain}",
         f"""
         SELECT "StockCode", "Date", avg("Price") AS avg_price, sum("Quantity") AS total_qty
-        FROM clean_{_grain} GROUP BY "StockCode", "Date" """,
+        FROM clean_{grain} GROUP BY "StockCode", "Date" """,
     )
     cte(
-        f"dense_{_grain}",
+        f"dense_{grain}",
         f"""
-        SELECT * FROM daily_{_grain} QUALIFY count(*) OVER (PARTITION BY "StockCode") >= 30""",
+        SELECT * FROM daily_{grain} QUALIFY count(*) OVER (PARTITION BY "StockCode") >= 30""",
     )
     cte(
-        f"points_{_grain}",
+        f"points_{grain}",
         f"""
         SELECT *, abs(lp - avg(lp) OVER w) < 3 * stddev_pop(lp) OVER w
               AND abs(lq - avg(lq) OVER w) < 3 * stddev_pop(lq) OVER w
               AND min(lp) OVER w < max(lp) OVER w AND min(lq) OVER w < max(lq) OVER w AS inside
-        FROM (SELECT *, ln(avg_price) AS lp, ln(total_qty) AS lq FROM dense_{_grain}
+        FROM (SELECT *, ln(avg_price) AS lp, ln(total_qty) AS lq FROM dense_{grain}
               WHERE avg_price > 0 AND total_qty > 0)
         WINDOW w AS (PARTITION BY "StockCode")""",
     )
     cte(
-        f"fits_{_grain}",
+        f"fits_{grain}",
         f"""
         SELECT "StockCode", base_price, base_demand, n_points, flat,
                CASE WHEN n_points < 10 THEN -1.5e0 ELSE greatest(-5e0, least(-0.1e0, flat)) END AS elasticity
@@ -107,16 +92,36 @@ for _grain, _key in (("supplier", "l_suppkey"), ("part", "l_partkey")):
                      count(*) AS n_points,
                      CASE WHEN isnan(regr_slope(lq, lp) FILTER (WHERE inside)) THEN 0e0
                           ELSE coalesce(regr_slope(lq, lp) FILTER (WHERE inside), 0e0) END AS flat
-              FROM points_{_grain} GROUP BY "StockCode")""",
+              FROM points_{grain} GROUP BY "StockCode")""",
     )
     cte(
-        f"fitted_{_grain}",
+        f"fitted_{grain}",
         f"""
         SELECT "StockCode" AS product_id, {rnd('base_price', 2)} AS base_price,
                {rnd('elasticity', 3)} AS elasticity, {rnd('base_demand', 1)} AS base_demand,
                {rnd('base_price * 0.5e0', 2)} AS price_min, {rnd('base_price * 2e0', 2)} AS price_max
-        FROM fits_{_grain}""",
+        FROM fits_{grain}""",
+    )
+
+
+for _grain, _key in (("supplier", "l_suppkey"), ("part", "l_partkey")):
+    cte(
+        f"lines_{_grain}",
+        f"""
+        SELECT CASE WHEN l_returnflag = 'R' THEN 'C' ELSE '' END || CAST(l_orderkey AS VARCHAR) AS "Invoice",
+               CAST({_key} AS VARCHAR) AS "StockCode", l_quantity AS "Quantity",
+               l_extendedprice / l_quantity AS "Price", l_shipdate AS "InvoiceDate"
+        FROM lineitem""",
+    )
+    cte(
+        f"clean_{_grain}",
+        f"""
+        SELECT *, CAST("InvoiceDate" AS DATE) AS "Date" FROM lines_{_grain}
+        WHERE NOT starts_with("Invoice", 'C') AND "Quantity" > 0 AND "Price" > 0
+          AND NOT isnan("Quantity") AND NOT isnan("Price")
+          AND "StockCode" IS NOT NULL AND "InvoiceDate" IS NOT NULL""",
     )
+    fit_ctes(_grain)
 
 cte(
     "described",

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.pricing import iso_date
 from ..operators import clean
 from ..operators import evaluate as E
 from ..session import fresh_path
@@ -27,10 +25,15 @@ SERIES = f"""product_id, date, day_of_week, day_of_year, {rnd('price')} AS price
         FROM raw_clean""",
 )
 def transactions_from_csv(spark, sf_dir):
+    """Files of two shops: other names, another order of the columns."""
     path = fresh_path(spark, "csv")
+    raw = D.raw_transactions(spark, sf_dir)
+    first = F.pmod(F.xxhash64(*raw.columns), F.lit(2)) == 0
     untidy = ["InvoiceNo", " Stock Code", "Quantity ", "Unit Price", "InvoiceDate"]
-    D.raw_transactions(spark, sf_dir).toDF(*untidy).write.option("header", True).csv(path)
-    rows = clean.clean_rows(transactions.read_csv(spark, path))
+    raw.filter(first).toDF(*untidy).write.option("header", True).csv(f"{path}/one")
+    other = raw.filter(~first).select("Price", "InvoiceDate", "StockCode", "Invoice", "Quantity")
+    other.write.option("header", True).csv(f"{path}/other")
+    rows = clean.clean_rows(transactions.read_csv(spark, [f"{path}/one", f"{path}/other"]))
     return B.rounded(rows.select("Invoice", "StockCode", "Quantity", "Price", "Date"))
 
 
@@ -52,14 +55,12 @@ def first_readable_source(spark, sf_dir):
         FROM series s JOIN described d ON s.product_id = d.product_id""",
 )
 def catalogue_and_series_files(spark, sf_dir):
+    """A catalogue file beside one series per product, each found by its file name."""
     path = fresh_path(spark, "files")
     B.catalogue(spark, sf_dir).withColumnRenamed("product_id", "id").write.json(f"{path}/catalogue")
-    days = B.series(spark, sf_dir).withColumn("date", iso_date(F.col("date")))
-    days.write.option("header", True).csv(f"{path}/series")
+    S.write_series_csv(B.series(spark, sf_dir), f"{path}/series")
     products = S.read_catalogue(spark, f"{path}/catalogue", multi_line=False)
-    schema = StructType([StructField("product_id", StringType()), *S.SERIES_SCHEMA.fields])
-    series = spark.read.schema(schema).option("header", True).csv(f"{path}/series")
-    joined = S.attach_series(products, series)
+    joined = S.attach_series(products, S.read_series_csv(spark, f"{path}/series"))
     return B.rounded(
         joined.select("product_id", *S.SERIES_SCHEMA.names, "name", "base_price"), revenue=4, base_price=None
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import warnings
 from collections.abc import Callable
 
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import versions
+
 CATALOGUE_SCHEMA = T.StructType(
     [
         T.StructField("id", T.StringType()),
@@ -22,6 +25,7 @@ CATALOGUE_SCHEMA = T.StructType(
         T.StructField("noise_std", T.DoubleType()),
         T.StructField("timeseries_file", T.StringType()),
         T.StructField("is_custom", T.BooleanType()),
+        T.StructField("position", T.LongType()),
     ]
 )
 
@@ -43,7 +47,7 @@ DEFAULT_CATEGORY = "physical_good"
 CATALOGUE_DIR = "products_metadata.json"
 SERIES_DIR = "series"
 SERIES_SUFFIX = "_timeseries.csv"
-LAYOUT_DIR = "layout.json"
+_FILE = "file"
 # A hash folder holds about this many rows.
 ROWS_PER_BUCKET = 1_000_000
 
@@ -66,16 +70,34 @@ def read_catalogue(spark: SparkSession, path: str, multi_line: bool = True) -> D
 
 
 def read_series_csv(spark: SparkSession, directory: str) -> DataFrame:
-    """All ``<id>_timeseries.csv`` files of a folder in one scan, the id taken from the file name."""
+    """All ``<id>_timeseries.csv`` of a folder in one scan, the id taken from that name.
+
+    Each may be a file, or the folder that ``write_series_csv`` makes of a product.
+    """
     raw = (
         spark.read.schema(SERIES_SCHEMA)
         .option("header", True)
-        .option("pathGlobFilter", f"*{SERIES_SUFFIX}")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.csv")
         .csv(directory)
     )
-    # The name comes percent-encoded; a plus in it is a plus, not a blank.
-    name = F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))
-    return raw.select(F.replace(F.url_decode(name), F.lit(SERIES_SUFFIX), F.lit("")).alias("product_id"), "*")
+    # The path comes percent-encoded; a plus in it is a plus, not a blank.  Folder names were escaped once more when written.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    folder = F.regexp_extract(path, rf"(?s)/{_FILE}=([^/]*){re.escape(SERIES_SUFFIX)}/[^/]*$", 1)
+    file = F.regexp_extract(path, rf"(?s)/([^/]*){re.escape(SERIES_SUFFIX)}$", 1)
+    own = F.when(folder != "", F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))).when(file != "", file)
+    return raw.select(own.alias("product_id"), "*").filter("product_id is not null")
+
+
+def write_series_csv(series: DataFrame, directory: str) -> None:
+    """Series as CSV, a folder per product named ``<id>_timeseries.csv``, for readers that go by file name.
+
+    Rows are dealt by product, so a product is one file.
+    """
+    name = F.concat(F.col("product_id"), F.lit(SERIES_SUFFIX))
+    shown = [F.date_format("date", "yyyy-MM-dd").alias("date") if c == "date" else F.col(c) for c in SERIES_SCHEMA.names]
+    rows = series.select(name.alias(_FILE), *shown)
+    rows.repartition(_FILE).sortWithinPartitions(_FILE, "date").write.partitionBy(_FILE).option("header", True).csv(directory)
 
 
 def _check_series(catalogue: DataFrame, known: DataFrame, strict: bool) -> None:
@@ -102,39 +124,50 @@ def _bucket(product_id: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(product_id), F.lit(buckets)).cast("int")
 
 
-def save_products(catalogue: DataFrame, series: DataFrame, directory: str, buckets: int | None = None) -> None:
-    """Write the catalogue as JSON and the series as parquet.
+def save_products(catalogue: DataFrame, series: DataFrame, directory: str, buckets: int | None = None) -> dict:
+    """Write catalogue and series as a new version of the dataset and return its manifest.
 
     One folder per product would mean as many folders as products, so series are
     laid out in hash folders, sorted by product and date inside; a lookup prunes by folder and
     by parquet statistics.  Their number follows the number of rows unless it is given, and is stored
-    with the dataset.  A product has a row per day at most, so no folder is hot.
+    in the manifest, which is written last.  A product has a row per day at most, so no folder is hot.
     """
-    if buckets is None:
-        buckets = max(1, -(-series.count() // ROWS_PER_BUCKET))
-    laid_out = series.select("product_id", *SERIES_SCHEMA.names).withColumn("bucket", _bucket(F.col("product_id"), buckets))
-    (
-        laid_out.repartition("bucket")
-        .sortWithinPartitions("bucket", "product_id", "date")
-        .write.mode("overwrite")
-        .partitionBy("bucket")
-        .parquet(f"{directory}/{SERIES_DIR}")
-    )
-    series.sparkSession.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").json(f"{directory}/{LAYOUT_DIR}")
-    folder = F.concat(F.lit(f"{directory}/{SERIES_DIR}/bucket="), _bucket(F.col("product_id"), buckets).cast("string"))
-    out = catalogue.withColumn("timeseries_file", folder).withColumnRenamed("product_id", "id")
-    out.write.mode("overwrite").json(f"{directory}/{CATALOGUE_DIR}")
+    spark = series.sparkSession
+
+    def write(folder: str) -> dict:
+        rows = series.count()
+        used = max(1, -(-rows // ROWS_PER_BUCKET)) if buckets is None else buckets
+        laid_out = series.select("product_id", *SERIES_SCHEMA.names).withColumn("bucket", _bucket(F.col("product_id"), used))
+        (
+            laid_out.repartition("bucket")
+            .sortWithinPartitions("bucket", "product_id", "date")
+            .write.partitionBy("bucket")
+            .parquet(f"{folder}/{SERIES_DIR}")
+        )
+        at = F.concat(F.lit(f"{folder}/{SERIES_DIR}/bucket="), _bucket(F.col("product_id"), used).cast("string"))
+        catalogue.withColumn("timeseries_file", at).withColumnRenamed("product_id", "id").write.json(f"{folder}/{CATALOGUE_DIR}")
+        return {"buckets": used, "rows": rows}
+
+    return versions.commit(spark, directory, write)
+
+
+def _current_folder(spark: SparkSession, directory: str) -> tuple[str, dict]:
+    manifest = versions.current(spark, directory)
+    if manifest is None:
+        raise FileNotFoundError(f"no committed dataset in {directory}")
+    return f"{directory}/{manifest['folder']}", manifest
 
 
 def load_products(spark: SparkSession, directory: str, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """Catalogue and series of a folder; the series only of listed products.
 
-    Reads what ``save_products`` writes, and also a folder with one JSON array and one
+    Reads the current version of what ``save_products`` writes, and also a folder with one JSON array and one
     CSV series per product.
     """
-    if path_exists(spark, f"{directory}/{SERIES_DIR}"):
-        catalogue = read_catalogue(spark, f"{directory}/{CATALOGUE_DIR}", multi_line=False)
-        series = spark.read.parquet(f"{directory}/{SERIES_DIR}").drop("bucket")
+    if versions.current(spark, directory) is not None:
+        folder, _ = _current_folder(spark, directory)
+        catalogue = read_catalogue(spark, f"{folder}/{CATALOGUE_DIR}", multi_line=False)
+        series = spark.read.parquet(f"{folder}/{SERIES_DIR}").drop("bucket")
     else:
         catalogue = read_catalogue(spark, f"{directory}/{CATALOGUE_DIR}")
         series = read_series_csv(spark, directory)
@@ -146,23 +179,16 @@ def load_products(spark: SparkSession, directory: str, strict: bool = True) -> t
 
 
 def find_series(spark: SparkSession, directory: str, product_id) -> DataFrame:
-    """Series of one product; reads only the folder its id hashes to, as the stored layout says."""
-    layout = spark.read.schema("buckets int").json(f"{directory}/{LAYOUT_DIR}").first()
-    series = spark.read.parquet(f"{directory}/{SERIES_DIR}")
+    """Series of one product; reads only the folder its id hashes to, as the manifest says."""
+    folder, manifest = _current_folder(spark, directory)
+    series = spark.read.parquet(f"{folder}/{SERIES_DIR}")
     wanted = F.lit(str(product_id))
-    return series.filter((F.col("bucket") == _bucket(wanted, layout.buckets)) & (F.col("product_id") == wanted)).drop("bucket")
+    return series.filter((F.col("bucket") == _bucket(wanted, manifest["buckets"])) & (F.col("product_id") == wanted)).drop("bucket")
 
 
 def is_complete(spark: SparkSession, directory: str) -> bool:
-    """Whether ``directory`` holds a whole dataset: a catalogue file, or a catalogue written to its end.
-
-    The catalogue is written after the series, and its folder gets the success marker
-    last, so a build that died half-way does not count.
-    """
-    catalogue = f"{directory}/{CATALOGUE_DIR}"
-    if path_exists(spark, f"{directory}/{SERIES_DIR}"):
-        return path_exists(spark, f"{catalogue}/_SUCCESS")
-    return path_exists(spark, catalogue)
+    """Whether ``directory`` holds a whole dataset: a committed version, or a catalogue file with a series per product."""
+    return versions.current(spark, directory) is not None or path_exists(spark, f"{directory}/{CATALOGUE_DIR}")
 
 
 def get_products(

@@ -84,9 +84,9 @@ def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def season_parameters(products: DataFrame) -> DataFrame:
+def season_parameters(products: DataFrame, number: str = "product_id") -> DataFrame:
     """Season figures per product, by rule from its number."""
-    k = F.col("product_id").cast("bigint")
+    k = F.col(number).cast("bigint")
     return (
         products.withColumn("weekly_amp", F.lit(0.05) + (k % 16) / F.lit(100.0))
         .withColumn("annual_amp", F.lit(0.10) + (k % 31) / F.lit(100.0))

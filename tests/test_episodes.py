@@ -95,13 +95,16 @@ def test_totals_of_a_log(spark, steps):
     assert total[0] == pytest.approx(sum(r["reward"] for r in steps)) and total[1] == len(steps)
 
 
-def test_steps_reach_all_products_and_whole_calendars(spark):
+@pytest.mark.parametrize("name", ["line_steps_with_calendar_rows", "steps_with_calendar_rows"])
+def test_steps_reach_all_products_and_whole_calendars(spark, name):
     from pricewright import plans
     from pricewright.plans import base
 
     sf_dir = "/root/testdata/sf0.01"
-    steps = plans.QUERIES["line_steps_with_calendar_rows"](spark, sf_dir)
-    got = {r.product_id: (r.low, r.high) for r in steps.groupBy("product_id").agg(F.min("row_index").alias("low"), F.max("row_index").alias("high")).collect()}
+    steps = plans.QUERIES[name](spark, sf_dir)
+    ends = F.min("row_index").alias("low"), F.max("row_index").alias("high")
+    got = {r.product_id: (r.low, r.high) for r in steps.groupBy("product_id").agg(*ends).collect()}
     rows = {r.product_id: r.n for r in base.series(spark, sf_dir).groupBy("product_id").agg(F.count("*").alias("n")).collect()}
     assert len(rows) > 10 and set(got) == set(rows)
-    assert all(got[p][0] < 0.1 * n and got[p][1] >= 0.9 * n for p, n in rows.items())
+    # Starts come from all over the calendar, and every product has steps that the end of it holds back.
+    assert all(got[p][0] < 0.2 * n and got[p][1] == n - 1 for p, n in rows.items())

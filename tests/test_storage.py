@@ -1,15 +1,17 @@
 """Sources and sinks on files."""
 
 import datetime as dt
+import gzip
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from pricewright.operators import clean, demand, ledger
 from pricewright.params import EpisodeParams
 from pricewright.sources import catalogue as S
 from pricewright.sources import driver_tables as D
-from pricewright.sources import summary, transactions
+from pricewright.sources import summary, transactions, versions
 from pricewright.streaming import daily as stream
 
 HEADER = "InvoiceNo, Stock Code ,Quantity,UnitPrice,InvoiceDate\n"
@@ -24,6 +26,28 @@ def test_csv_headers_and_undecodable_bytes(spark, tmp_path):
     assert [r["Invoice"] for r in clean.clean_rows(df).collect()] == ["1"]
 
 
+def test_files_with_different_headers(spark, tmp_path):
+    """Order, names, further columns, blank files, a packed file, and names that look like patterns."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text(HEADER + "1,x,2,3.5,2023-01-01\n")
+    (folder / "b [1]{2}.csv").write_text("\ufeffPrice,InvoiceDate,Quantity,Invoice,StockCode,Country\n9.5,2023-01-02,4,2,y,FR\n")
+    (folder / "c.csv").write_text("")
+    (folder / "d.csv").write_text("Price,InvoiceDate,Quantity,Invoice,StockCode,Country\n")
+    with gzip.open(folder / "e f.csv.gz", "wt") as packed:
+        packed.write('Quantity,"Stock Code",InvoiceNo,Unitprice,InvoiceDate\n7,z,3,1.25,2023-01-03\n')
+    df = transactions.read_csv(spark, str(folder))
+    rows = {r["Invoice"]: (r["StockCode"], r["Quantity"], r["Price"], str(r["InvoiceDate"])[:10], r["Country"]) for r in df.collect()}
+    assert rows == {"1": ("x", "2", "3.5", "2023-01-01", None), "2": ("y", "4", "9.5", "2023-01-02", "FR"), "3": ("z", "7", "1.25", "2023-01-03", None)}
+    assert sorted(len(files) for files in transactions.header_plan(spark, str(folder)).values()) == [1, 1, 2]
+    (folder / "g.csv").write_text("InvoiceNo,Quantity,Price,InvoiceDate\n1,2,3,2023-01-01\n")
+    with pytest.raises(ValueError, match="g.csv lacks StockCode"):
+        transactions.read_csv(spark, str(folder))
+    (tmp_path / "empty.csv").write_text("")
+    with pytest.raises(ValueError, match="no header"):
+        transactions.read_csv(spark, str(tmp_path / "empty.csv"))
+
+
 def test_colliding_headers_are_an_error(spark):
     df = spark.createDataFrame([(1, 2)], "UnitPrice int, Price int")
     with pytest.raises(ValueError, match="Price"):
@@ -69,6 +93,15 @@ def test_odd_ids_survive_in_file_names(spark, tmp_path):
     assert ids == {"a b", "50%", "x+y", "caf\u00e9"}
 
 
+def test_series_written_by_file_name_read_again(spark, tmp_path):
+    ids = ["a b", "50%", "x+y", "caf\u00e9", "7", "a/b", "file=1"]
+    days = [(i, dt.date(2023, 1, 1 + d), d, d + 1, 2.0, 5.0 + d, 10.0, 1.0) for i in ids for d in range(3)]
+    series = spark.createDataFrame(days, "product_id string, date date, day_of_week int, day_of_year int, price double, demand double, revenue double, seasonal double")
+    S.write_series_csv(series, str(tmp_path / "s"))
+    again = S.read_series_csv(spark, str(tmp_path / "s"))
+    assert sorted(map(tuple, again.select(series.columns).collect())) == sorted(days)
+
+
 def test_file_per_product_dataset_is_reused(spark, tmp_path):
     write_files(tmp_path, [1, 2])
     for product in (1, 2):
@@ -77,17 +110,52 @@ def test_file_per_product_dataset_is_reused(spark, tmp_path):
     assert products.count() == 2 and series.count() == 4
 
 
-def test_half_written_dataset_is_built_again(spark, tmp_path):
-    path = tmp_path / "ds"
-    S.save_products(*small_dataset(spark), str(path))
-    (path / "products_metadata.json" / "_SUCCESS").unlink()
+def test_a_build_that_ends_half_way_changes_nothing(spark, tmp_path):
+    """The version before it stays current, whole, and a later build takes its place."""
+    path = str(tmp_path / "ds")
+    products, series = small_dataset(spark)
+    broken = products.withColumn("noise_std", F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        S.save_products(broken, series, path)
+    assert not S.is_complete(spark, path)
     calls = []
 
     def build():
         calls.append(1)
         return small_dataset(spark)
 
-    assert S.get_products(spark, str(path), build)[0].count() == 50 and calls == [1]
+    assert S.get_products(spark, path, build)[0].count() == 50 and calls == [1]
+    more = series.withColumn("demand", F.lit(9.0))
+    with pytest.raises(Exception, match="lost"):
+        S.save_products(broken, more, path)
+    days = S.load_products(spark, path)[1]
+    assert days.agg(F.sum("demand")).first()[0] == 750.0
+    assert S.save_products(products, more, path)["number"] == 2
+    # A reader that resolved the first version still has it; a new one gets the second.
+    assert days.agg(F.sum("demand")).first()[0] == 750.0
+    assert S.load_products(spark, path)[1].agg(F.sum("demand")).first()[0] == 1350.0
+    assert S.find_series(spark, path, 7).agg(F.sum("demand")).first()[0] == 27.0
+
+
+def test_versions_are_numbered_and_pruned(spark, tmp_path):
+    path = str(tmp_path / "v")
+
+    def write(value):
+        def fill(folder):
+            spark.range(value).write.parquet(f"{folder}/rows")
+            if value == 2:  # another build commits meanwhile
+                versions.commit(spark, path, write(7))
+            return {"value": value}
+
+        return fill
+
+    assert versions.current(spark, path) is None and versions.prune(spark, path) == 0
+    assert [versions.commit(spark, path, write(v))["number"] for v in (1, 2, 3)] == [1, 3, 4]
+    assert versions.current(spark, path)["value"] == 3
+    assert versions.prune(spark, path, keep=2) == 2
+    now = versions.current(spark, path)
+    assert now["number"] == 4 and spark.read.parquet(f"{path}/{now['folder']}/rows").count() == 3
+    assert len(list((tmp_path / "v" / "versions").iterdir())) == 2
 
 
 def test_strict_and_lenient_loading(spark, tmp_path):
@@ -128,7 +196,8 @@ def test_lookup_follows_the_stored_number_of_buckets(spark, tmp_path):
     path = str(tmp_path / "many")
     S.save_products(products, series, path, buckets=64)
     assert all(S.find_series(spark, path, i).count() == 3 for i in (0, 7, 23, 49))
-    files = {r["id"]: r["timeseries_file"] for r in spark.read.json(f"{path}/products_metadata.json").collect()}
+    folder = versions.current(spark, path)["folder"]
+    files = {r["id"]: r["timeseries_file"] for r in spark.read.json(f"{path}/{folder}/products_metadata.json").collect()}
     assert len(set(files.values())) > 20
     assert spark.read.parquet(files["7"]).filter("product_id = '7'").count() == 3
 
