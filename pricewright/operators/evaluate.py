@@ -100,6 +100,55 @@ def matched_evaluation(steps: DataFrame, best: DataFrame, keys: list[str], defau
     )
 
 
+def off_policy_evaluation(steps: DataFrame, best: DataFrame, model: DataFrame, keys: list[str], default_level: int = 5) -> DataFrame:
+    """What a policy would have earned per step, from steps that another one priced.
+
+    ``steps`` has ``state, action, reward``; ``best`` the policy's action per ``keys`` and state (``default_level`` where it has
+    none); ``model`` an expected reward ``q`` per ``keys``, state and action (their mean where it has none).  The odds of an action
+    in a state are its share of the logged steps there.  A step that agrees weighs one over its odds, any other nothing:
+
+    - ``weighted_reward`` is the weighted mean reward,
+    - ``model_reward`` what the model expects of the policy,
+    - ``corrected_reward`` the model's figure plus the weighted mean of its errors, which stays right if either of the two is,
+    - ``effective_steps`` how many steps of equal weight the weights are worth.
+
+    Every key has a row; ``reason`` says why figures are missing: ``no_model`` without learning steps, ``no_agreement`` where no
+    logged step agrees (``model_reward`` alone is given then).
+    """
+    cell = [*keys, "state", "action"]
+    # Sums per logged cell: nothing below has more rows than states times actions per key.
+    cells = steps.groupBy(*cell).agg(F.count("*").alias("n"), F.sum("reward").alias("rewards"))
+    learned = best.select(*keys, "state", F.col("action").alias("learned"))
+    expected = model.select(*cell, F.col("q").alias("own_q"))
+    chosen = model.select(*keys, "state", F.col("action").alias("learned"), F.col("q").alias("learned_q"))
+    usual = model.groupBy(*keys).agg(F.avg("q").alias("usual_q"))
+    rows = (
+        cells.join(learned, [*keys, "state"], "left")
+        .withColumn("learned", F.coalesce("learned", F.lit(default_level)))
+        .join(expected, cell, "left")
+        .join(chosen, [*keys, "state", "learned"], "left")
+        .join(usual, keys, "left")
+        .withColumn("own_q", F.coalesce("own_q", "usual_q"))
+        .withColumn("learned_q", F.coalesce("learned_q", "usual_q"))
+        .withColumn("in_state", F.sum("n").over(Window.partitionBy(*keys, "state")))
+    )
+    agrees, odds = F.col("action") == F.col("learned"), F.col("n") / F.col("in_state")
+    total = F.sum(F.when(agrees, F.col("n") / odds))
+    error = F.sum(F.when(agrees, (F.col("rewards") - F.col("n") * F.col("own_q")) / odds)) / total
+    expected_reward = F.sum(F.col("n") * F.col("learned_q")) / F.sum("n")
+    figures = rows.groupBy(*keys).agg(
+        F.sum("n").alias("n_steps"),
+        F.coalesce(F.sum(F.when(agrees, F.col("n"))), F.lit(0)).alias("n_agreeing"),
+        (F.sum("rewards") / F.sum("n")).alias("logged_reward"),
+        (F.sum(F.when(agrees, F.col("rewards") / odds)) / total).alias("weighted_reward"),
+        expected_reward.alias("model_reward"),
+        (expected_reward + error).alias("corrected_reward"),
+        (total * total / F.sum(F.when(agrees, F.col("n") / (odds * odds)))).alias("effective_steps"),
+    )
+    unknown = F.when(F.col("model_reward").isNull(), "no_model").when(F.col("n_agreeing") == 0, "no_agreement")
+    return figures.withColumn("reason", unknown.otherwise("none"))
+
+
 def full_benchmark(steps: DataFrame) -> DataFrame:
     """From logged steps to the leaderboard of their policies."""
     return leaderboard(summarise_policies(evaluate_policies(episode_totals(steps))))

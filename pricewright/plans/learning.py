@@ -261,6 +261,41 @@ def learned_policy_evaluation(spark, sf_dir):
     return B.rounded(E.matched_evaluation(late, best, ["product_id"]))
 
 
+@query(
+    "A9, R11",
+    f"""WITH cells AS (
+          SELECT product_id, state, action, count(*) AS n, sum(reward) AS rewards, sum(count(*)) OVER (PARTITION BY product_id, state) AS in_state
+          FROM late_moves GROUP BY product_id, state, action),
+        chosen AS (SELECT product_id, state, action AS learned FROM early_q2
+                   QUALIFY row_number() OVER (PARTITION BY product_id, state ORDER BY q DESC, action) = 1),
+        usual AS (SELECT product_id, avg(q) AS usual_q FROM early_q1 GROUP BY product_id),
+        joined AS (
+          SELECT c.*, coalesce(b.learned, 5) AS learned, coalesce(o.q, usual_q) AS own_q, coalesce(l.q, usual_q) AS learned_q,
+                 CASE WHEN c.action = coalesce(b.learned, 5) THEN in_state / c.n::DOUBLE END AS w
+          FROM cells c LEFT JOIN chosen b ON b.product_id = c.product_id AND b.state = c.state
+          LEFT JOIN early_q1 o ON o.product_id = c.product_id AND o.state = c.state AND o.action = c.action
+          LEFT JOIN early_q1 l ON l.product_id = c.product_id AND l.state = c.state AND l.action = coalesce(b.learned, 5)
+          LEFT JOIN usual u ON u.product_id = c.product_id),
+        figures AS (
+          SELECT product_id, sum(n)::BIGINT AS n_steps, coalesce(sum(n) FILTER (w IS NOT NULL), 0)::BIGINT AS n_agreeing,
+                 sum(rewards) / sum(n) AS logged_reward, sum(w * rewards) / sum(w * n) AS weighted_reward,
+                 sum(n * learned_q) / sum(n) AS model_reward,
+                 sum(n * learned_q) / sum(n) + sum(w * (rewards - n * own_q)) / sum(w * n) AS corrected_reward,
+                 sum(w * n) * sum(w * n) / sum(w * w * n) AS effective_steps
+          FROM joined GROUP BY product_id)
+        SELECT product_id, n_steps, n_agreeing, {rnd('logged_reward')} AS logged_reward, {rnd('weighted_reward')} AS weighted_reward,
+               {rnd('model_reward')} AS model_reward, {rnd('corrected_reward')} AS corrected_reward, {rnd('effective_steps')} AS effective_steps,
+               CASE WHEN model_reward IS NULL THEN 'no_model' WHEN n_agreeing = 0 THEN 'no_agreement' ELSE 'none' END AS reason
+        FROM figures""",
+)
+def off_policy_value(spark, sf_dir):
+    """What the policy learned from the first half of the days would earn in the second, corrected for how prices were chosen there."""
+    early, late = _halves(spark, sf_dir)
+    model = write_once(L.sweep(early, None, ["product_id"]), "reward-model")
+    best = L.greedy_actions(L.fitted_q(early, ["product_id"], sweeps=2), ["product_id"])
+    return B.rounded(E.off_policy_evaluation(late, best, model, ["product_id"]))
+
+
 # Adaptation curve: every number of episodes is one more key of the same sweeps.
 TRIALS = [1, 3, 5]
 cte(

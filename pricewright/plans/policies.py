@@ -10,11 +10,13 @@ from ..operators import catalogue as C
 from ..operators import evaluate as E
 from ..operators import episodes as episodes_
 from ..operators import features, policies
+from ..operators import intervals as I
 from ..operators.ledger import stock_ledger as stock_ledger_of
+from ..operators.ledger_scan import stock_ledger_scan
 from ..operators.windows import running_revenue
 from . import base as B
 from .registry import cte, query
-from .sql import TWO_PI, clip, level_price, mixed_hash, nearest, optimal_price, rnd, whole
+from .sql import TWO_PI, clip, level_price, mixed_hash, nearest, optimal_price, rnd, unit, whole
 
 P = B.TIGHT
 
@@ -112,6 +114,21 @@ def stock_ledger(spark, sf_dir):
     return B.rounded(stock_ledger_of(days, ["product_id"], "date", small))
 
 
+@query(
+    "R6",
+    f"""SELECT product_id, date, CAST(step AS INTEGER) AS step, {rnd('demand')} AS demand, {rnd('price')} AS price,
+        units_sold, lost_units, {rnd('revenue')} AS revenue, {rnd('raw_reward')} AS raw_reward,
+        inventory_before, inventory FROM ledger""",
+)
+def stock_ledger_by_scan(spark, sf_dir):
+    """The same ledger without gathering a product's days: stretches of days as three numbers each."""
+    from ..params import EpisodeParams
+
+    days = B.series(spark, sf_dir).select("product_id", "date", "demand", "price")
+    small = EpisodeParams(max_inventory=60, restock=15)
+    return B.rounded(stock_ledger_scan(days, ["product_id"], "date", small))
+
+
 @query(
     "R7",
     f"""SELECT d.product_id, CAST(e AS INTEGER) AS episode, CAST(s AS INTEGER) AS step, policy,
@@ -307,6 +324,45 @@ def policy_leaderboard(spark, sf_dir):
     return B.rounded(E.full_benchmark(steps_of(spark, sf_dir)))
 
 
+def _weight(product: str, episode: str, replicate: str) -> str:
+    drawn = unit(product, episode, replicate, 17)
+    return "(" + " + ".join(f"CASE WHEN {drawn} >= {limit!r}::DOUBLE THEN 1 ELSE 0 END" for limit in I.POISSON) + ")"
+
+
+cte(
+    "replicated",
+    f"""
+    SELECT policy, product_id, replicate, sum(w * total_reward) / sum(w) AS mean
+    FROM (SELECT t.*, r AS replicate, {_weight('product_id', 'episode', 'r')} AS w FROM totals t, range({I.REPLICATES}) x(r))
+    WHERE w > 0 GROUP BY policy, product_id, replicate""",
+)
+_LOW = "list_sort(list(mean))[CAST(floor(count(*) * 0.05e0) AS INTEGER) + 1]"
+_HIGH = "list_sort(list(mean))[CAST(count(*) - floor(count(*) * 0.05e0) AS INTEGER)]"
+
+
+@query(
+    "A8",
+    f"""SELECT policy, product_id, {rnd(_LOW)} AS low, {rnd(_HIGH)} AS high, count(*) AS n_replicates
+        FROM replicated GROUP BY policy, product_id""",
+)
+def policy_evaluation_intervals(spark, sf_dir):
+    """Nine times in ten the mean reward of a policy on a product lies between these bounds, as its episodes vary."""
+    return B.rounded(I.product_intervals(I.replicated_means(totals_of(spark, sf_dir))))
+
+
+@query(
+    "A10, T4, R12",
+    f"""SELECT policy, {rnd(_LOW)} AS low, {rnd(_HIGH)} AS high, {rnd('avg(CASE WHEN place = 1 THEN 1e0 ELSE 0e0 END)')} AS first_share,
+        {rnd('avg(place)')} AS mean_rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY replicate ORDER BY mean DESC, policy) AS place
+              FROM (SELECT policy, replicate, avg(mean) AS mean FROM replicated GROUP BY policy, replicate))
+        GROUP BY policy""",
+)
+def policy_leaderboard_intervals(spark, sf_dir):
+    """How sure the leaderboard is: bounds of each policy's mean, and how often it comes first."""
+    return B.rounded(I.policy_intervals(I.replicated_means(totals_of(spark, sf_dir))))
+
+
 @query("U2", f"SELECT {EVALUATION} FROM evaluation")
 def united_policy_results(spark, sf_dir):
     evaluation = E.evaluate_policies(totals_of(spark, sf_dir))
