@@ -5,7 +5,7 @@ In each of several independent trees a node chooses, by a hash of its own path,
 the minwise tokens, 1 / threshold on average; a class goes on to the child named by its token.
 So a pair at the threshold is expected to share one node at any depth, while unlike classes part.
 Nodes of at most ``LEAF`` classes are compared exhaustively by their signatures; nodes that hold the same
-classes as another one are compared once.  Pairs whose estimate lies more than four standard deviations
+classes as another one are compared once.  Pairs whose estimate lies more than five standard deviations
 below the threshold go; all others are confirmed on full sets.
 
 What is still together at the last level shares that many tokens: nodes of near copies.  Their
@@ -25,11 +25,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 from .components import components
+from .filters import told_apart
 from .tokens import slices
 from .words import hashed, mixed
 
@@ -154,8 +156,8 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def _least_alike(threshold: float) -> int:
-    """Equal tokens that a pair at the threshold falls short of once in 30,000 times."""
-    return int(TOKENS * threshold - 4 * (TOKENS * threshold * (1 - threshold)) ** 0.5)
+    """Equal tokens that a pair at the threshold falls short of once in three million times."""
+    return int(TOKENS * threshold - 5 * (TOKENS * threshold * (1 - threshold)) ** 0.5)
 
 
 def _compared(cells: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -210,37 +212,47 @@ def _compared(cells: DataFrame, classes: DataFrame, threshold: float) -> DataFra
     return ordered.mapInArrow(search, "a bigint, b bigint, alike int").groupBy("a", "b").agg(F.max("alike").alias("alike"))
 
 
+def _packed(texts: list[str | None]) -> list[bytes]:
+    """Texts as they travel: a third of the size of their shingle hashes."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    return [pack((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+
+
+def _unpacked_sets(blobs: list[bytes], width: int) -> list[np.ndarray]:
+    """The sorted shingle hashes of packed texts."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    texts = [unpack(b).decode("utf-8", "surrogatepass") for b in blobs]
+    return [x for a, b in slices(texts) for x in shingle_sets(texts[a:b], width)]
+
+
 def _sets(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """``rep, shingles`` of the classes that occur in pairs, worked out again from the text that stands for each.
+    """``rep, packed`` of the classes that occur in pairs: the text that stands for each, from which its full set is worked out.
 
-    ``halves`` has the upper half of each hash: enough to rule a pair out, not to confirm it.
+    A filter of the classes' ids and text hashes lets the other texts stay where they lie.
     """
     needed = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
     named = classes.join(needed, "rep", "left_semi").select("rep", "digest", F.col("first.doc_id").alias("id"), F.col("first.of_text").alias("hash"))
+    named = written(named.withColumn("mark", F.xxhash64("id", "hash")), "needed")
 
     def build(batches):
         for batch in batches:
             texts, ids, digests = batch.column("text").to_pylist(), batch.column("rep"), batch.column("digest").to_pylist()
             for a, b in slices(texts):
-                found = list(shingle_sets(texts[a:b], width))
+                found = shingle_sets(texts[a:b], width)
                 # Another text of this id could have the same hash.
                 right = pa.array([digest_of(x) == of for x, of in zip(found, digests[a:b])], pa.bool_())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(a, b - a),
-                        pa.array([x.tobytes() for x in found], pa.binary()),
-                        pa.array([(x >> np.uint64(32)).astype("<u4").tobytes() for x in found], pa.binary()),
-                    ],
-                    ["rep", "shingles", "halves"],
-                ).filter(right)
+                packed = pa.array(_packed(texts[a:b]), pa.binary())
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), packed], ["rep", "packed"]).filter(right)
 
-    # The list of ids grows with the documents, so it is never sent whole to all tasks.
-    texts = docs.select(_id().alias("id"), _of_text().alias("hash"), "text").join(named.hint("merge"), ["id", "hash"])
-    once = texts.select("rep", "digest", "text", "id", "hash").dropDuplicates(["id", "hash", "rep", "text"])
-    return written(once.select("rep", "digest", "text").mapInArrow(build, "rep bigint, shingles binary, halves binary"), "sets")
+    texts = docs.select(_id().alias("id"), _of_text().alias("hash"), "text")
+    _, maybe = told_apart(texts, F.xxhash64("id", "hash"), named.select("mark"))
+    found = maybe.join(named.drop("mark"), ["id", "hash"])
+    # Rows that repeat an id and text all make the class's text; one of each is enough.
+    built = found.select("rep", "digest", "text").mapInArrow(build, "rep bigint, packed binary")
+    return written(built.groupBy("rep").agg(F.min("packed").alias("packed")), "sets")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, width: int, per_cent: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets link.
 
     The set of ``b`` travels to ``a`` once per pair; that of ``a`` once for every few hundred
@@ -249,18 +261,17 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     """
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
     first = counts.join(sets, F.col("a") == F.col("rep")).select(
-        "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("b"), "shingles"
+        "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("b"), "packed"
     )
     salted = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
-    second = salted.join(sets, F.col("b") == F.col("rep")).select("a", "salt", "b", "shingles")
+    second = salted.join(sets, F.col("b") == F.col("rep")).select("a", "salt", "b", "packed")
 
     def confirm(batches):
         own, key = None, None
         for batch in batches:
             lefts, rights = [], []
-            columns = [batch.column(c).to_pylist() for c in ("a", "salt", "b", "shingles")]
-            for a, salt, b, blob in zip(*columns):
-                found = np.frombuffer(blob, np.uint64)
+            columns = [batch.column(c).to_pylist() for c in ("a", "salt", "b")]
+            for a, salt, b, found in zip(*columns, _unpacked_sets(batch.column("packed").to_pylist(), width)):
                 if b is None:
                     own, key = found, (a, salt)
                     continue
@@ -284,7 +295,7 @@ def _apart(pairs: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def _agreements(block: list[np.ndarray], rows: list[np.ndarray]) -> np.ndarray:
-    """How many elements each row shares with each set of the block, or a little more if halves collide."""
+    """How many elements each row shares with each set of the block."""
     values, of = np.unique(np.concatenate(block), return_inverse=True)
     flat = np.concatenate(rows)
     at = np.minimum(np.searchsorted(values, flat), len(values) - 1)
@@ -300,8 +311,8 @@ def _agreements(block: list[np.ndarray], rows: list[np.ndarray]) -> np.ndarray:
     return counted(rows, at) @ held.T
 
 
-def _outside(large: DataFrame, named: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """``a, b`` of large nodes that link, as far as half hashes tell, and are not connected yet.
+def _outside(large: DataFrame, named: DataFrame, sets: DataFrame, width: int, per_cent: int) -> DataFrame:
+    """``a, b`` of large nodes that link by their full sets and are not connected yet.
 
     What is outside a node's largest component, if anything, is dealt into blocks; all classes of
     the node pass every block and are compared with all of it.  A task holds one block and sends
@@ -316,11 +327,11 @@ def _outside(large: DataFrame, named: DataFrame, sets: DataFrame, per_cent: int)
         .where("kinds > 1")
         .select("cell", F.col("most.of").alias("of_most"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("blocks"))
     )
-    rows = joined.join(parted, "cell").join(sets.select("rep", "halves"), "rep")
+    rows = joined.join(parted, "cell").join(sets, "rep")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     held = rows.where("of <> of_most").withColumn("block", own).withColumn("role", F.lit(0))
     passing = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(1))
-    both = held.unionByName(passing).select(F.xxhash64("cell", "block").alias("group"), "role", "rep", "of", "halves")
+    both = held.unionByName(passing).select(F.xxhash64("cell", "block").alias("group"), "role", "rep", "of", "packed")
 
     def compare(block: list, rows: list, root: dict):
         def find(x):
@@ -345,14 +356,14 @@ def _outside(large: DataFrame, named: DataFrame, sets: DataFrame, per_cent: int)
         for batch in batches:
             groups, roles = batch.column("group").to_numpy(), batch.column("role").to_numpy()
             ids, of = batch.column("rep").to_pylist(), batch.column("of").to_pylist()
-            halves = [np.frombuffer(x, "<u4") for x in batch.column("halves").to_pylist()]
+            found_sets = _unpacked_sets(batch.column("packed").to_pylist(), width)
             changes = (groups[1:] != groups[:-1]) | (roles[1:] != roles[:-1])
             borders = np.flatnonzero(np.concatenate([[True], changes, [True]]))
             found: set[tuple[int, int]] = set()
             for begin, end in zip(borders[:-1].tolist(), borders[1:].tolist()):
                 if groups[begin] != group:
                     group, block, root = groups[begin], [], {}
-                part = list(zip(ids[begin:end], of[begin:end], halves[begin:end]))
+                part = list(zip(ids[begin:end], of[begin:end], found_sets[begin:end]))
                 if roles[begin] == 0:
                     block += part
                     continue
@@ -399,13 +410,13 @@ def _placed(docs: DataFrame, width: int, per_cent: int, trees: int, leaf: int, d
     best = ends.groupBy("x").agg(F.max("p").alias("p")).select("p.a", "p.b")
     pairs = written(best.unionByName(stars).distinct(), "pairs")
     sets = _sets(pairs, classes, docs, width)
-    named = written(components(written(_confirmed(pairs, sets, per_cent), "links")), "named")
+    named = written(components(written(_confirmed(pairs, sets, width, per_cent), "links")), "named")
 
     # Then what these do not connect: other candidates, and in large nodes those outside its largest component with all.
-    across = _outside(large, named, sets, per_cent)
+    across = _outside(large, named, sets, width, per_cent)
     rest = written(_apart(candidates.select("a", "b"), named).unionByName(across).distinct(), "pairs")
     if not rest.isEmpty():
-        more = written(_confirmed(rest, sets, per_cent), "links")
+        more = written(_confirmed(rest, sets, width, per_cent), "links")
         if not more.isEmpty():
             stars = named.select(F.col("node").alias("a"), F.col("component").alias("b"))
             named = components(stars.unionByName(more))
@@ -436,12 +447,15 @@ def keep_one(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame:
     tied = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("of_text") == F.col("first.of_text"))
     counted = placed.groupBy("doc_id", "of_text").agg(F.count("*").alias("rows"), F.max(tied).alias("tied"))
     named = counted.where("NOT tied OR rows > 1")
-    named = written(named.select(F.col("doc_id").alias("gone"), F.col("of_text").alias("gone_text"), F.col("tied").alias("gone_tied")), "near-gone")
+    mark = F.xxhash64("doc_id", "of_text").alias("mark")
+    named = written(named.select(F.col("doc_id").alias("gone"), F.col("of_text").alias("gone_text"), F.col("tied").alias("gone_tied"), mark), "near-gone")
+    single, maybe = told_apart(docs, F.xxhash64(_id(), _of_text()), named.select("mark"))
+    named = named.drop("mark")
     same = (_id() == F.col("gone")) & (_of_text() == F.col("gone_text"))
-    single = docs.join(named, same, "left_anti")
+    single = single.unionByName(maybe.join(named, same, "left_anti"))
     several = named.where("gone_tied")
     if several.isEmpty():
         return single
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.join(several, same, "left_semi").select(_id().alias("id"), _of_text().alias("hash"), whole.alias("row"))
+    rows = maybe.join(several, same, "left_semi").select(_id().alias("id"), _of_text().alias("hash"), whole.alias("row"))
     return single.unionByName(rows.groupBy("id", "hash").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*"))
