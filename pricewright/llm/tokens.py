@@ -22,7 +22,7 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 
-KNOWN = 400_000
+KNOWN = 250_000  # cuttings that a worker remembers, unless it is told to keep more
 LONG = 100  # longer cuttings are not remembered
 
 # White space other than blank, tab and line ends: such texts go through the library whole.
@@ -55,7 +55,8 @@ def tokenizer_path(name: str) -> str:
 class Encoder:
     """Ids of texts; one per Python worker and tokenizer file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known: int = KNOWN):
+        self.most = known
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
@@ -137,7 +138,7 @@ class Encoder:
         missing = dict.fromkeys(flat[i] for i in np.flatnonzero(at < 0).tolist())
         starts, ids = self.starts, self.ids
         if missing or odd:
-            room = KNOWN - len(self.known)
+            room = self.most - len(self.known)
             kept = [x for x in missing if len(x) <= LONG][: max(0, room)]
             kept_set = set(kept)
             new = kept + [x for x in missing if x not in kept_set]
@@ -170,23 +171,26 @@ class Encoder:
         return found, np.diff(bounds)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, known: int = KNOWN) -> Encoder:
+    if (path, known) not in _encoders:
+        _encoders[path, known] = Encoder(path, known)
+    return _encoders[path, known]
 
 
-def documents(bpe: Encoder, texts: list[str | None], end_id: int):
-    """The ids of each text with the end id behind them, a slice of the batch at a time."""
+def runs(bpe: Encoder, texts: list[str | None], end_id: int):
+    """The ids of consecutive texts in a row, each with the end id behind it, and their numbers, a slice of the batch at a time."""
     for a, b in slices(texts):
         ids, lengths = bpe.encode([t or "" for t in texts[a:b]])
-        ends = np.cumsum(lengths)
-        ids = np.insert(ids, ends, end_id)
-        ends = ends + np.arange(1, len(ends) + 1)
-        yield a, b, np.split(ids, ends[:-1])
+        yield a, b, np.insert(ids, np.cumsum(lengths), end_id), lengths + 1
+
+
+def documents(bpe: Encoder, texts: list[str | None], end_id: int):
+    """The ids of each text with the end id behind them, a slice of the batch at a time."""
+    for a, b, ids, lengths in runs(bpe, texts, end_id):
+        yield a, b, np.split(ids, np.cumsum(lengths)[:-1])
 
 
 def crc(ids: np.ndarray) -> int:
@@ -194,6 +198,12 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def crcs(ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[int]:
+    """The same for many stretches of one array."""
+    raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+    return [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist())]
+
+
 def slices(texts: list[str | None], limit: int = 1 << 20):
     """Ranges of a batch that hold about ``limit`` characters each, one row at least."""
     begin = size = 0
