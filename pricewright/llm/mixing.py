@@ -2,11 +2,11 @@
 
 The sizes of each source are summed, targets and from them one repetition rate per
 source are derived, and every document is taken floor(rate) times plus once more
-with a probability equal to the fraction, drawn from a hash of its id.  No document
+with a probability equal to the fraction, drawn from a hash of its id, or of its text where it has none.  No document
 depends on another one, so a hot source is an ordinary set of rows.
 
 Defined results: a null text has size 0; a null source is a source of its own that
-comes last; a null id has its own fixed draw; rows that repeat an id share its draw;
+comes last; rows that repeat an id share its draw, and so do rows without an id that repeat a text;
 a source without words has target 0 and none of its documents is taken; an empty
 table gives an empty mix.  Columns are picked by name, others pass through untouched.
 """
@@ -27,9 +27,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def draw(doc_id: Column, seed: int) -> Column:
-    """A repeatable number in [0, 1) for each id."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def known_as(doc_id: Column, text: Column) -> Column:
+    """The id of a row as text; of a row without one, a hash of its text."""
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+
+
+def draw(name: Column, seed: int) -> Column:
+    """A repeatable number in [0, 1) for each name."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), name))
     return F.conv(F.substring(digest, 1, _DIGITS), 16, 10).cast("double") / F.lit(float(16**_DIGITS))
 
 
@@ -68,13 +73,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     )
 
 
-def copies(rate: Column, doc_id: Column, seed: int) -> Column:
+def copies(rate: Column, name: Column, seed: int) -> Column:
     whole = F.floor(rate).cast("bigint")
-    return whole + F.when(draw(doc_id, seed) < rate - whole, 1).otherwise(0).cast("bigint")
+    return whole + F.when(draw(name, seed) < rate - whole, 1).otherwise(0).cast("bigint")
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), known_as(F.col("doc_id"), F.col("text")).alias("name"))
 
 
 def taken_words(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 7) -> DataFrame:
@@ -86,7 +91,7 @@ def taken_words(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     rates = written(source_targets(sizes, weights, most), "mix-rates")
     joined = sizes.alias("d").join(rates.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")))
     return joined.select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * copies(F.col("rate"), F.col("doc_id"), seed)).alias("taken")
+        "doc_id", "size", "source_size", "target", (F.col("size") * copies(F.col("rate"), F.col("name"), seed)).alias("taken")
     )
 
 
@@ -94,6 +99,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     """The documents of the mix, each as often as it is taken, with the columns they came with."""
     rates = written(source_targets(sized(docs), weights, most).select("source", "rate"), "mix-rates")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").alias("of"))
-    times = copies(F.col("rate"), F.col("row.doc_id"), seed)
+    times = copies(F.col("rate"), known_as(F.col("row.doc_id"), F.col("row.text")), seed)
     joined = rows.join(rates, F.col("of").eqNullSafe(F.col("source"))).withColumn("times", times)
     return joined.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -80,7 +80,8 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     r"""
 WITH sizes AS (
-    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+           coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, ''))) AS name
     FROM documents),
 per AS (
     SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place
@@ -101,7 +102,7 @@ goals AS (
 rated AS (
     SELECT d.doc_id, d.size, g.source_size, g.target,
            CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END AS rate,
-           ('0x' || substr(md5('7:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE
+           ('0x' || substr(md5('7:' || name), 1, 13))::BIGINT::DOUBLE
                / 4503599627370496.0::DOUBLE AS draw
     FROM sizes d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target,

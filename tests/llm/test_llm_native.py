@@ -150,6 +150,18 @@ def test_mix_comes_near_its_targets_and_repeats(spark):
     assert mixed.agg(F.sum(F.size(F.split(F.trim("text"), " ")))).first()[0] == again == sum(r.taken for r in got)
 
 
+def test_mix_of_rows_without_ids_comes_near_its_targets(spark):
+    docs = spark.range(6000).select(
+        F.lit(None).cast("bigint").alias("doc_id"),
+        F.concat(F.lit("w"), F.col("id")).alias("text"),
+        F.concat(F.lit("s"), F.col("id") % 3).alias("source"),
+    )
+    taken = mixing.mix(docs).groupBy("source").count().collect()
+    target = mix_targets({"s0": 2000, "s1": 2000, "s2": 2000})
+    assert all(abs(r["count"] - target[r.source]) < 0.05 * target[r.source] for r in taken) and len(taken) == 3
+    assert mixing.taken_words(docs).agg(F.sum("taken")).first()[0] == mixing.mix(docs).count()
+
+
 def test_mix_of_nothing(odd_docs, no_docs):
     assert mixing.taken_words(no_docs).collect() == [] and mixing.mix(no_docs).collect() == []
     blank = odd_docs.withColumn("text", F.lit(None).cast("string"))
