@@ -1,7 +1,7 @@
 """Pack documents into sequences: first-fit decreasing over a tournament tree of bin capacities.
 
 Documents are encoded where they lie and cut into full sequences and a rest, so that only
-piece lengths and checksums travel.  Each document falls into one of many groups by a hash, and
+piece lengths and checksums travel.  Each piece falls into one of many groups by a hash of its document, place and row, and
 every group is packed on its own: pieces by falling length, each into the first bin
 that has room.  The tree holds the largest capacity below each node, so the bin is found in
 log2(bins) steps.  The number of groups follows the number of documents.
@@ -91,8 +91,8 @@ def pack(
 ) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` of every piece."""
     n_groups = max(1, -(-docs.count() // group_docs))
-    # The checksum keeps documents without an id apart.
-    spread = F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.when(F.col("doc_id").isNull(), F.col("ids_crc32"))), F.lit(n_groups))
+    # Pieces are packed each for itself; the row's own number keeps repeated and nameless documents apart.
+    spread = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", F.monotonically_increasing_id()), F.lit(n_groups))
 
     def fill(group: pa.Table) -> pa.Table:
         order = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]
