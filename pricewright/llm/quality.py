@@ -139,7 +139,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, folds: int, fold: int, s
                     ["buckets", "counts", "quality"],
                 )
 
-    return joined.select("text", "quality").mapInArrow(count, "buckets binary, counts binary, quality int")
+    counted = joined.select("text", "quality").mapInArrow(count, "buckets binary, counts binary, quality int")
+    # An id may stand for many rows, so the bound holds for rows too.
+    return counted.orderBy(F.xxhash64("buckets", "counts"), "buckets", "counts", "quality").limit(sample)
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, sample: int = SAMPLE) -> Model:

@@ -248,6 +248,32 @@ def test_elias_fano(values, shift):
     assert [code.select(i) for i in range(0, len(values), 13)] == values[::13]
 
 
+def test_elias_fano_in_blocks():
+    rng = np.random.default_rng(7)
+    for step in (0, 3, 1 << 40):
+        values = np.cumsum(rng.integers(0, step + 1, 3 * elias_fano.BLOCK + 77, np.uint64))
+        code = elias_fano.EliasFano(elias_fano.ef_encode(values))
+        assert (code.all() == values).all()
+        for begin, end in ((0, 1), (511, 513), (512, 1024), (elias_fano.BLOCK - 1, elias_fano.BLOCK + 600), (len(values) - 3, len(values)), (9, 9)):
+            assert (code.values(begin, end) == values[begin:end]).all()
+        for i in (0, 512, 70_000, len(values) - 1):
+            assert code.rank(int(values[i])) == np.searchsorted(values, values[i])
+
+
+def test_lookup_of_documents(spark, odd_docs, no_docs, tmp_path):
+    """Given documents by select, among negative, repeated and null ids and many shards."""
+    bpe = tokens.encoder(BYTES)
+    for size in (1, 400, 1 << 22):
+        folder = str(tmp_path / f"lookup{size}")
+        elias_fano.write(odd_docs, folder, BYTES, shard_ids=size)
+        got = Counter((r.doc_id, tuple(r.ids)) for r in elias_fano.lookup(spark, folder, [5, -4, 8, 3, 77, 5]).collect())
+        rows = [(r.doc_id, r.text) for r in odd_docs.collect() if r.doc_id in (5, -4, 8, 3)]
+        assert got == Counter((i, (*bpe.tokenizer.encode(t or "", add_special_tokens=False).ids, 0)) for i, t in rows)
+        assert elias_fano.lookup(spark, folder, []).collect() == []
+    elias_fano.write(no_docs, str(tmp_path / "none"), BYTES)
+    assert elias_fano.lookup(spark, str(tmp_path / "none"), [1]).collect() == []
+
+
 def test_elias_fano_is_small():
     ends = np.cumsum(np.random.default_rng(1).integers(1, 2000, 100_000))
     assert len(elias_fano.ef_encode(ends)) * 8 < 100_000 * (2 + math.log2(1000) + 1)
@@ -317,3 +343,16 @@ def test_packing(spark, odd_docs, no_docs, small_dir):
                 end += length
             assert end <= 4096
     assert packing.pack(no_docs, WORDS).collect() == []
+
+
+def test_one_labelled_id_on_many_rows_stays_bounded(spark):
+    docs = spark.range(3000).select(F.lit(1).cast("bigint").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    assert quality.labelled_sample(docs, labels, 5, 0, 100).count() == 100
+
+
+def test_packing_deals_nameless_copies_over_groups(spark):
+    docs = spark.range(9000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("the same few words").alias("text"))
+    packed = packing.pack(docs, tokens.tokenizer_path("word_bpe_49k.json"), group_docs=1000)
+    sizes = [r["count"] for r in packed.groupBy((F.col("sequence_id") / packing._BINS).cast("int").alias("g")).count().collect()]
+    assert len(sizes) == 9 and max(sizes) < 1200 and sum(sizes) == 9000
