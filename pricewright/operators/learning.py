@@ -74,6 +74,16 @@ def minibatch(rows: DataFrame, key_no: Column, first: Column, second: Column, si
     return drawn.withColumn("_n", enough).filter(F.col("_n") >= size).drop("_drawn", "_n")
 
 
+def kept_samples(rows: DataFrame, keys: list[str], key_no: Column, first: Column, second: Column, size: int = 128, seed: int = 0) -> DataFrame:
+    """Of each ``keys`` the ``size`` rows of the smallest repeatable hashes: a sample that merges.
+
+    The sample of old rows united with new ones gives the sample of both, so rows may come batch by batch.  Every task
+    keeps ``size`` rows a key before anything is shuffled, so a key with a third of all rows is no burden.
+    """
+    order = Window.partitionBy(*keys).orderBy(mixed_hash(key_no, first, second, seed), key_no, first, second)
+    return rows.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= size).drop("_place")
+
+
 def task_batches(products: DataFrame, iterations: int, batch: int = 8, seed: int = 0) -> DataFrame:
     """``batch`` products with replacement for each iteration."""
     ranked = with_position(products.select("product_id"), code_order("product_id"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalogue as C
-from ..operators import clean, demand
+from ..operators import clean, demand, incremental, sketches
 from ..params import CleanParams
+from ..session import fresh_path, write_once
 from ..sources import driver_tables as D
 from . import base as B
 from .registry import cte, query
@@ -158,6 +159,18 @@ def top_product_codes(spark, sf_dir):
     return clean.top_codes(B.cleaned(spark, sf_dir, "part"), CleanParams().top_k)
 
 
+@query(
+    "T1",
+    f"""SELECT "StockCode", count("Quantity") AS n_lines FROM clean_part GROUP BY "StockCode"
+        ORDER BY n_lines DESC, {code_order('"StockCode"')} LIMIT 20""",
+)
+def top_codes_from_sketches(spark, sf_dir):
+    """The same from daily sketches on storage; exact counts of their candidates decide."""
+    lines = B.cleaned(spark, sf_dir, "part")
+    stored = write_once(sketches.daily_sketches(lines), "daily-sketches")
+    return sketches.top_codes_of_days(stored, lines, CleanParams().top_k)
+
+
 @query(
     "J1",
     f"""SELECT "Invoice", "StockCode", {rnd('"Quantity"')} AS "Quantity", {rnd('"Price"')} AS "Price", "Date"
@@ -211,6 +224,24 @@ def price_elasticity(spark, sf_dir):
     return B.rounded(demand.fit_elasticity(dense))
 
 
+@query(
+    "A2, A3, A5",
+    f"""SELECT "StockCode", {rnd('elasticity')} AS elasticity, {rnd('base_price')} AS base_price,
+        {rnd('base_demand')} AS base_demand, n_points,
+        n_points >= 10 AND (flat < -5e0 OR flat > -0.1e0) AS clipped FROM fits_supplier""",
+)
+def incremental_price_elasticity(spark, sf_dir):
+    """The same fit for suppliers, brought up to date three times as years of days come in."""
+    path = fresh_path(spark, "fit-state")
+    days = write_once(B.daily(spark, sf_dir), "daily")
+    year = F.year("Date")
+    low, high = days.agg(F.min(year), F.max(year)).first()
+    cuts = [low + (high - low + 1) * i // 3 for i in range(4)]
+    for begin, end in zip(cuts, cuts[1:]):
+        incremental.update_fits(days.filter((year >= begin) & (year < end)), path)
+    return B.rounded(incremental.current_fits(spark, path))
+
+
 @query("A6", "SELECT * FROM fitted_part")
 def fitted_product_catalogue(spark, sf_dir):
     return B.fitted(spark, sf_dir, "part")

@@ -138,6 +138,21 @@ def training_minibatch(spark, sf_dir):
     return B.rounded(L.minibatch(rows, number, F.col("episode"), F.col("step"), 128, seed=1).drop("policy"))
 
 
+@query(
+    "L2",
+    f"""SELECT product_id, episode, step, state, action, {rnd('reward')} AS reward, next_state, done FROM moves
+        QUALIFY row_number() OVER (PARTITION BY product_id
+            ORDER BY {mixed_hash('product_id', 'episode', 'step', 1)}, episode, step) <= 64""",
+)
+def product_minibatches(spark, sf_dir):
+    """A batch of 64 transitions of every product, fed in two parts: the kept sample of the first with the rows of the second."""
+    rows = _stored_moves(spark, sf_dir).drop("policy")
+    number = product_number(F.col("product_id"))
+    sample = [number, F.col("episode"), F.col("step"), 64, 1]
+    kept = L.kept_samples(rows.filter("episode % 2 = 0"), ["product_id"], *sample)
+    return B.rounded(L.kept_samples(kept.unionByName(rows.filter("episode % 2 = 1")), ["product_id"], *sample))
+
+
 @query(
     "L3",
     f"""SELECT CAST(i AS INTEGER) AS iteration, CAST(s AS INTEGER) AS slot, p.product_id

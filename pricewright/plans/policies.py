@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import catalogue as C
 from ..operators import evaluate as E
 from ..operators import episodes as episodes_
-from ..operators import features, policies
+from ..operators import features, policies, stateful
 from ..operators import intervals as I
 from ..operators.ledger import stock_ledger as stock_ledger_of
 from ..operators.ledger_scan import stock_ledger_scan
@@ -142,9 +142,7 @@ def open_loop_policy_actions(spark, sf_dir):
     return policies.planned_levels(B.catalogue(spark, sf_dir), chosen, B.EPISODES, P)
 
 
-@query(
-    "R8",
-    """WITH RECURSIVE g AS (
+RULE = """WITH RECURSIVE g AS (
          SELECT product_id, episode, -1 AS step, 5 AS action FROM run WHERE step = 0
          UNION ALL
          SELECT g.product_id, g.episode, g.step + 1,
@@ -152,12 +150,21 @@ def open_loop_policy_actions(spark, sf_dir):
                      WHEN r.trend_before < -0.1e0 THEN greatest(g.action - 1, 0) ELSE g.action END
          FROM g JOIN run r ON r.product_id = g.product_id AND r.episode = g.episode
                           AND r.step = g.step + 1)
-       SELECT product_id, episode, step, action FROM g WHERE step >= 0""",
-)
+       SELECT product_id, episode, step, action FROM g WHERE step >= 0"""
+
+
+@query("R8", RULE)
 def rule_policy_actions(spark, sf_dir):
     return policies.rule_levels(steps_of(spark, sf_dir), ["product_id", "episode"], "step", "trend_before", P)
 
 
+@query("P1, R8", RULE)
+def stateful_policy_levels(spark, sf_dir):
+    """The rule of thumb as an external policy that remembers its last level."""
+    steps = steps_of(spark, sf_dir).select("product_id", "episode", "step", "trend_before")
+    return stateful.stateful_levels(steps, ["product_id", "episode"], "step", stateful.rule_policy(P))
+
+
 STEP = f"""product_id, policy, episode, start, step, action, {rnd('price')} AS price, {rnd('demand')} AS demand,
     units_sold, lost_units, {rnd('revenue')} AS revenue, {rnd('raw_reward')} AS raw_reward, {rnd('reward')} AS reward,
     inventory_before, inventory, {rnd('trend_before')} AS trend_before, {rnd('trend')} AS trend"""
