@@ -188,6 +188,52 @@ def fitted_q(
     return q
 
 
+def converged_q(
+    rows: DataFrame, keys: list[str], learn: LearnParams = LearnParams(), tolerance: float = 1e-6, most: int = 1000
+) -> tuple[DataFrame, list[tuple[int, float]]]:
+    """Sweeps until no cell moves by more than ``tolerance``, and for each the number of transitions it read and the largest move.
+
+    A cell's target changes only if the value of a state its transitions lead to has changed.  A table of
+    predecessors, cells by the states they lead to, names the cells to sweep again, so transitions of settled cells
+    are not read.  With ``tolerance`` 0 the result after n sweeps is that of n sweeps over everything.  The driver
+    sees two numbers a sweep.
+    """
+    cell = [*keys, "state", "action"]
+    stored = rows.select(*cell, "reward", "next_state", "done")
+    if not reads_files(stored):
+        stored = write_once(stored, "transitions")
+    leads = write_once(stored.filter(~F.col("done")).select(*cell, "next_state").distinct(), "predecessors")
+    q = write_once(sweep(stored, None, keys, learn), "q-table")
+    log = [(stored.count(), q.agg(F.max(F.abs("q"))).first()[0] or 0.0)]
+    values = q.groupBy(*keys, "state").agg(F.max("q").alias("value"))
+    moved = values.filter(F.abs("value") > tolerance).select(*keys, F.col("state").alias("next_state"))
+    while len(log) < most:
+        open_cells = write_once(leads.join(moved, [*keys, "next_state"], "left_semi").select(cell).distinct(), "open-cells")
+        some = stored.join(open_cells, cell, "left_semi")
+        fresh = write_once(_swept(some, q, keys, learn), "swept")
+        joined = write_once(
+            q.withColumnRenamed("q", "_old").join(fresh, cell, "left").select(*cell, "_old", F.coalesce("q", "_old").alias("q"), "_n"), "q-moves"
+        )
+        n, move = joined.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max(F.abs(F.col("q") - F.col("_old"))), F.lit(0.0))).first()
+        if not n:
+            break
+        log.append((n, move))
+        change = joined.groupBy(*keys, "state").agg(F.max("_old").alias("before"), F.max("q").alias("after"))
+        moved = change.filter(F.abs(F.col("after") - F.col("before")) > tolerance).select(*keys, F.col("state").alias("next_state"))
+        q = joined.select(*cell, "q")
+        if move <= tolerance:
+            break
+    return q, log
+
+
+def _swept(rows: DataFrame, q: DataFrame, keys: list[str], learn: LearnParams) -> DataFrame:
+    """Mean target of each cell of ``rows`` against ``q``, and how many transitions it has."""
+    values = q.groupBy(*keys, F.col("state").alias("next_state")).agg(F.max("q").alias("next_value"))
+    valued = rows.join(values, [*keys, "next_state"], "left")
+    target = td_target(F.col("reward"), F.coalesce("next_value", F.lit(0.0)), F.col("done"), learn.gamma, learn.target_clamp)
+    return valued.groupBy(*keys, "state", "action").agg(F.avg(target).alias("q"), F.count("*").alias("_n"))
+
+
 def pooled_prior(q: DataFrame, key: str = "product_id") -> DataFrame:
     """For each product the mean Q of all other products, cell by cell.
 

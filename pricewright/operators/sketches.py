@@ -37,7 +37,8 @@ def top_codes_of_days(sketches: DataFrame, lines: DataFrame, k: int = 20, tracke
     ``lines`` are those of the same days.  Only lines of candidates are counted, unless a code that is no candidate might
     still belong among the first ``k``: then all are.
     """
-    merged = sketches.agg(F.sum("n_lines").alias("n"), F.expr(f"approx_top_k_combine(codes, {tracked})").alias("codes"))
+    # Grouped by a constant, since the sketch cannot be made of no rows at all.
+    merged = sketches.groupBy(F.lit(1).alias("all")).agg(F.sum("n_lines").alias("n"), F.expr(f"approx_top_k_combine(codes, {tracked})").alias("codes"))
     named = merged.select("n", F.explode(F.expr(f"approx_top_k_estimate(codes, {tracked})")).alias("c")).select("n", "c.item", "c.count")
     # At most ``tracked`` rows.
     found = named.collect()

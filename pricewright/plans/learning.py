@@ -217,6 +217,23 @@ def fitted_q_per_product(spark, sf_dir):
     return B.rounded(L.fitted_q(_moves(spark, sf_dir), ["product_id"], sweeps=2))
 
 
+for _n in (3, 4):
+    cte(f"v{_n - 1}", f"SELECT product_id, state AS next_state, max(q) AS next_value FROM q{_n - 1} GROUP BY product_id, state")
+    cte(
+        f"q{_n}",
+        f"""
+        SELECT m.product_id, m.state, m.action, avg({_target('coalesce(next_value, 0e0)')}) AS q
+        FROM moves m LEFT JOIN v{_n - 1} v ON v.product_id = m.product_id AND v.next_state = m.next_state
+        GROUP BY m.product_id, m.state, m.action""",
+    )
+
+
+@query("L6", f"SELECT product_id, state, action, {rnd('q')} AS q FROM q4")
+def swept_q_per_product(spark, sf_dir):
+    """Four sweeps that read only the transitions of cells whose targets can have moved."""
+    return B.rounded(L.converged_q(_moves(spark, sf_dir), ["product_id"], tolerance=0.0, most=4)[0])
+
+
 @query("L7", f"SELECT product_id, state, action, {rnd('q')} AS q FROM prior")
 def prior_of_other_products(spark, sf_dir):
     return B.rounded(L.pooled_prior(L.fitted_q(_moves(spark, sf_dir), ["product_id"], sweeps=1)))

@@ -89,6 +89,17 @@ def read_series_csv(spark: SparkSession, directory: str) -> DataFrame:
     return raw.select(own.alias("product_id"), "*").filter("product_id is not null")
 
 
+def find_series_csv(spark: SparkSession, directory: str, product_id) -> DataFrame:
+    """Series of one product among ``<id>_timeseries.csv``; no other product's file is read."""
+    name = f"{product_id}{SERIES_SUFFIX}"
+    reader = spark.read.option("header", True)
+    if path_exists(spark, f"{directory}/{name}"):
+        exact = re.sub(r"[\\{}\[\]*?]", r"\\\g<0>", f"{directory}/{name}")
+        return reader.schema(SERIES_SCHEMA).csv(exact)
+    schema = T.StructType([*SERIES_SCHEMA.fields, T.StructField(_FILE, T.StringType())])
+    return reader.schema(schema).csv(directory).filter(F.col(_FILE) == name).drop(_FILE)
+
+
 def write_series_csv(series: DataFrame, directory: str) -> None:
     """Series as CSV, a folder per product named ``<id>_timeseries.csv``, for readers that go by file name.
 
