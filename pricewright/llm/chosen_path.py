@@ -64,12 +64,21 @@ def shingle_sets(texts: list[str | None], width: int):
 
 
 def signature(shingles: np.ndarray) -> tuple[bytes, bytes]:
-    """Of the minwise token of each hash function sixteen bits, to choose paths by, and eight, to compare by."""
+    """Of the minwise token of each hash function sixteen bits, to choose paths by, and two, to compare by."""
     least = np.full(TOKENS, np.iinfo(np.uint64).max)
     for part in range(0, len(shingles), 4096):
         np.minimum(least, (shingles[part : part + 4096, None] * _MULTIPLIERS).min(0), out=least)
     tokens = mixed(least)
-    return (tokens >> np.uint64(48)).astype("<u2").tobytes(), (tokens & np.uint64(255)).astype(np.uint8).tobytes()
+    return (tokens >> np.uint64(48)).astype("<u2").tobytes(), _folded((tokens & np.uint64(3)).astype(np.uint8)).tobytes()
+
+
+def _folded(pairs: np.ndarray) -> np.ndarray:
+    """Four numbers of two bits in each byte."""
+    return pairs[0::4] | pairs[1::4] << 2 | pairs[2::4] << 4 | pairs[3::4] << 6
+
+
+# How many of the four numbers in a byte are zero.
+_ZEROS = np.array([sum(not x >> k & 3 for k in (0, 2, 4, 6)) for x in range(256)], np.uint8)
 
 
 def digest_of(shingles: np.ndarray) -> bytes:
@@ -156,8 +165,9 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def _least_alike(threshold: float) -> int:
-    """Equal tokens that a pair at the threshold falls short of once in three million times."""
-    return int(TOKENS * threshold - 5 * (TOKENS * threshold * (1 - threshold)) ** 0.5)
+    """Equal marks that a pair at the threshold falls short of once in three million times; one in four unequal tokens has equal marks."""
+    equal = threshold + (1 - threshold) / 4
+    return int(TOKENS * equal - 5 * (TOKENS * equal * (1 - equal)) ** 0.5)
 
 
 def _compared(cells: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -169,7 +179,7 @@ def _compared(cells: DataFrame, classes: DataFrame, threshold: float) -> DataFra
         starts = np.flatnonzero(np.concatenate([[True], numbers[1:] != numbers[:-1]]))
         ends = np.append(starts[1:], len(numbers))
         ids, sizes = table.column("rep").to_numpy(), table.column("n_shingles").to_numpy()
-        signs = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(-1, TOKENS)
+        signs = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(-1, TOKENS // 4)
         lefts, rights, alikes = [], [], []
         for gap in range(1, int((ends - starts).max())):  # the rows `gap` apart in all cells at once
             left = np.concatenate([np.arange(s, e - gap) for s, e in zip(starts, ends) if e - s > gap])
@@ -177,7 +187,7 @@ def _compared(cells: DataFrame, classes: DataFrame, threshold: float) -> DataFra
             small, big = np.minimum(sizes[left], sizes[right]), np.maximum(sizes[left], sizes[right])
             fits = small >= threshold * big
             left, right = left[fits], right[fits]
-            alike = (signs[left] == signs[right]).sum(1)
+            alike = _ZEROS[signs[left] ^ signs[right]].sum(1, dtype=np.int32)
             some = alike >= need
             lefts.append(ids[left[some]])
             rights.append(ids[right[some]])
@@ -214,7 +224,7 @@ def _compared(cells: DataFrame, classes: DataFrame, threshold: float) -> DataFra
 
 def _packed(texts: list[str | None]) -> list[bytes]:
     """Texts as they travel: a third of the size of their shingle hashes."""
-    pack = zstandard.ZstdCompressor(level=1).compress
+    pack = zstandard.ZstdCompressor(level=3).compress
     return [pack((t or "").encode("utf-8", "surrogatepass")) for t in texts]
 
 
