@@ -105,3 +105,64 @@ def mix_targets(sizes, weights=(1, 2, 3), most=3):
         if not above:
             return target
         full |= above
+
+
+def languages(rows, pieces, folds=4, fold=2, start="▁", smooth=0.1):
+    """(lang_pred, score) of each (id, text, lang), by dictionaries: one step from equal weights, then all segmentations summed."""
+    known = set(pieces)
+    size = len(known) + 1
+
+    def arcs(word):
+        marked = start + word
+        for a in range(len(marked)):
+            for b in range(a + 1, len(marked) + 1):
+                piece = marked[a:b]
+                if piece in known:
+                    yield a, b, piece
+                elif b == a + 1:
+                    yield a, b, None
+
+    def forward(word, odds):
+        sums = [1.0] + [0.0] * (len(word) + 1)
+        for a, b, piece in arcs(word):
+            sums[b] += sums[a] * odds(piece)
+        return sums
+
+    def found(text):
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        return [w for w in ("".join(c for c in w if c.isalpha()) for w in words) if w]
+
+    uses, shares = defaultdict(Counter), Counter()
+    words_of = defaultdict(Counter)
+    for doc_id, text, lang in rows:
+        if lang is not None and not held_out(doc_id, folds, fold):
+            shares[lang] += 1
+            words_of[lang].update(found(text))
+    equal = 1 / size
+    for lang, counts in words_of.items():
+        for word, n in counts.items():
+            ahead, spans = forward(word, lambda piece: equal), list(arcs(word))
+            behind = [0.0] * (len(word) + 1) + [1.0]
+            for a, b, _ in reversed(spans):
+                behind[a] += equal * behind[b]
+            for a, b, piece in spans:
+                uses[lang][piece] += n * ahead[a] * equal * behind[b] / ahead[-1]
+    langs = sorted(shares)
+    totals = {g: sum(uses[g].values()) + smooth * size for g in langs}
+    seen, out = {}, []
+    for _, text, _ in rows:
+        words = found(text)
+        if not words or not langs:
+            out.append(("und", 0.0))
+            continue
+        logs = []
+        for g in langs:
+            log = math.log(shares[g] / sum(shares.values()))
+            for w in words:
+                if (g, w) not in seen:
+                    seen[g, w] = math.log(forward(w, lambda piece, g=g: (uses[g][piece] + smooth) / totals[g])[-1])
+                log += seen[g, w]
+            logs.append(log)
+        best = max(range(len(langs)), key=lambda i: logs[i])
+        out.append((langs[best], 1 / sum(math.exp(x - logs[best]) for x in logs)))
+    return out

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import plain
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -194,6 +195,15 @@ def test_language_held_out_accuracy(spark):
     assert n > 150 and right >= 0.98 * n
 
 
+def test_language_as_a_plain_version_learns_and_predicts(spark, small_dir, odd_docs):
+    """Training and prediction as a whole, on a table and on odd texts."""
+    frame = spark.read.parquet(f"{small_dir}/documents.parquet").select("doc_id", "text", "lang")
+    for docs in (frame, frame.unionByName(odd_docs.select("doc_id", "text", "lang").where("length(text) < 1000 or text is null"))):
+        rows = [tuple(r) for r in docs.collect()]
+        want = Counter((i, lang, round(score, 6)) for (i, *_), (lang, score) in zip(rows, plain.languages(rows, language.pieces(PIECES).texts)))
+        assert Counter((r.doc_id, r.lang_pred, round(r.score, 6)) for r in language.identify(docs, PIECES).collect()) == want
+
+
 def test_language_of_odd_texts(odd_docs, no_docs):
     got = {(r.doc_id, r.held_out): r for r in language.identify(odd_docs, PIECES).collect()}
     for i in (2, 3, 4, 9):
