@@ -97,3 +97,11 @@ def test_scan_reads_only_what_is_needed(spark, small_dir):
     plan = plans.QUERIES["daily_product_demand"](spark, small_dir)._jdf.queryExecution().executedPlan().toString()
     scan = plan[plan.index("FileScan") :]
     assert "l_discount" not in scan and "l_tax" not in scan and "GreaterThan(l_quantity,0.0)" in scan
+
+
+@pytest.mark.parametrize(
+    "name", ["demand_trend", "price_momentum", "previous_price", "clipped_price_walk", "logged_episode_steps", "policy_leaderboard", "ten_feature_table_of_log"]
+)
+def test_lines_are_scanned_once(spark, small_dir, name):
+    plan = plans.QUERIES[name](spark, small_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1
