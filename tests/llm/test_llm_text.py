@@ -366,3 +366,18 @@ def test_packing_deals_nameless_copies_over_groups(spark):
     packed = packing.pack(docs, tokens.tokenizer_path("word_bpe_49k.json"), group_docs=1000)
     sizes = [r["count"] for r in packed.groupBy((F.col("sequence_id") / packing._BINS).cast("int").alias("g")).count().collect()]
     assert len(sizes) == 9 and max(sizes) < 1200 and sum(sizes) == 9000
+
+
+def test_new_cuttings_encoded_together(monkeypatch):
+    """Words, marks, figures, line ends and odd letters, more than go into one call, against the library on whole texts."""
+    monkeypatch.setattr(tokens, "TOGETHER", 64)
+    rng = np.random.default_rng(4)
+    letters = ["a", "b", "é", "ß", "日", "ź", "​", "'s", "9", "½", "#", "...", "\n", "\t", "_", "ﷺ"]
+    texts = [" ".join("".join(rng.choice(letters, rng.integers(1, 9))) for _ in range(40)) for _ in range(60)]
+    texts += ["", " lead", "tail ", "two  blanks", "x\x00y z", "<|endoftext|> <|endoftext|>a"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        bpe = tokens.Encoder(tokens.tokenizer_path(name), known=100)
+        for _ in range(2):  # with and without what is remembered
+            ids, lengths = bpe.encode(texts)
+            for text, end, n in zip(texts, np.cumsum(lengths), lengths):
+                assert ids[end - n : end].tolist() == bpe.tokenizer.encode(text, add_special_tokens=False).ids, text
