@@ -141,13 +141,50 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query()
+@query(
+    """
+WITH RECURSIVE usable AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM usable a
+    JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.vec) = len(b.vec)
+    WHERE list_inner_product(a.vec, b.vec)
+          >= 0.93::DOUBLE * sqrt(list_inner_product(a.vec, a.vec) * list_inner_product(b.vec, b.vec))),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least_of AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(c.b, vec_id)) AS component_id,
+       vec_id <= coalesce(c.b, vec_id) AS kept
+FROM embeddings LEFT JOIN degrees d ON d.a = vec_id LEFT JOIN least_of c ON c.a = vec_id
+"""
+)
 def op3_hamming_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector."""
     return embeddings.duplicates(table(spark, sf_dir, "embeddings"))
 
 
-@query()
+@query(
+    rf"""
+WITH RECURSIVE cut AS (
+    SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+held AS (
+    SELECT doc_id, list_distinct(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])
+                                      ELSE w END) AS shingles
+    FROM cut),
+flat AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM held),
+links AS (
+    SELECT x.doc_id AS a, y.doc_id AS b FROM flat x JOIN flat y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+    GROUP BY x.doc_id, y.doc_id HAVING 100 * count(*) >= 80 * (any_value(x.n) + any_value(y.n) - count(*))),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least_of AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT doc_id, len(shingles)::BIGINT AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id,
+       doc_id <= coalesce(b, doc_id) AS kept
+FROM held LEFT JOIN least_of ON a = doc_id
+"""
+)
 def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of near copies of every whole text, by pairs of words."""
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
