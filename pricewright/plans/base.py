@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import half_up
 from ..operators import clean, demand
 from ..params import EpisodeParams
+from ..session import tasks_for
 from ..sources import driver_tables as D
 
 # Small enough for stock-outs to happen on the test tables.
@@ -46,8 +47,17 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The series with the catalogue's figures on each day, from one scan of the lines."""
-    return D.described_catalogue(demand.priced_series(daily(spark, sf_dir)), spark, sf_dir)
+    """The series with the catalogue's figures on each day, from one scan of the lines.
+
+    Days are dealt by product over a number of tasks that follows the lines; fit, ledger and histories keep that dealing.
+    """
+    days = daily(spark, sf_dir).repartition(tasks(spark, sf_dir), "StockCode")
+    return D.described_catalogue(demand.priced_series(days), spark, sf_dir)
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> int:
+    """How many tasks hold the daily table, which has no more rows than there are lines."""
+    return tasks_for(lines(spark, sf_dir))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
