@@ -1,4 +1,4 @@
-"""External policies that remember: a table function with state per episode.
+"""External policies that remember: a state per episode.
 
 A model that carries something from step to step (an estimate, a hidden state, its last level) cannot be a column function.  Here
 Spark deals the steps by episode and orders them, and one policy object sees one episode.
@@ -6,11 +6,11 @@ Spark deals the steps by episode and orders them, and one policy object sees one
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
-from pyspark.sql import functions as F
 
 from ..params import EpisodeParams
 
@@ -42,23 +42,28 @@ def rule_policy(params: EpisodeParams = EpisodeParams(), trend: str = "trend_bef
     return lambda: CautiousStep(levels, threshold, trend)
 
 
-def stateful_levels(steps: DataFrame, keys: list[str], order: str, make: Callable[[], Policy]) -> DataFrame:
+def stateful_levels(steps: DataFrame, keys: list[str], order: str, make: Callable[[], Policy], partitions: int | None = None) -> DataFrame:
     """``keys, order, action``: the level that a policy made by ``make`` chooses at every step.
 
-    ``keys`` name an episode.  Rows travel in Arrow batches; a task holds one policy at a time.
+    ``keys`` name an episode.  Steps are dealt by episode, over ``partitions`` tasks if given, and sorted; a batch of rows
+    holds many episodes or a part of one, and a task holds one policy at a time.
     """
     types = dict(steps.dtypes)
     shown = [*keys, order]
     ddl = ", ".join(f"`{c}` {types[c]}" for c in shown) + ", action int"
-
-    class Play:
-        def __init__(self):
-            self.policy = None
-
-        def eval(self, row: Row):
-            if self.policy is None:
-                self.policy = make()
-            yield (*[row[c] for c in shown], int(self.policy.act(row)))
-
-    play = F.udtf(Play, returnType=ddl, useArrow=True)
-    return play(steps.asTable().partitionBy(*keys).orderBy(order))
+    names = steps.columns
+
+    def play(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, last, policy = Row(*names), None, None
+        for batch in batches:
+            episodes = zip(*(batch.column(c).to_pylist() for c in keys))
+            steps_ = zip(*(column.to_pylist() for column in batch.columns))
+            levels = []
+            for episode, values in zip(episodes, steps_):
+                if policy is None or episode != last:
+                    policy, last = make(), episode
+                levels.append(int(policy.act(row(*values))))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in shown), pa.array(levels, pa.int32())], [*shown, "action"])
+
+    dealt = steps.repartition(*keys) if partitions is None else steps.repartition(partitions, *keys)
+    return dealt.sortWithinPartitions(*shown).mapInArrow(play, ddl)

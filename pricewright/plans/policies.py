@@ -162,7 +162,7 @@ def rule_policy_actions(spark, sf_dir):
 def stateful_policy_levels(spark, sf_dir):
     """The rule of thumb as an external policy that remembers its last level."""
     steps = steps_of(spark, sf_dir).select("product_id", "episode", "step", "trend_before")
-    return stateful.stateful_levels(steps, ["product_id", "episode"], "step", stateful.rule_policy(P))
+    return stateful.stateful_levels(steps, ["product_id", "episode"], "step", stateful.rule_policy(P), B.tasks(spark, sf_dir))
 
 
 STEP = f"""product_id, policy, episode, start, step, action, {rnd('price')} AS price, {rnd('demand')} AS demand,

@@ -25,3 +25,24 @@ def test_logged_days_are_dealt_over_as_many_tasks_as_their_rows_need(spark, smal
     monkeypatch.setattr(base, "tasks_for", lambda lines: 37)
     assert "hashpartitioning(StockCode" in plan_of(plans.QUERIES[name](spark, small_dir))
     assert ", 37), REPARTITION_BY_NUM" in plan_of(plans.QUERIES[name](spark, small_dir))
+
+
+def test_a_batch_of_rows_holds_many_episodes_of_a_stateful_policy(spark):
+    from pricewright.operators import stateful
+
+    def make():
+        class Memory:
+            def __init__(self):
+                self.rows = []
+
+            def act(self, step):
+                self.rows.append((step["n"], step.n, step[3]))
+                return len(self.rows)
+
+        return Memory()
+
+    rows = [(None if e == 3 else str(e), s, "x", 1.5) for e in range(200) for s in reversed(range(3))]
+    steps = spark.createDataFrame(rows, "e string, s int, other string, n double")
+    chosen = stateful.stateful_levels(steps, ["e"], "s", make, partitions=2)
+    assert "MapInArrow" in plan_of(chosen)
+    assert sorted((r.e or "", r.s, r.action) for r in chosen.collect()) == sorted((e or "", s, s + 1) for e, s, _, _ in rows)
