@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Two primes below 2**31 that leave 2 when divided by 3, so cubing permutes the numbers below
@@ -58,8 +58,34 @@ def mixed_hash(product_no: Column, episode: Column, step: Column, seed: int = 0)
 
 def mixed_unit(product_no: Column, episode: Column, step: Column, seed: int = 0) -> Column:
     """Repeatable number in ``[0, 1)``."""
+    return _unit(mixed_hash(product_no, episode, step, seed))
+
+
+def _unit(drawn: Column) -> Column:
     # Half a unit in the last place short of 1 would round up to it.
-    return F.least(mixed_hash(product_no, episode, step, seed) / F.lit(float(HASH_RANGE)), F.lit(1.0 - 2.0**-53))
+    return F.least(drawn / F.lit(float(HASH_RANGE)), F.lit(1.0 - 2.0**-53))
+
+
+def with_episode_hash(df: DataFrame, product_no: Column, episode: Column, seed: int = 0) -> DataFrame:
+    """Columns ``_part0, _part1``: what ``mixed_hash`` makes of product, episode and seed, for ``with_step_unit`` to finish."""
+    df = df.withColumns({"_number": product_no.cast("bigint"), "_episode": episode.cast("bigint")})
+    parts = {}
+    for i, (prime, (of_product, of_episode, _, of_seed)) in enumerate(HASH_ROUNDS):
+        folded = F.pmod(F.col("_number"), F.lit(prime)) * F.lit(of_product) + F.pmod(F.col("_episode"), F.lit(prime)) * F.lit(of_episode)
+        parts[f"_part{i}"] = F.pmod(folded + F.lit((seed + 1) * of_seed % prime), F.lit(prime))
+    return df.withColumns(parts).drop("_number", "_episode")
+
+
+def with_step_unit(df: DataFrame, step: Column, name: str) -> DataFrame:
+    """Column ``name``: ``mixed_unit`` of what ``with_episode_hash`` was given and ``step``, each part worked out once a row."""
+    primes = [prime for prime, _ in HASH_ROUNDS]
+    df = df.withColumn("_step", step.cast("bigint"))
+    folded = {}
+    for i, (prime, (_, _, of_step, _)) in enumerate(HASH_ROUNDS):
+        folded[f"_part{i}"] = F.pmod(F.col(f"_part{i}") + F.pmod(F.col("_step"), F.lit(prime)) * F.lit(of_step), F.lit(prime))
+    df = df.withColumns(folded)
+    cubes = [F.pmod(F.pmod(F.col(f"_part{i}") * F.col(f"_part{i}"), F.lit(p)) * F.col(f"_part{i}"), F.lit(p)) for i, p in enumerate(primes)]
+    return df.withColumn(name, _unit(cubes[0] * F.lit(1 << 31) + cubes[1])).drop("_step", "_part0", "_part1")
 
 
 def let(value: Column, like: Column, body) -> Column:

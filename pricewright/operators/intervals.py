@@ -13,25 +13,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.numbers import mixed_unit, product_number
+from ..functions.numbers import mixed_unit, product_number, with_episode_hash, with_step_unit
 
 REPLICATES = 100
 # Odds of at most 0, 1, 2, ... for a mean of one; a weight stops at their number.
 POISSON = tuple(round(sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)), 9) for n in range(8))
 
 
+def weight_at(u: Column) -> Column:
+    """How often an episode counts whose draw is ``u``."""
+    return sum((F.when(u >= limit, 1).otherwise(0) for limit in POISSON[1:]), F.when(u >= POISSON[0], 1).otherwise(0))
+
+
 def weight(product_id: Column, episode: Column, replicate: Column, seed: int = 17) -> Column:
     """How often an episode counts in a replicate."""
-    u = mixed_unit(product_number(product_id), episode, replicate, seed)
-    return sum((F.when(u >= limit, 1).otherwise(0) for limit in POISSON[1:]), F.when(u >= POISSON[0], 1).otherwise(0))
+    return weight_at(mixed_unit(product_number(product_id), episode, replicate, seed))
 
 
 def replicated_means(totals: DataFrame, replicates: int = REPLICATES, seed: int = 17, value: str = "total_reward") -> DataFrame:
-    """``policy, product_id, replicate, mean``; no row where a replicate drew none of a product's episodes."""
+    """``policy, product_id, replicate, mean``; no row where a replicate drew none of a product's episodes.
+
+    The weights are those of ``weight``, worked out in steps that each are a column: what depends on the episode alone
+    once for all its replicates, and no part twice.  Episodes of weight zero fall out of the sums, not by a filter, which
+    would work the weights out once more.
+    """
     rows = totals.select("policy", "product_id", "episode", F.col(value).alias("value"))
-    drawn = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    drawn = drawn.withColumn("w", weight(F.col("product_id"), F.col("episode"), F.col("replicate"), seed)).filter("w > 0")
-    return drawn.groupBy("policy", "product_id", "replicate").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("mean"))
+    drawn = with_episode_hash(rows, product_number(F.col("product_id")), F.col("episode"), seed)
+    drawn = drawn.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    drawn = with_step_unit(drawn, F.col("replicate"), "_u").withColumn("_w", weight_at(F.col("_u")))
+    sums = drawn.groupBy("policy", "product_id", "replicate").agg(
+        F.sum(F.when(F.col("_w") > 0, F.col("_w") * F.col("value"))).alias("_values"), F.sum("_w").alias("_weights")
+    )
+    return sums.filter("_weights > 0").select("policy", "product_id", "replicate", (F.col("_values") / F.col("_weights")).alias("mean"))
 
 
 def _ends(means: Column, share: float) -> list[Column]:

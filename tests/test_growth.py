@@ -46,3 +46,16 @@ def test_a_batch_of_rows_holds_many_episodes_of_a_stateful_policy(spark):
     chosen = stateful.stateful_levels(steps, ["e"], "s", make, partitions=2)
     assert "MapInArrow" in plan_of(chosen)
     assert sorted((r.e or "", r.s, r.action) for r in chosen.collect()) == sorted((e or "", s, s + 1) for e, s, _, _ in rows)
+
+
+def test_bootstrap_works_out_the_weights_of_a_row_once(spark):
+    from pricewright.functions.numbers import mixed_unit, product_number, with_episode_hash, with_step_unit
+    from pricewright.operators import intervals
+
+    rows = [("x", str(p), e, float(p - e)) for p in range(5) for e in range(4)] + [("x", None, 0, 1.0), ("y", "7", None, 1.0), ("y", "c", -3, None)]
+    totals = spark.createDataFrame(rows, "policy string, product_id string, episode int, total_reward double")
+    optimized = intervals.replicated_means(totals)._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("crc32(") == 1
+    both = with_episode_hash(totals, product_number(F.col("product_id")), F.col("episode"), 17).withColumn("r", F.explode(F.array(*map(F.lit, range(9)))))
+    both = with_step_unit(both, F.col("r"), "u").withColumn("v", mixed_unit(product_number(F.col("product_id")), F.col("episode"), F.col("r"), 17))
+    assert both.filter("not u <=> v").count() == 0 and both.filter("u is not null").count() > 100
