@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import write_once
 from . import versions
 
 CATALOGUE_SCHEMA = T.StructType(
@@ -135,26 +136,35 @@ def _bucket(product_id: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(product_id), F.lit(buckets)).cast("int")
 
 
-def save_products(catalogue: DataFrame, series: DataFrame, directory: str, buckets: int | None = None) -> dict:
+def save_products(
+    catalogue: DataFrame, series: DataFrame, directory: str, buckets: int | None = None, unfolded: tuple[DataFrame, Callable] | None = None
+) -> dict:
     """Write catalogue and series as a new version of the dataset and return its manifest.
 
     One folder per product would mean as many folders as products, so series are
     laid out in hash folders, sorted by product and date inside; a lookup prunes by folder and
     by parquet statistics.  Their number follows the number of rows unless it is given, and is stored
     in the manifest, which is written last.  A product has a row per day at most, so no folder is hot.
+
+    ``unfolded`` are products whose series a function of them makes row by row: the products are dealt over the folders
+    and their days made there, so that these are never shuffled, and a task sorts about one folder.
     """
     spark = series.sparkSession
 
+    def lay_out(days: DataFrame, used: int) -> DataFrame:
+        return days.select("product_id", *SERIES_SCHEMA.names).withColumn("bucket", _bucket(F.col("product_id"), used))
+
+    def put(days: DataFrame, folder: str) -> None:
+        in_order = days.sortWithinPartitions("bucket", "product_id", "date")
+        in_order.write.mode("append").partitionBy("bucket").option("compression", "zstd").parquet(f"{folder}/{SERIES_DIR}")
+
     def write(folder: str) -> dict:
-        rows = series.count()
+        products, unfold = unfolded or (None, None)
+        rows = series.count() + (unfold(products).count() if unfolded else 0)
         used = max(1, -(-rows // ROWS_PER_BUCKET)) if buckets is None else buckets
-        laid_out = series.select("product_id", *SERIES_SCHEMA.names).withColumn("bucket", _bucket(F.col("product_id"), used))
-        (
-            laid_out.repartition("bucket")
-            .sortWithinPartitions("bucket", "product_id", "date")
-            .write.partitionBy("bucket")
-            .parquet(f"{folder}/{SERIES_DIR}")
-        )
+        put(lay_out(series, used).repartition("bucket"), folder)
+        if unfolded:
+            put(lay_out(unfold(products.repartitionByRange(used, _bucket(F.col("product_id"), used))), used), folder)
         at = F.concat(F.lit(f"{folder}/{SERIES_DIR}/bucket="), _bucket(F.col("product_id"), used).cast("string"))
         catalogue.withColumn("timeseries_file", at).withColumnRenamed("product_id", "id").write.json(f"{folder}/{CATALOGUE_DIR}")
         return {"buckets": used, "rows": rows}
@@ -182,10 +192,12 @@ def load_products(spark: SparkSession, directory: str, strict: bool = True) -> t
     else:
         catalogue = read_catalogue(spark, f"{directory}/{CATALOGUE_DIR}")
         series = read_series_csv(spark, directory)
-    known = series.select("product_id").distinct()
+    known = write_once(series.select("product_id").distinct(), "known-products")
     _check_series(catalogue, known, strict)
     if not strict:
         catalogue = catalogue.join(known, "product_id", "left_semi")
+    if known.join(catalogue.select("product_id"), "product_id", "left_anti").isEmpty():
+        return catalogue, series  # nothing to leave out, so no join that would shuffle every day
     return catalogue, series.join(catalogue.select("product_id"), "product_id", "left_semi")
 
 

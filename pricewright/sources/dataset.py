@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ FIRST_DAY = "2020-01-01"
 N_DAYS = 1095
 
 
-def build_dataset(
+def dataset_parts(
     transactions: DataFrame,
     templates: DataFrame,
     order: list[Column],
@@ -27,8 +29,8 @@ def build_dataset(
     n_days: int = N_DAYS,
     clean: CleanParams = CleanParams(),
     fit: FitParams = FitParams(),
-) -> tuple[DataFrame, DataFrame]:
-    """Catalogue and series of all products.
+) -> tuple[DataFrame, DataFrame, tuple[DataFrame, Callable[[DataFrame], DataFrame]]]:
+    """Catalogue, series of the logged products, and the other products with what makes their series.
 
     The most frequent products of the cleaned transactions are fitted and take the place of the first templates, one by
     one; their series are their logged days.  Every other template keeps its figures and gets the series its
@@ -42,14 +44,24 @@ def build_dataset(
     logged = priced.select("product_id").distinct()
     known = priced.join(catalogue.select("product_id"), "product_id", "left_semi")
     unlogged = catalogue.join(logged, "product_id", "left_anti").withColumn("start_date", F.lit(first_day).cast("date"))
-    expected = expected_series(unlogged, "start_date", n_days)
     columns = ["product_id", *SERIES_SCHEMA.names]
-    return catalogue, known.select(columns).unionByName(expected.select(columns))
+
+    def expected(products: DataFrame) -> DataFrame:
+        return expected_series(products, "start_date", n_days).select(columns)
+
+    return catalogue, known.select(columns), (unlogged, expected)
+
+
+def build_dataset(transactions: DataFrame, templates: DataFrame, order: list[Column], **options) -> tuple[DataFrame, DataFrame]:
+    """Catalogue and series of all products; the options are those of ``dataset_parts``."""
+    catalogue, logged, (unlogged, expected) = dataset_parts(transactions, templates, order, **options)
+    return catalogue, logged.unionByName(expected(unlogged))
 
 
 def dataset_from_csv(
     spark: SparkSession, paths: str | list[str], templates: DataFrame, order: list[Column], directory: str, **options
 ) -> tuple[DataFrame, DataFrame]:
     """Read transactions, build and commit the dataset in ``directory``, and load it again."""
-    save_products(*build_dataset(read_csv(spark, paths), templates, order, **options), directory)
+    catalogue, logged, unlogged = dataset_parts(read_csv(spark, paths), templates, order, **options)
+    save_products(catalogue, logged, directory, unfolded=unlogged)
     return load_products(spark, directory)

@@ -59,3 +59,42 @@ def test_bootstrap_works_out_the_weights_of_a_row_once(spark):
     both = with_episode_hash(totals, product_number(F.col("product_id")), F.col("episode"), 17).withColumn("r", F.explode(F.array(*map(F.lit, range(9)))))
     both = with_step_unit(both, F.col("r"), "u").withColumn("v", mixed_unit(product_number(F.col("product_id")), F.col("episode"), F.col("r"), 17))
     assert both.filter("not u <=> v").count() == 0 and both.filter("u is not null").count() > 100
+
+
+def small_dataset(spark, n_products, n_days):
+    from pricewright.sources import driver_tables as D
+
+    first = dt.date(2024, 1, 1)
+    lines = [("1", str(p), "3", f"{2 + d % 5}.5", f"{first + dt.timedelta(days=d)} 08:00:00") for p in range(3) for d in range(40)]
+    rows = [(f"T{i:03d}", "n", "Other", 5.0, -1.0, 30.0, 2.5, 10.0, 0.1, i) for i in range(n_products)]
+    kinds = "product_id string, name string, category string, base_price double, elasticity double, base_demand double, price_min double, price_max double, noise_std double, template_no long"
+    transactions = spark.createDataFrame(lines, "Invoice string, StockCode string, Quantity string, Price string, InvoiceDate string")
+    return transactions, D.season_parameters(spark.createDataFrame(rows, kinds), "template_no")
+
+
+def test_days_of_unlogged_products_are_made_where_they_are_written(spark, tmp_path):
+    from pricewright.sources import catalogue as S
+    from pricewright.sources import dataset
+
+    transactions, templates = small_dataset(spark, 60, 50)
+    order = [F.col("template_no").asc()]
+    transactions.write.option("header", True).csv(str(tmp_path / "lines"))
+    products, series = dataset.dataset_from_csv(spark, str(tmp_path / "lines"), templates, order, str(tmp_path / "data"), n_days=50)
+    # Every listed product is there, and no join shuffles the days.
+    assert "Join" not in series._jdf.queryExecution().optimizedPlan().toString()
+    counts = {r.product_id: r.n for r in series.groupBy("product_id").agg(F.count("*").alias("n")).collect()}
+    assert sorted(counts) == sorted(r.product_id for r in products.collect()) and len(counts) == 60
+    assert sorted(counts.values()) == [40] * 3 + [50] * 57
+    _, whole = dataset.build_dataset(transactions, templates, order, n_days=50)
+    assert series.exceptAll(whole).count() == whole.exceptAll(series).count() == 0
+    for product in ("1", "T042"):
+        assert S.find_series(spark, str(tmp_path / "data"), product).count() == counts[product]
+
+
+def test_series_of_products_that_are_not_listed_stay_out(spark, tmp_path):
+    from pricewright.sources import catalogue as S
+
+    day = (dt.date(2024, 1, 1), 0, 1, 1.0, 2.0, 2.0, 1.0)
+    series = spark.createDataFrame([("a", *day), ("b", *day), (None, *day)], f"product_id string, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in S.SERIES_SCHEMA)}")
+    S.save_products(spark.createDataFrame([("a", "n")], "product_id string, name string"), series, str(tmp_path / "d"))
+    assert [r.product_id for r in S.load_products(spark, str(tmp_path / "d"))[1].collect()] == ["a"]
