@@ -65,11 +65,11 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int],
 PIECES_DDL = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH) -> DataFrame:
-    """Pieces of every document: as many full sequences as it fills, and the rest."""
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH, known: int = tokens.KNOWN) -> DataFrame:
+    """Pieces of every document: as many full sequences as it fills, and the rest.  A worker remembers ``known`` cuttings."""
 
     def cut(batches):
-        bpe = tokens.encoder(tokenizer)
+        bpe = tokens.encoder(tokenizer, known)
         for batch in batches:
             texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             for a, b, encoded in tokens.documents(bpe, texts, end_id):
@@ -87,7 +87,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGT
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH, group_docs: int = GROUP_DOCS, seed: int = 11
+    docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH, group_docs: int = GROUP_DOCS, seed: int = 11, known: int = tokens.KNOWN
 ) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` of every piece."""
     n_groups = max(1, -(-docs.count() // group_docs))
@@ -107,7 +107,7 @@ def pack(
         )
 
     return (
-        pieces(docs, tokenizer, end_id, length)
+        pieces(docs, tokenizer, end_id, length, known)
         .withColumn("group", spread)
         .groupBy("group")
         .applyInArrow(fill, PIECES_DDL + ", sequence_id bigint, offset bigint")

@@ -98,3 +98,12 @@ def test_series_of_products_that_are_not_listed_stay_out(spark, tmp_path):
     series = spark.createDataFrame([("a", *day), ("b", *day), (None, *day)], f"product_id string, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in S.SERIES_SCHEMA)}")
     S.save_products(spark.createDataFrame([("a", "n")], "product_id string, name string"), series, str(tmp_path / "d"))
     assert [r.product_id for r in S.load_products(spark, str(tmp_path / "d"))[1].collect()] == ["a"]
+
+
+def test_packing_remembers_as_many_cuttings_as_it_is_told(spark):
+    from pricewright.llm import packing
+    from pricewright.llm.tokens import tokenizer_path
+
+    docs = spark.createDataFrame([(i, f"some words w{i} and w{i * 7} again") for i in range(50)] + [(50, None)], "doc_id long, text string")
+    few, many = (packing.pack(docs, tokenizer_path("word_bpe_49k.json"), known=n).collect() for n in (0, 1000))
+    assert len(few) == 51 and sorted(map(tuple, few)) == sorted(map(tuple, many))
