@@ -69,6 +69,7 @@ class Encoder:
         self.after_blank[[i for piece, i in vocabulary.items() if piece.startswith(_BLANK)]] = True
         self.known: dict[str, int] = {}
         self.marks: dict[str, list[int]] = {}
+        # What is known, and behind it room that each call may write over: a full table is not copied again.
         self.starts = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
@@ -103,28 +104,28 @@ class Encoder:
             return [t.id for t in self.tokenizer.model.tokenize(_BLANK + word if self.keeps_space else word)]
         return self._piece(" " + word if self.keeps_space else word)
 
-    def _ids(self, cuttings: list[str]) -> list[list[int]]:
-        """The ids of each cutting."""
+    def _ids(self, cuttings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all cuttings in a row, and how many each has."""
         if not self.keeps_space:
-            return self._one_by_one(cuttings)
-        lists: list[list[int] | None] = [None] * len(cuttings)
+            return _in_a_row(self._one_by_one(cuttings))
         behind_blank = [i for i, x in enumerate(cuttings) if x[:1] != "\0"]
+        rest = [i for i, x in enumerate(cuttings) if x[:1] == "\0"]
+        found = [_in_a_row(self._one_by_one([cuttings[i] for i in rest]))]
         for at in range(0, len(behind_blank), TOGETHER):
-            some = behind_blank[at : at + TOGETHER]
-            for i, ids in zip(some, self._together([cuttings[i] for i in some])):
-                lists[i] = ids
-        rest = [i for i, found in enumerate(lists) if found is None]
-        for i, ids in zip(rest, self._one_by_one([cuttings[i] for i in rest])):
-            lists[i] = ids
-        return lists
-
-    def _together(self, cuttings: list[str]) -> list[list[int]]:
+            found.append(self._together([cuttings[i] for i in behind_blank[at : at + TOGETHER]]))
+        ids, sizes = (np.concatenate(x) for x in zip(*found))
+        order = np.array(rest + behind_blank, np.int64)
+        begins, lengths = np.empty_like(sizes), np.empty_like(sizes)
+        begins[order], lengths[order] = np.cumsum(sizes) - sizes, sizes
+        return _stretches(ids, begins, lengths), lengths
+
+    def _together(self, cuttings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Many cuttings as one text: the blank before each is the first letter of its first id, and of no other."""
-        found = self._whole([" " + " ".join(cuttings)])[0]
-        begins = np.flatnonzero(self.after_blank[np.array(found, np.int64)]).tolist()
+        found = np.array(self._whole([" " + " ".join(cuttings)])[0], np.uint32)
+        begins = np.flatnonzero(self.after_blank[found])
         if len(begins) != len(cuttings):
-            return self._one_by_one(cuttings)
-        return [found[a:b] for a, b in zip(begins, [*begins[1:], len(found)])]
+            return _in_a_row(self._one_by_one(cuttings))
+        return found, np.diff(begins, append=len(found))
 
     def _one_by_one(self, cuttings: list[str]) -> list[list[int]]:
         """Most cuttings are a word and the marks behind it: two pieces."""
@@ -160,42 +161,65 @@ class Encoder:
         """The ids of all texts in a row, and how many each text has."""
         cuts = [self._cut(t) for t in texts]
         odd = [i for i, cut in enumerate(cuts) if cut is None]
-        flat = [x for cut in cuts if cut is not None for x in cut]
+        flat = list(chain.from_iterable(cut for cut in cuts if cut is not None))
         at = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
-        missing = dict.fromkeys(flat[i] for i in np.flatnonzero(at < 0).tolist())
-        starts, ids = self.starts, self.ids
-        if missing or odd:
+        gaps = np.flatnonzero(at < 0)
+        if len(gaps) or odd:
+            unknown = [flat[i] for i in gaps.tolist()]
+            missing = dict.fromkeys(unknown)
             room = self.most - len(self.known)
-            kept = [x for x in missing if len(x) <= LONG][: max(0, room)]
-            kept_set = set(kept)
-            new = kept + [x for x in missing if x not in kept_set]
-            lists = self._ids(new) + self._whole([texts[i] for i in odd])
-            lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-            more = np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths.sum()))
-            starts = np.concatenate([starts, starts[-1] + np.cumsum(lengths)])
-            ids = np.concatenate([ids, more])
-            n = len(self.starts) - 1
+            new = kept = [x for x in missing if len(x) <= LONG][: max(0, room)]
+            if len(kept) < len(missing):
+                kept_set = set(kept)
+                new = kept + [x for x in missing if x not in kept_set]
+            n = len(self.known)
+            self._put(n, *self._ids(new))
+            if odd:
+                self._put(n + len(new), *_in_a_row(self._whole([texts[i] for i in odd])))
             places = dict(zip(new, range(n, n + len(new))))
-            gaps = np.flatnonzero(at < 0)
-            at[gaps] = np.fromiter((places[flat[i]] for i in gaps.tolist()), np.int64, len(gaps))
+            at[gaps] = np.fromiter(map(places.__getitem__, unknown), np.int64, len(gaps))
             self.known.update(zip(kept, range(n, n + len(kept))))
-            self.starts = starts[: n + len(kept) + 1].copy()
-            self.ids = ids[: self.starts[-1]].copy()
             if odd:  # put each whole text in its place
-                whole = dict(zip(odd, range(n + len(new), n + len(lists))))
+                whole = dict(zip(odd, range(n + len(new), n + len(new) + len(odd))))
                 rows, begin = [], 0
                 for i, cut in enumerate(cuts):
                     rows.append(np.array([whole[i]]) if cut is None else at[begin : begin + len(cut)])
                     begin += 0 if cut is None else len(cut)
                 at = np.concatenate(rows)
         per_text = np.array([1 if cut is None else len(cut) for cut in cuts], np.int64)
-        first = starts[at]
-        lengths = starts[at + 1] - first
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        found = ids[np.repeat(first - ends + lengths, lengths) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_text)])]
-        return found, np.diff(bounds)
+        first = self.starts[at]
+        lengths = self.starts[at + 1] - first
+        bounds = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(per_text)])]
+        return _stretches(self.ids, first, lengths), np.diff(bounds)
+
+    def _put(self, n: int, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Write entries from the ``n``-th one on, over whatever is there."""
+        begin = int(self.starts[n])
+        self.starts = _with_room(self.starts, n + 1, len(lengths))
+        self.ids = _with_room(self.ids, begin, len(ids))
+        self.starts[n + 1 : n + 1 + len(lengths)] = begin + np.cumsum(lengths)
+        self.ids[begin : begin + len(ids)] = ids
+
+
+def _with_room(values: np.ndarray, used: int, more: int) -> np.ndarray:
+    """An array that begins with the ``used`` values and has room for ``more`` behind them."""
+    if used + more <= len(values):
+        return values
+    grown = np.empty((used + more) * 5 // 4, values.dtype)
+    grown[:used] = values[:used]
+    return grown
+
+
+def _in_a_row(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths.sum())), lengths
+
+
+def _stretches(ids: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Stretches of an array one behind the other."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return ids[np.repeat(begins - ends + lengths, lengths) + np.arange(total)]
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}

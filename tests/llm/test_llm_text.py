@@ -381,3 +381,16 @@ def test_new_cuttings_encoded_together(monkeypatch):
             ids, lengths = bpe.encode(texts)
             for text, end, n in zip(texts, np.cumsum(lengths), lengths):
                 assert ids[end - n : end].tolist() == bpe.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_full_table_is_not_copied():
+    """New cuttings are written behind what is remembered; a slice with few of them must not copy a table of many."""
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        bpe = tokens.Encoder(tokens.tokenizer_path(name), known=40)
+        bpe.encode([" ".join(f"first{i}" for i in range(200))])
+        starts, ids = bpe.starts, bpe.ids
+        text = "other words, first3 \x85"
+        found, lengths = bpe.encode([text[:-2], text, "", "first7\nfirst1"])
+        want = [bpe.tokenizer.encode(t, add_special_tokens=False).ids for t in (text[:-2], text, "", "first7\nfirst1")]
+        assert found.tolist() == [i for w in want for i in w] and lengths.tolist() == list(map(len, want))
+        assert bpe.starts is starts and bpe.ids is ids and len(bpe.known) == 40
