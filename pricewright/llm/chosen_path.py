@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import written
 from .components import components
 from .filters import told_apart
-from .tokens import slices
+from .tokens import ranges, text_slices
 from .words import hashed, mixed
 
 TOKENS = 128  # minwise tokens of a class
@@ -40,6 +41,7 @@ TREES = 12
 LEAF = 24
 BLOCK = 256
 SALT_ROWS = 256
+SLICE = 1 << 18  # bytes of text that are hashed at a time; each takes some 60 bytes of a worker's memory meanwhile
 
 _MULTIPLIERS = np.random.default_rng(77).integers(0, 1 << 63, TOKENS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -101,10 +103,10 @@ def _described(docs: DataFrame, width: int) -> DataFrame:
 
     def describe(batches):
         for batch in batches:
-            texts, ids, hashes = batch.column("text").to_pylist(), batch.column("doc_id"), batch.column("of_text")
-            for a, b in slices(texts):
+            ids, hashes = batch.column("doc_id"), batch.column("of_text")
+            for a, b, texts in text_slices(batch.column("text"), SLICE):
                 sizes, digests, signatures = [], [], []
-                for found in shingle_sets(texts[a:b], width):
+                for found in shingle_sets(texts, width):
                     sizes.append(len(found))
                     digests.append(digest_of(found) if len(found) else None)
                     signatures.append(signature(found) if len(found) else (None, None))
@@ -228,11 +230,11 @@ def _packed(texts: list[str | None]) -> list[bytes]:
     return [pack((t or "").encode("utf-8", "surrogatepass")) for t in texts]
 
 
-def _unpacked_sets(blobs: list[bytes], width: int) -> list[np.ndarray]:
-    """The sorted shingle hashes of packed texts."""
+def _unpacked_sets(blobs: list[bytes], width: int) -> Iterator[np.ndarray]:
+    """The sorted shingle hashes of packed texts, of which a slice at a time is unpacked."""
     unpack = zstandard.ZstdDecompressor().decompress
-    texts = [unpack(b).decode("utf-8", "surrogatepass") for b in blobs]
-    return [x for a, b in slices(texts) for x in shingle_sets(texts[a:b], width)]
+    for a, b in ranges([zstandard.frame_content_size(x) for x in blobs], SLICE):
+        yield from shingle_sets([unpack(x).decode("utf-8", "surrogatepass") for x in blobs[a:b]], width)
 
 
 def _sets(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -246,12 +248,12 @@ def _sets(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int) ->
 
     def build(batches):
         for batch in batches:
-            texts, ids, digests = batch.column("text").to_pylist(), batch.column("rep"), batch.column("digest").to_pylist()
-            for a, b in slices(texts):
-                found = shingle_sets(texts[a:b], width)
+            ids, digests = batch.column("rep"), batch.column("digest").to_pylist()
+            for a, b, texts in text_slices(batch.column("text"), SLICE):
+                found = shingle_sets(texts, width)
                 # Another text of this id could have the same hash.
                 right = pa.array([digest_of(x) == of for x, of in zip(found, digests[a:b])], pa.bool_())
-                packed = pa.array(_packed(texts[a:b]), pa.binary())
+                packed = pa.array(_packed(texts), pa.binary())
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), packed], ["rep", "packed"]).filter(right)
 
     texts = docs.select(_id().alias("id"), _of_text().alias("hash"), "text")
@@ -366,7 +368,7 @@ def _outside(large: DataFrame, named: DataFrame, sets: DataFrame, width: int, pe
         for batch in batches:
             groups, roles = batch.column("group").to_numpy(), batch.column("role").to_numpy()
             ids, of = batch.column("rep").to_pylist(), batch.column("of").to_pylist()
-            found_sets = _unpacked_sets(batch.column("packed").to_pylist(), width)
+            found_sets = list(_unpacked_sets(batch.column("packed").to_pylist(), width))
             changes = (groups[1:] != groups[:-1]) | (roles[1:] != roles[:-1])
             borders = np.flatnonzero(np.concatenate([[True], changes, [True]]))
             found: set[tuple[int, int]] = set()

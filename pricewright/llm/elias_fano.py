@@ -167,8 +167,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shard_i
         bpe = tokens.encoder(tokenizer, KNOWN)
         width = 2 if max(bpe.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for a, b, found, lengths in tokens.runs(bpe, texts, end_id):
+            ids = batch.column("doc_id").to_pylist()
+            for a, b, found, lengths in tokens.runs(bpe, batch.column("text"), end_id):
                 ends, at = np.cumsum(lengths), 0
                 while at < b - a:  # as many documents as the shard has room for, one at least
                     before = int(ends[at - 1]) if at else 0

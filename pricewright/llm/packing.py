@@ -71,8 +71,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGT
     def cut(batches):
         bpe = tokens.encoder(tokenizer, known)
         for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for a, b, encoded in tokens.documents(bpe, texts, end_id):
+            ids = batch.column("doc_id").to_pylist()
+            for a, b, encoded in tokens.documents(bpe, batch.column("text"), end_id):
                 rows = []
                 for doc_id, whole in zip(ids[a:b], encoded):
                     for start in range(0, len(whole), length):

@@ -22,6 +22,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from itertools import chain, repeat
 from operator import eq
 
@@ -29,10 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import held_out
-from .tokens import slices
+from .common import held_out, remembered
+from .tokens import text_slices
 
 SAMPLE = 4000  # documents learned from at most
 BUCKETS = 1 << 15
@@ -127,9 +127,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, folds: int, fold: int, s
 
     def count(batches):
         for batch in batches:
-            texts, qualities = batch.column("text").to_pylist(), batch.column("quality").to_pylist()
-            for a, b in slices(texts):
-                found = [sorted(bucket_counts(t).items()) for t in texts[a:b]]
+            qualities = batch.column("quality").to_pylist()
+            for a, b, texts in text_slices(batch.column("text")):
+                found = [sorted(bucket_counts(t).items()) for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([np.array([k for k, _ in f], "<u2").tobytes() for f in found], pa.binary()),
@@ -185,25 +185,21 @@ class _Words:
         return at, table
 
 
-_words: dict[str, _Words] = {}
-
-
 def scored(rows: DataFrame, model: Model) -> DataFrame:
     """The rows, which have a ``text``, with ``quality_score`` behind their own columns."""
     outputs, bias = model.outputs()
     shared = rows.sparkSession.sparkContext.broadcast(outputs)  # one number per bucket
     name = uuid.uuid4().hex
-    names = rows.columns
 
-    def score(batches):
-        if name not in _words:
-            _words.clear()
-            _words[name] = _Words(shared.value)
+    # Only the texts go to Python, and only the scores come back.
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words = remembered(("quality", name), lambda: _Words(shared.value))
         for batch in batches:
-            texts, scores = batch.column(names.index("text")).to_pylist(), []
-            for a, b in slices(texts):
-                found = [(t or "").split() for t in texts[a:b]]
-                at, table = _words[name].rows(list(chain.from_iterable(found)))
+            scores = []
+            for _, _, texts in text_slices(batch):
+                found = [(t or "").split() for t in texts]
+                at, table = words.rows(list(chain.from_iterable(found)))
                 sizes = np.array([len(x) for x in found])
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 again = np.concatenate([[0.0], at[1:] == at[:-1]])[: len(at)]
@@ -213,10 +209,9 @@ def scored(rows: DataFrame, model: Model) -> DataFrame:
                 pairs = np.maximum(sizes - 1, 0)
                 speaks = speaks + same * shared.value[SAME] + (pairs - same) * shared.value[OTHER]
                 scores.append(1.0 / (1.0 + np.exp(-(speaks / (n + pairs + PRIOR) + bias))))
-            flat = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flat, pa.float64())], [*names, "quality_score"])
+            yield pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())
 
-    return rows.mapInArrow(score, T.StructType([*rows.schema, T.StructField("quality_score", T.DoubleType())]))
+    return rows.withColumn("quality_score", score("text"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, threshold: float = THRESHOLD) -> DataFrame:

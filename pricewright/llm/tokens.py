@@ -21,6 +21,9 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+from .common import remembered
 
 KNOWN = 250_000  # cuttings that a worker remembers, unless it is told to keep more
 LONG = 100  # longer cuttings are not remembered
@@ -222,23 +225,19 @@ def _stretches(ids: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.n
     return ids[np.repeat(begins - ends + lengths, lengths) + np.arange(total)]
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
-
-
 def encoder(path: str, known: int = KNOWN) -> Encoder:
-    if (path, known) not in _encoders:
-        _encoders[path, known] = Encoder(path, known)
-    return _encoders[path, known]
+    """The worker's encoder for a tokenizer file."""
+    return remembered(("encoder", path, known), lambda: Encoder(path, known))
 
 
-def runs(bpe: Encoder, texts: list[str | None], end_id: int):
+def runs(bpe: Encoder, texts: pa.Array, end_id: int):
     """The ids of consecutive texts in a row, each with the end id behind it, and their numbers, a slice of the batch at a time."""
-    for a, b in slices(texts):
-        ids, lengths = bpe.encode([t or "" for t in texts[a:b]])
+    for a, b, some in text_slices(texts):
+        ids, lengths = bpe.encode([t or "" for t in some])
         yield a, b, np.insert(ids, np.cumsum(lengths), end_id), lengths + 1
 
 
-def documents(bpe: Encoder, texts: list[str | None], end_id: int):
+def documents(bpe: Encoder, texts: pa.Array, end_id: int):
     """The ids of each text with the end id behind them, a slice of the batch at a time."""
     for a, b, ids, lengths in runs(bpe, texts, end_id):
         yield a, b, np.split(ids, np.cumsum(lengths)[:-1])
@@ -257,13 +256,23 @@ def crcs(ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[int]:
 
 def slices(texts: list[str | None], limit: int = 1 << 20):
     """Ranges of a batch that hold about ``limit`` characters each, one row at least."""
+    return ranges([len(t) if t else 0 for t in texts], limit)
+
+
+def text_slices(column: pa.Array, limit: int = 1 << 20):
+    """The same by bytes, with the texts of each range: only one range at a time takes the memory of Python's strings."""
+    for a, b in ranges(pc.fill_null(pc.binary_length(column), 0).to_pylist(), limit):
+        yield a, b, column.slice(a, b - a).to_pylist()
+
+
+def ranges(sizes: list[int], limit: int):
+    """Ranges of consecutive rows whose sizes add up to about ``limit``, one row at least."""
     begin = size = 0
-    for i, text in enumerate(texts):
-        n = len(text) if text else 0
+    for i, n in enumerate(sizes):
         if size and size + n > limit:
             yield begin, i
             begin, size = i, 0
         size += n
-    if begin < len(texts):
-        yield begin, len(texts)
+    if begin < len(sizes):
+        yield begin, len(sizes)
     pa.default_memory_pool().release_unused()  # workers wait for their next task with what they hold

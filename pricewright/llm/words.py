@@ -30,7 +30,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def _power_tables(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse, at least n of each."""
     if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         for i, base in enumerate((_BASE, _INVERSE)):
             table = np.full(size, np.uint64(base))
             table[0] = 1

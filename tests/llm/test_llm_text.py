@@ -394,3 +394,27 @@ def test_full_table_is_not_copied():
         want = [bpe.tokenizer.encode(t, add_special_tokens=False).ids for t in (text[:-2], text, "", "first7\nfirst1")]
         assert found.tolist() == [i for w in want for i in w] and lengths.tolist() == list(map(len, want))
         assert bpe.starts is starts and bpe.ids is ids and len(bpe.known) == 40
+
+
+def test_workers_keep_little(spark, monkeypatch):
+    """A worker keeps one table, the texts stay on Spark's side of the quality score, and packed texts are unpacked bit by bit."""
+    from pricewright.llm import common
+
+    for known in (50, 60):
+        tokens.encoder(tokens.tokenizer_path("word_bpe_49k.json"), known)
+    assert len(common._remembered) == 1 and tokens.encoder(tokens.tokenizer_path("word_bpe_49k.json"), 60).most == 60
+
+    docs = spark.createDataFrame([(1, "a b", 5), (2, None, 6), (3, "a b", 7)], "doc_id long, text string, other int")
+    rows = quality.scored(docs, quality.Model())
+    assert rows.columns == ["doc_id", "text", "other", "quality_score"] and {r.quality_score for r in rows.collect()} == {0.5}
+    assert "MapInArrow" not in rows._jdf.queryExecution().executedPlan().toString()
+
+    monkeypatch.setattr(chosen_path, "SLICE", 8)
+    texts = ["one two three", "", "four", "Five six", "x" * 50] * 3
+    unpacked = []
+    monkeypatch.setattr(chosen_path, "shingle_sets", lambda some, width, f=chosen_path.shingle_sets: unpacked.append(len(some)) or f(some, width))
+    found = chosen_path._unpacked_sets(chosen_path._packed(texts), 2)
+    first = next(found)
+    assert unpacked == [1]
+    want = [x.tolist() for x in chosen_path.shingle_sets(texts, 2)]
+    assert [first.tolist(), *[x.tolist() for x in found]] == want
