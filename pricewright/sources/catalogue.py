@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import re
 import warnings
 from collections.abc import Callable
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import write_once
+from ..session import reads_files, write_once
 from . import versions
 
 CATALOGUE_SCHEMA = T.StructType(
@@ -49,6 +52,8 @@ CATALOGUE_DIR = "products_metadata.json"
 SERIES_DIR = "series"
 SERIES_SUFFIX = "_timeseries.csv"
 _FILE = "file"
+# File names that need no escape in a path and are not hidden.
+_PLAIN = re.compile(r"[A-Za-z0-9][A-Za-z0-9_.-]*")
 # A hash folder holds about this many rows.
 ROWS_PER_BUCKET = 1_000_000
 
@@ -70,10 +75,15 @@ def read_catalogue(spark: SparkSession, path: str, multi_line: bool = True) -> D
     )
 
 
+def _decoded(part: Column) -> Column:
+    """Part of a path without percent escapes; a plus in it is a plus, not a blank."""
+    return F.url_decode(F.replace(part, F.lit("+"), F.lit("%2B")))
+
+
 def read_series_csv(spark: SparkSession, directory: str) -> DataFrame:
     """All ``<id>_timeseries.csv`` of a folder in one scan, the id taken from that name.
 
-    Each may be a file, or the folder that ``write_series_csv`` makes of a product.
+    Each may be a file, or a folder that ``write_series_csv`` makes of a product.
     """
     raw = (
         spark.read.schema(SERIES_SCHEMA)
@@ -82,12 +92,18 @@ def read_series_csv(spark: SparkSession, directory: str) -> DataFrame:
         .option("pathGlobFilter", "*.csv")
         .csv(directory)
     )
-    # The path comes percent-encoded; a plus in it is a plus, not a blank.  Folder names were escaped once more when written.
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    folder = F.regexp_extract(path, rf"(?s)/{_FILE}=([^/]*){re.escape(SERIES_SUFFIX)}/[^/]*$", 1)
-    file = F.regexp_extract(path, rf"(?s)/([^/]*){re.escape(SERIES_SUFFIX)}$", 1)
-    own = F.when(folder != "", F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))).when(file != "", file)
-    return raw.select(own.alias("product_id"), "*").filter("product_id is not null")
+    # The path comes percent-encoded.  Folder names were escaped once more when written.  All this runs on every row, so it
+    # looks at the path's end first and has no regular expression.
+    path, end = F.col("_metadata.file_path"), len(SERIES_SUFFIX)
+    file = F.substring_index(path, "/", -1)
+    folder = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    named = path.contains(f"/{_FILE}=") & folder.startswith(f"{_FILE}=") & folder.endswith(SERIES_SUFFIX)
+    by_folder = named & (F.length(folder) > len(_FILE) + 1 + end)
+    by_file = path.endswith(SERIES_SUFFIX) & ~path.endswith(f"/{SERIES_SUFFIX}")
+    of_folder = F.substr(folder, F.lit(len(_FILE) + 2), F.length(folder) - (len(_FILE) + 1 + end))
+    of_file = F.left(file, F.length(file) - end)
+    own = F.when(by_folder, _decoded(_decoded(of_folder))).when(path.contains("%"), _decoded(of_file)).otherwise(of_file)
+    return raw.filter(by_file | by_folder).select(own.alias("product_id"), "*")
 
 
 def find_series_csv(spark: SparkSession, directory: str, product_id) -> DataFrame:
@@ -97,19 +113,82 @@ def find_series_csv(spark: SparkSession, directory: str, product_id) -> DataFram
     if path_exists(spark, f"{directory}/{name}"):
         exact = re.sub(r"[\\{}\[\]*?]", r"\\\g<0>", f"{directory}/{name}")
         return reader.schema(SERIES_SCHEMA).csv(exact)
+    if not path_exists(spark, f"{directory}/{_folder_of(name)}"):
+        return spark.createDataFrame([], SERIES_SCHEMA)
     schema = T.StructType([*SERIES_SCHEMA.fields, T.StructField(_FILE, T.StringType())])
     return reader.schema(schema).csv(directory).filter(F.col(_FILE) == name).drop(_FILE)
 
 
+def _local_path(spark: SparkSession, path: str) -> str | None:
+    """The path as tasks open it, if the shared folder is mounted as files; None on any other storage."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    storage = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return storage.makeQualified(target).toUri().getPath() if storage.getUri().getScheme() == "file" else None
+
+
+def _folder_of(name: str | None) -> str:
+    """The folder of a file name as Spark's writer calls it."""
+    escaped = "".join(f"%{ord(c):02X}" if c in "\"#%'*/:=?\\{[]^\x7f" or c < " " else c for c in name or "")
+    return f"{_FILE}={escaped or '__HIVE_DEFAULT_PARTITION__'}"
+
+
+def _put_files(directory: str, header: str):
+    """A function for ``mapInArrow`` that puts lines, sorted by file name, into files of these names and returns the names.
+
+    A file is written under a hidden name and then renamed, so a task that runs again leaves the same files.
+    """
+
+    def put(batches):
+        attempt = TaskContext.get().taskAttemptId()
+        at = name = out = None
+
+        def close():
+            if out is not None:
+                out.close()
+                os.replace(out.name, at)
+
+        for batch in batches:
+            names, lines = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            starts = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]]
+            begun = []
+            for start, end in zip(starts, [*starts[1:], len(names)]):
+                if out is None or names[start] != name:
+                    close()
+                    name = names[start]
+                    begun.append(name)
+                    at = f"{directory}/{name}"
+                    if name is None or not _PLAIN.fullmatch(name):
+                        at = f"{directory}/{_folder_of(name)}/part-0.csv"
+                        os.makedirs(os.path.dirname(at), exist_ok=True)
+                    out = open(f"{os.path.dirname(at)}/.{attempt}", "w", encoding="utf-8", newline="")
+                    out.write(f"{header}\n")
+                out.writelines(f"{line}\n" for line in lines[start:end])
+            yield pa.RecordBatch.from_arrays([pa.array(begun, pa.string())], ["file"])
+        close()
+
+    return put
+
+
 def write_series_csv(series: DataFrame, directory: str) -> None:
-    """Series as CSV, a folder per product named ``<id>_timeseries.csv``, for readers that go by file name.
+    """Series as CSV named ``<id>_timeseries.csv``, one file per product, for readers that go by file name.
 
-    Rows are dealt by product, so a product is one file.
+    Rows are dealt by product, and the tasks put the lines Spark makes of them straight into the files.  Names that do not go
+    without escapes are those of a folder with the file in it; so are all of them on storage that is not mounted as files.
+    There Spark writes, which costs a folder to make, to move and to list for each product.
     """
+    spark = series.sparkSession
     name = F.concat(F.col("product_id"), F.lit(SERIES_SUFFIX))
     shown = [F.date_format("date", "yyyy-MM-dd").alias("date") if c == "date" else F.col(c) for c in SERIES_SCHEMA.names]
-    rows = series.select(name.alias(_FILE), *shown)
-    rows.repartition(_FILE).sortWithinPartitions(_FILE, "date").write.partitionBy(_FILE).option("header", True).csv(directory)
+    rows = series.select(name.alias(_FILE), *shown).repartition(_FILE).sortWithinPartitions(_FILE, "date")
+    local = _local_path(spark, directory)
+    if local is None:
+        rows.write.partitionBy(_FILE).option("header", True).csv(directory)
+        return
+    if path_exists(spark, directory):
+        raise FileExistsError(f"{directory} exists already")
+    os.makedirs(local)
+    lines = rows.select(_FILE, F.to_csv(F.struct(*SERIES_SCHEMA.names)).alias("line"))
+    lines.mapInArrow(_put_files(local, ",".join(SERIES_SCHEMA.names)), "file string").count()
 
 
 def _check_series(catalogue: DataFrame, known: DataFrame, strict: bool) -> None:
@@ -126,8 +205,11 @@ def attach_series(catalogue: DataFrame, series: DataFrame, strict: bool = True)
     """Catalogue joined to series.
 
     Strict loading fails when a product has no series; lenient loading warns and
-    goes on without the product.
+    goes on without the product.  Series read by file name are written once in columns, as check and join both
+    read them, and a file per product is costly to open.
     """
+    if not reads_files(series):
+        series = write_once(series, "attached-series")
     _check_series(catalogue, series.select("product_id").distinct(), strict)
     return series.join(catalogue, "product_id")
 
@@ -191,7 +273,7 @@ def load_products(spark: SparkSession, directory: str, strict: bool = True) -> t
         series = spark.read.parquet(f"{folder}/{SERIES_DIR}").drop("bucket")
     else:
         catalogue = read_catalogue(spark, f"{directory}/{CATALOGUE_DIR}")
-        series = read_series_csv(spark, directory)
+        series = write_once(read_series_csv(spark, directory), "series-by-file")
     known = write_once(series.select("product_id").distinct(), "known-products")
     _check_series(catalogue, known, strict)
     if not strict:

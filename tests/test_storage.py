@@ -102,6 +102,47 @@ def test_series_written_by_file_name_read_again(spark, tmp_path):
     assert sorted(map(tuple, again.select(series.columns).collect())) == sorted(days)
 
 
+def test_products_of_plain_names_are_files_of_one_folder(spark, tmp_path):
+    ids = ["7", "P001", "b.c", "_d", ".e", "a/b", "x%2Fy", "file=1", "", None]
+    days = [(i, dt.date(2023, 1, 3 - d), d, None, 2.5, float("inf"), None, 1e-7) for i in ids for d in range(3)]
+    series = spark.createDataFrame(days, "product_id string, date date, day_of_week int, day_of_year int, price double, demand double, revenue double, seasonal double")
+    folder = tmp_path / "s"
+    S.write_series_csv(series, str(folder))
+    names = sorted(p.name for p in folder.iterdir())
+    assert [n for n in names if "=" not in n] == ["7_timeseries.csv", "P001_timeseries.csv", "b.c_timeseries.csv"]
+    assert (folder / "7_timeseries.csv").read_text().splitlines()[:2] == [",".join(S.SERIES_SCHEMA.names), "2023-01-01,2,,2.5,Infinity,,1.0E-7"]
+    again = S.read_series_csv(spark, str(folder)).select(series.columns)
+    assert sorted(map(tuple, again.collect()), key=str) == sorted((d for d in days if d[0]), key=str)
+    assert [S.find_series_csv(spark, str(folder), i).count() for i in ("7", "_d", "a/b", "x%2Fy", "none")] == [3, 3, 3, 3, 0]
+    with pytest.raises(Exception, match="(?i)already exists|exists already"):
+        S.write_series_csv(series, str(folder))
+    # Spark's writer, which serves storage that is not mounted as files, calls the folders the same.
+    series.selectExpr("product_id || '_timeseries.csv' AS file", "price").write.partitionBy("file").csv(str(tmp_path / "t"))
+    theirs = {p.name for p in (tmp_path / "t").iterdir()}
+    assert {n for n in names if "=" in n} <= theirs
+
+
+def test_batches_that_end_within_a_product_make_one_file(spark, tmp_path):
+    first = dt.date(2023, 1, 1)
+    days = [(str(i), first + dt.timedelta(days=d), d, d, 1.0, float(d), 1.0, 1.0) for i in range(9) for d in range(11)]
+    series = spark.createDataFrame(days, "product_id string, date date, day_of_week int, day_of_year int, price double, demand double, revenue double, seasonal double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        S.write_series_csv(series.repartition(5), str(tmp_path / "s"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(p.name for p in (tmp_path / "s").iterdir()) == [f"{i}_timeseries.csv" for i in range(9)]
+    assert sorted(map(tuple, S.read_series_csv(spark, str(tmp_path / "s")).select(series.columns).collect())) == sorted(days)
+
+
+def test_series_files_are_opened_once_to_be_attached(spark, tmp_path):
+    write_files(tmp_path, ["1"])
+    write_series(tmp_path, 1)
+    products = S.read_catalogue(spark, str(tmp_path / "products_metadata.json"))
+    plan = S.attach_series(products, S.read_series_csv(spark, str(tmp_path)))._jdf.queryExecution().optimizedPlan().toString()
+    assert " csv" not in plan and " parquet" in plan
+
+
 def test_file_per_product_dataset_is_reused(spark, tmp_path):
     write_files(tmp_path, [1, 2])
     for product in (1, 2):
