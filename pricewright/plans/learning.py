@@ -202,7 +202,8 @@ def greedy_actions(spark, sf_dir):
         ON g.product_id = m.product_id AND g.state = m.state""",
 )
 def epsilon_greedy_actions(spark, sf_dir):
-    moves = _stored_moves(spark, sf_dir)
+    # Values, best actions and the join share this dealing, so no task gets more rows as the input grows.
+    moves = _stored_moves(spark, sf_dir).repartition(B.tasks(spark, sf_dir), "product_id", "state")
     best = L.greedy_actions(L.sweep(moves, None, ["product_id"]), ["product_id"])
     rows = moves.drop("action").join(best.select("product_id", "state", "action"), ["product_id", "state"])
     epsilon = geometric_epsilon(F.col("episode"), decay=0.5)

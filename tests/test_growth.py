@@ -27,6 +27,17 @@ def test_logged_days_are_dealt_over_as_many_tasks_as_their_rows_need(spark, smal
     assert ", 37), REPARTITION_BY_NUM" in plan_of(plans.QUERIES[name](spark, small_dir))
 
 
+def test_values_and_choices_of_stored_transitions_share_a_dealing_that_follows_the_lines(spark, small_dir, monkeypatch):
+    monkeypatch.setattr(base, "tasks_for", lambda lines: 37)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = plans.QUERIES["epsilon_greedy_actions"](spark, small_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    exchanges = [line.split(" Exchange ")[1] for line in plan.splitlines() if " Exchange " in line]
+    assert len(exchanges) == 2 and all("37), REPARTITION_BY_NUM" in e and "(product_id" in e and "state" in e for e in exchanges)
+
+
 def test_a_batch_of_rows_holds_many_episodes_of_a_stateful_policy(spark):
     from pricewright.operators import stateful
 
