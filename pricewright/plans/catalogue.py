@@ -286,7 +286,7 @@ def episode_calendar_slices(spark, sf_dir):
 def dataset_build(spark, sf_dir):
     """From text files to the dataset that is read back: every product has its series."""
     path = fresh_path(spark, "dataset-build")
-    D.raw_transactions(spark, sf_dir).write.option("header", True).csv(f"{path}/lines")
+    D.raw_transactions(spark, sf_dir).write.option("header", True).option("compression", "gzip").csv(f"{path}/lines")
     templates = D.season_parameters(D.templates(spark, sf_dir), "template_no")
     products, series = dataset.dataset_from_csv(spark, f"{path}/lines", templates, [F.col("template_no").asc()], f"{path}/dataset")
     totals = series.groupBy("product_id").agg(F.count("*").alias("n_days"), F.sum("demand").alias("total_demand"))

@@ -56,6 +56,8 @@ _FILE = "file"
 _PLAIN = re.compile(r"[A-Za-z0-9][A-Za-z0-9_.-]*")
 # A hash folder holds about this many rows.
 ROWS_PER_BUCKET = 1_000_000
+# Rows of a page: the calendar of a product repeats itself, which shows only in pages that hold many of them.
+ROWS_PER_PAGE = 200_000
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -218,6 +220,42 @@ def _bucket(product_id: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(product_id), F.lit(buckets)).cast("int")
 
 
+def _same(a: Column, b: Column) -> Column:
+    """Whether two figures are one double; zeros have two spellings and are never taken as the same."""
+    return F.coalesce((a == b) & (a != 0), F.lit(False))
+
+
+def _packed(series: DataFrame, seasonal: bool) -> DataFrame:
+    """Series as stored: a figure that a product of two others gives bit by bit is not stored beside them.
+
+    ``own_revenue`` is there unless ``priced_revenue`` says that price times demand is the revenue.  Demand that goes with the
+    season, as it does in ``seasonal`` series, is stored as ``demand_ratio`` to it, which hardly changes; the others
+    have ``own_demand``.  Each product is worked out here and compared, so no value is ever lost.
+    """
+    demand, season, revenue = F.col("demand"), F.col("seasonal"), F.col("revenue")
+    ratio = F.lit(None).cast("double")
+    if seasonal:
+        quotient = F.try_divide(demand, season)
+        ratio = F.when(_same(quotient * season, demand), quotient)
+    rows = series.withColumn("demand_ratio", ratio).withColumn("priced_revenue", _same(F.col("price") * demand, revenue))
+    return rows.select(
+        *["product_id", "date", "day_of_week", "day_of_year", "price", "seasonal", "demand_ratio", "priced_revenue"],
+        F.when(F.col("demand_ratio").isNull(), demand).alias("own_demand"),
+        F.when(~F.col("priced_revenue"), revenue).alias("own_revenue"),
+    )
+
+
+def _unpacked(stored: DataFrame) -> DataFrame:
+    """Series with all their columns from what ``_packed`` stores, or from a version that holds them plainly."""
+    if "priced_revenue" not in stored.columns:
+        return stored.drop("bucket")
+    ratio = F.col("demand_ratio")
+    demand = F.when(ratio.isNotNull(), ratio * F.col("seasonal")).otherwise(F.col("own_demand"))
+    revenue = F.when(F.col("priced_revenue"), F.col("price") * demand).otherwise(F.col("own_revenue"))
+    made = {"demand": demand, "revenue": revenue}
+    return stored.select("product_id", *[made.get(c, F.col(c)).alias(c) for c in SERIES_SCHEMA.names])
+
+
 def save_products(
     catalogue: DataFrame, series: DataFrame, directory: str, buckets: int | None = None, unfolded: tuple[DataFrame, Callable] | None = None
 ) -> dict:
@@ -227,18 +265,20 @@ def save_products(
     laid out in hash folders, sorted by product and date inside; a lookup prunes by folder and
     by parquet statistics.  Their number follows the number of rows unless it is given, and is stored
     in the manifest, which is written last.  A product has a row per day at most, so no folder is hot.
+    Every day has its row there, with demand and revenue as ``_packed`` stores them.
 
     ``unfolded`` are products whose series a function of them makes row by row: the products are dealt over the folders
     and their days made there, so that these are never shuffled, and a task sorts about one folder.
     """
     spark = series.sparkSession
 
-    def lay_out(days: DataFrame, used: int) -> DataFrame:
-        return days.select("product_id", *SERIES_SCHEMA.names).withColumn("bucket", _bucket(F.col("product_id"), used))
+    def lay_out(days: DataFrame, used: int, seasonal: bool = False) -> DataFrame:
+        return _packed(days, seasonal).withColumn("bucket", _bucket(F.col("product_id"), used))
 
     def put(days: DataFrame, folder: str) -> None:
         in_order = days.sortWithinPartitions("bucket", "product_id", "date")
-        in_order.write.mode("append").partitionBy("bucket").option("compression", "zstd").parquet(f"{folder}/{SERIES_DIR}")
+        writer = in_order.write.mode("append").partitionBy("bucket").option("compression", "zstd")
+        writer.option("parquet.page.row.count.limit", ROWS_PER_PAGE).parquet(f"{folder}/{SERIES_DIR}")
 
     def write(folder: str) -> dict:
         products, unfold = unfolded or (None, None)
@@ -246,9 +286,11 @@ def save_products(
         used = max(1, -(-rows // ROWS_PER_BUCKET)) if buckets is None else buckets
         put(lay_out(series, used).repartition("bucket"), folder)
         if unfolded:
-            put(lay_out(unfold(products.repartitionByRange(used, _bucket(F.col("product_id"), used))), used), folder)
+            dealt = products.repartitionByRange(used, _bucket(F.col("product_id"), used))
+            put(lay_out(unfold(dealt), used, seasonal=True), folder)
         at = F.concat(F.lit(f"{folder}/{SERIES_DIR}/bucket="), _bucket(F.col("product_id"), used).cast("string"))
-        catalogue.withColumn("timeseries_file", at).withColumnRenamed("product_id", "id").write.json(f"{folder}/{CATALOGUE_DIR}")
+        listed = catalogue.withColumn("timeseries_file", at).withColumnRenamed("product_id", "id")
+        listed.write.option("compression", "gzip").json(f"{folder}/{CATALOGUE_DIR}")
         return {"buckets": used, "rows": rows}
 
     return versions.commit(spark, directory, write)
@@ -270,7 +312,7 @@ def load_products(spark: SparkSession, directory: str, strict: bool = True) -> t
     if versions.current(spark, directory) is not None:
         folder, _ = _current_folder(spark, directory)
         catalogue = read_catalogue(spark, f"{folder}/{CATALOGUE_DIR}", multi_line=False)
-        series = spark.read.parquet(f"{folder}/{SERIES_DIR}").drop("bucket")
+        series = _unpacked(spark.read.parquet(f"{folder}/{SERIES_DIR}"))
     else:
         catalogue = read_catalogue(spark, f"{directory}/{CATALOGUE_DIR}")
         series = write_once(read_series_csv(spark, directory), "series-by-file")
@@ -288,7 +330,7 @@ def find_series(spark: SparkSession, directory: str, product_id) -> DataFrame:
     folder, manifest = _current_folder(spark, directory)
     series = spark.read.parquet(f"{folder}/{SERIES_DIR}")
     wanted = F.lit(str(product_id))
-    return series.filter((F.col("bucket") == _bucket(wanted, manifest["buckets"])) & (F.col("product_id") == wanted)).drop("bucket")
+    return _unpacked(series.filter((F.col("bucket") == _bucket(wanted, manifest["buckets"])) & (F.col("product_id") == wanted)))
 
 
 def is_complete(spark: SparkSession, directory: str) -> bool:

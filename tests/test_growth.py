@@ -1,6 +1,7 @@
 """What grows with the input: tasks, work per row, copies on disk."""
 
 import datetime as dt
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,6 +103,70 @@ def test_days_of_unlogged_products_are_made_where_they_are_written(spark, tmp_pa
         assert S.find_series(spark, str(tmp_path / "data"), product).count() == counts[product]
 
 
+def test_made_series_are_stored_without_what_their_own_figures_give(spark, tmp_path):
+    """Every day has its row and comes back bit by bit, in less than half of the three doubles it holds."""
+    from pricewright.sources import catalogue as S
+    from pricewright.sources import dataset
+
+    transactions, templates = small_dataset(spark, 200, 700)
+    templates = templates.withColumn("base_demand", F.col("template_no") / 7 + 0.1).withColumn("base_price", F.col("template_no") / 3 + 0.7)
+    order = [F.col("template_no").asc()]
+    transactions.write.option("header", True).csv(str(tmp_path / "lines"))
+    _, series = dataset.dataset_from_csv(spark, str(tmp_path / "lines"), templates, order, str(tmp_path / "data"), n_days=700)
+    _, whole = dataset.build_dataset(transactions, templates, order, n_days=700)
+    assert series.dtypes == whole.dtypes and series.count() == 3 * 40 + 197 * 700
+    assert series.exceptAll(whole).count() == whole.exceptAll(series).count() == 0
+    stored = sum(f.stat().st_size for f in (tmp_path / "data").rglob("*.parquet"))
+    assert stored / series.count() < 12
+    files = spark.read.parquet(f"{tmp_path}/data/versions/*/{S.SERIES_DIR}")
+    assert files.count() == series.count()
+
+
+@pytest.mark.parametrize("made", [False, True])
+def test_stored_series_come_back_bit_by_bit(spark, tmp_path, made):
+    from itertools import product
+
+    from pricewright.sources import catalogue as S
+
+    odd = [None, 0.0, -0.0, 1.0, 0.1, 1 / 3, -7.3, 1e308, 5e-324, 2.0**53 + 2, float("nan"), float("inf"), float("-inf")]
+    days = [(str(i % 5), dt.date(2024, 1, 1) + dt.timedelta(days=i), i % 7, None, p, d, r, s) for i, (p, d, r, s) in enumerate(product(odd[:6] + odd[10:], odd, [None, 0.0, 2.5], odd))]
+    days += [("7", dt.date(2024, 1, 1) + dt.timedelta(days=i), 0, i, 1.1 * i, 0.3 * i * (1 + i / 9), 1.1 * i * (0.3 * i * (1 + i / 9)), 1 + i / 9) for i in range(300)]
+    days += 2 * [(None, None, None, None, None, None, None, None)]
+    names = ["product_id", *S.SERIES_SCHEMA.names]
+    series = spark.createDataFrame(days, f"product_id string, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in S.SERIES_SCHEMA)}")
+    listed = spark.createDataFrame([(str(i), "n") for i in [0, 1, 2, 3, 4, 7]] + [(None, "n")], "product_id string, name string")
+
+    def bits(rows):
+        return sorted(str([struct.pack(">d", v).hex() if isinstance(v, float) else v for v in r]) for r in rows)
+
+    if made:
+        # A product's days travel in one row and are made out of it where they are written.
+        folded = series.groupBy("product_id").agg(F.collect_list(F.struct(*S.SERIES_SCHEMA.names)).alias("days"))
+        S.save_products(listed, series.limit(0), str(tmp_path / "d"), unfolded=(folded, lambda f: f.select("product_id", F.inline("days"))))
+    else:
+        S.save_products(listed, series, str(tmp_path / "d"))
+    found = S._unpacked(spark.read.parquet(f"{tmp_path}/d/versions/*/{S.SERIES_DIR}"))
+    assert found.columns == names and bits(found.collect()) == bits(days)
+    assert bits(S.find_series(spark, str(tmp_path / "d"), 7).collect()) == bits(d for d in days if d[0] == "7")
+
+
+def test_versions_that_hold_demand_and_revenue_plainly_are_read(spark, tmp_path):
+    from pricewright.sources import catalogue as S
+    from pricewright.sources import versions
+
+    day = (dt.date(2024, 1, 1), 0, 1, 1.0, 2.0, 2.0, 1.0)
+    series = spark.createDataFrame([("a", *day)], f"product_id string, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in S.SERIES_SCHEMA)}")
+
+    def write(folder):
+        series.withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(f"{folder}/{S.SERIES_DIR}")
+        spark.createDataFrame([("a", "n")], "id string, name string").write.json(f"{folder}/{S.CATALOGUE_DIR}")
+        return {"buckets": 1, "rows": 1}
+
+    versions.commit(spark, str(tmp_path), write)
+    for days in (S.load_products(spark, str(tmp_path))[1], S.find_series(spark, str(tmp_path), "a")):
+        assert days.columns == series.columns and [tuple(r) for r in days.collect()] == [("a", *day)]
+
+
 def test_series_of_products_that_are_not_listed_stay_out(spark, tmp_path):
     from pricewright.sources import catalogue as S
 
